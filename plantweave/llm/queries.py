@@ -3,12 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import table
+from .addresses import same_location
 from .leakage import leaks
 from .pii import find_details, redact
 
 
+def site_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EPA registrations and OSHA establishments as (record, address, city, state, zip_code)."""
+    e, o = table(spark, sf_dir, "frs_facilities_raw"), table(spark, sf_dir, "osha_establishments")
+    place = lambda a, z: (F.col(a).alias("address"), "city", "state", F.col(z).alias("zip_code"))
+    return e.select(F.concat(F.lit("epa:"), "registry_id").alias("record"), *place("address", "zip")).unionByName(
+        o.select(F.concat(F.lit("osha:"), "establishment_id").alias("record"), *place("street_address", "zip_code"))
+    )
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_location(site_records(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -21,5 +36,5 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p4_found": p4_found, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
 ORACLE: dict[str, str] = {}
