@@ -236,7 +236,7 @@ def location_links(nodes: DataFrame) -> DataFrame:
     Candidates share the number and a place key. A writing without a type (or direction) that is compatible with two
     writings of different types (directions) is ambiguous: it is linked to neither unless the full ZIP codes agree.
     """
-    keyed = nodes.withColumn("key", F.explode(places(nodes)))
+    keyed = nodes.withColumn("place", F.explode(places(nodes))).select("node", "number", "street", "type", "side", "zip9", F.xxhash64("place").alias("key"))
     keyed = keyed.repartition(F.col("key"), F.col("number"))
     a, b = keyed.alias("a"), keyed.alias("b")
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.number") == F.col("b.number")) & (F.col("a.node") < F.col("b.node")) & compatible("a", "b")
@@ -253,7 +253,7 @@ def location_links(nodes: DataFrame) -> DataFrame:
         F.when(partial[1], F.when(F.col("a.side").isNull(), F.col("a.node")).otherwise(F.col("b.node"))).alias("no_side"),
         ((partial[0] | partial[1]) & against).alias("against"),
     )
-    pairs = pairs.filter("not against").drop("against").distinct()
+    pairs = cut(pairs.filter("not against").drop("against").distinct())
     vague = (
         pairs.filter("not sure and (no_type is not null or no_side is not null)")
         .select(F.explode(F.array(F.struct(F.col("no_type").alias("node"), F.col("type").alias("v"), F.lit(0).alias("w")), F.struct(F.col("no_side").alias("node"), F.col("side").alias("v"), F.lit(1).alias("w")))).alias("x"))
@@ -276,15 +276,12 @@ def same_location(records: DataFrame) -> DataFrame:
 
     ``records`` has record, address, city, state, zip_code; other columns are ignored. Null records and records without a
     street address are in no pair; a record with several writings is paired by each of them. An empty table gives no
-    rows. Each different writing is parsed once and writings, not records, are compared, so a writing that a third of
+    rows. Writings, not records, are compared, so a writing that a third of
     all records share costs one comparison; only its record pairs, which are the result, grow.
     """
     named = records.select(*(F.col(c).cast("string").alias(c) for c in ("record", "address", "city", "state", "zip_code"))).filter("record is not null and address is not null")
-    texts = with_parts(named.select("address", "city", "state", "zip_code").distinct(), "address", "city", "state", "zip_code").filter("number is not null")
-    node = F.xxhash64(*PARTS)
-    on = (F.col("n.address") == F.col("t.address")) & F.col("n.city").eqNullSafe(F.col("t.city")) & F.col("n.state").eqNullSafe(F.col("t.state")) & F.col("n.zip_code").eqNullSafe(F.col("t.zip_code"))
-    members = named.alias("n").join(texts.withColumn("node", node).alias("t"), on).select("n.record", "t.node", *(f"t.{p}" for p in PARTS)).distinct()
-    members = cut(members)
+    parts = with_parts(named, "address", "city", "state", "zip_code").filter("number is not null")
+    members = cut(parts.select("record", F.xxhash64(*PARTS).alias("node"), *PARTS).distinct())
     nodes = members.select("node", *PARTS).distinct()
     own = members.select("record", "node")
     links = location_links(nodes).unionByName(own.select(F.col("node").alias("node_a"), F.col("node").alias("node_b")).distinct())

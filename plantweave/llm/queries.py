@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import table
 from .addresses import same_location
+from .names import organisations, spelling_pairs
 from .leakage import leaks
 from .pii import find_details, redact
 
@@ -20,6 +21,21 @@ def site_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def site_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct strings of the three name columns, as they stand."""
+    e, o = table(spark, sf_dir, "frs_facilities_raw"), table(spark, sf_dir, "osha_establishments")
+    all_ = o.select(F.col("establishment_name").alias("name")).unionByName(o.select(F.col("company_name").alias("name")))
+    return all_.unionByName(e.select(F.col("facility_name").alias("name"))).distinct()
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_pairs(site_names(spark, sf_dir))
+
+
+def p2_organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return organisations(site_names(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_location(site_records(spark, sf_dir))
 
@@ -36,5 +52,5 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p2_found": p2_found, "p2_organisations": p2_organisations, "p4_found": p4_found, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
 ORACLE: dict[str, str] = {}
