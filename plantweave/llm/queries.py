@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import table
 from .addresses import same_location
+from .linkage import link_records
 from .names import organisations, spelling_pairs
 from .leakage import leaks
 from .pii import find_details, redact
@@ -28,6 +29,28 @@ def site_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_.unionByName(e.select(F.col("facility_name").alias("name"))).distinct()
 
 
+def all_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the three sources with their names and addresses, each different row once."""
+    e, o, d = (table(spark, sf_dir, t) for t in ("frs_facilities_raw", "osha_establishments", "dod_awards"))
+    place = ("record", "source", "names", "address", "city", "state", "zip_code")
+    epa = e.select(F.concat(F.lit("epa:"), "registry_id"), F.lit("epa"), F.array("facility_name"), "address", "city", "state", "zip").toDF(*place)
+    osha = o.select(
+        F.concat(F.lit("osha:"), "establishment_id"), F.lit("osha"), F.array("establishment_name", "company_name"), "street_address", "city", "state", "zip_code"
+    ).toDF(*place)
+    dod = d.select(
+        F.concat(F.lit("dod:"), "account_key"), F.lit("dod"), F.array("recipient_name"), "recipient_address_line1", "recipient_city", "recipient_state", "recipient_zip"
+    ).toDF(*place)
+    return epa.unionByName(osha).unionByName(dod).distinct()
+
+
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_records(all_records(spark, sf_dir))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_links(spark, sf_dir).select("record_a", "record_b")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_pairs(site_names(spark, sf_dir))
 
@@ -52,5 +75,5 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_organisations": p2_organisations, "p4_found": p4_found, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_organisations": p2_organisations, "p4_found": p4_found, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
 ORACLE: dict[str, str] = {}
