@@ -10,6 +10,8 @@ from .addresses import same_location
 from .linkage import link_records
 from .names import organisations, spelling_pairs
 from .leakage import leaks
+from .packing import pack, token_sizes
+from .percentiles import percentiles, value_counts
 from .pii import find_details, redact
 
 
@@ -63,6 +65,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_location(site_records(spark, sf_dir))
 
 
+MEASURES = ("voc_tons_2020", "dart_rate")
+
+
+def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles, from day summaries that are merged."""
+    days = value_counts(table(spark, sf_dir, "facilities"), "facility_vertical", MEASURES, "ingested_at")
+    return percentiles(days)
+
+
+def p5_percentiles_1pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same within one percent of the value, from bounded summaries."""
+    return percentiles(value_counts(table(spark, sf_dir, "facilities"), "facility_vertical", MEASURES, "ingested_at", 0.01))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_sizes(table(spark, sf_dir, "documents")))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -75,5 +95,16 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_organisations": p2_organisations, "p4_found": p4_found, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
-ORACLE: dict[str, str] = {}
+QUERIES = {"p5_percentiles": p5_percentiles, "p5_percentiles_1pct": p5_percentiles_1pct, "p7_containers": p7_containers, "p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_organisations": p2_organisations, "p4_found": p4_found, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
+_ENTRIES = """
+WITH e AS (SELECT 'voc_tons_2020' AS measure, facility_vertical AS grp, voc_tons_2020 AS value FROM facilities
+  UNION ALL SELECT 'dart_rate', facility_vertical, dart_rate FROM facilities),
+r AS (SELECT measure, grp, {value} AS value, row_number() OVER (PARTITION BY measure, grp ORDER BY value) AS k,
+        count(*) OVER (PARTITION BY measure, grp) AS n FROM e WHERE value IS NOT NULL AND NOT isnan(value))
+SELECT measure, grp, quantile, min(value) AS value, n FROM r, (VALUES (0.5), (0.9), (0.95), (0.99)) q(quantile)
+WHERE k >= greatest(1, ceil(quantile * n - 1e-9)) GROUP BY measure, grp, quantile, n"""
+_BUCKET = "CASE WHEN value = 0 THEN value ELSE 2 * pow(1.01 / 0.99, ceil(ln(value) / ln(1.01 / 0.99))) / (1.01 / 0.99 + 1) END"
+ORACLE: dict[str, str] = {
+    "p5_percentiles": _ENTRIES.format(value="value").replace("SELECT measure, grp, quantile,", "SELECT measure, grp, CAST(quantile AS DOUBLE) AS quantile,"),
+    "p5_percentiles_1pct": _ENTRIES.format(value=_BUCKET).replace("SELECT measure, grp, quantile,", "SELECT measure, grp, CAST(quantile AS DOUBLE) AS quantile,"),
+}
