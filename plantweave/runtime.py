@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,17 +20,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on shared storage, so that lost executors cost no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``, else the context's checkpoint folder; only where
+    neither is set (local tests) a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or ""
+    if not named:
+        context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = context.get() if context.isDefined() else os.path.join(tempfile.gettempdir(), "plantweave-shared")
+    return named.rstrip("/")
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "plantweave-checkpoints"))
-    return df.checkpoint(eager=True)
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a compressed table on shared storage and read it from there, so that lost executors cost no
+    recomputation. The table is deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/plantweave-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not _WRITTEN:
+        atexit.register(_delete_written)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def _delete_written() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the session has ended; the cluster's own clean-up is left
+            return
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
