@@ -20,7 +20,7 @@ from ..functions.text import DROPPED_WORDS, SITE_LABELS, STATES, company_key
 NEAR_M, SAME_M, SPAN_M, CONSENSUS_M, ALIKE, BUCKET = 750.0, 50.0, 1_500.0, 100.0, 0.6, 500
 CONFIDENCE = {"singleton": 1.0, "1": 0.95, "2b": 0.80, "2": 0.75, "oversized_chain": 0.40}
 CLUSTER_SCHEMA = (
-    "account string, idx int, cluster int, tier string, confidence double, lat double, lon double, suspect boolean, "
+    "account string, idx int, cluster long, tier string, confidence double, lat double, lon double, suspect boolean, "
     "review_a int, review_b int, metres double, similarity double"
 )
 
@@ -36,8 +36,8 @@ def assign_accounts(records: DataFrame, aliases: Mapping[str, str], name: str, p
 
 
 def split_oversized(records: DataFrame, cap: int = BUCKET) -> DataFrame:
-    """Adds ``oversized``: the account has more than ``cap`` records. Counts are combined before the shuffle."""
-    counts = records.groupBy("account").agg((F.count(F.lit(1)) > cap).alias("oversized"))
+    """Adds ``size`` and ``oversized``: the account has more than ``cap`` records. Counts are combined before the shuffle."""
+    counts = records.groupBy("account").agg(F.count(F.lit(1)).alias("size")).withColumn("oversized", F.col("size") > cap)
     return records.join(counts, "account")
 
 
@@ -165,12 +165,12 @@ def cluster(records: DataFrame, cap: int = BUCKET) -> tuple[DataFrame, DataFrame
     result depends on the order of the pairs; in larger accounts every record stays alone. Order is by id.
     """
     sized = split_oversized(records, cap)
-    small = sized.filter("not oversized").withColumn("idx", F.row_number().over(Window.partitionBy("account").orderBy("id")))
+    small = sized.filter("not oversized and size > 1").withColumn("idx", F.row_number().over(Window.partitionBy("account").orderBy("id")))
     got = small.select("account", "idx", "name", "address_key", "lat", "lon").groupBy("account").applyInPandas(cluster_bucket, CLUSTER_SCHEMA)
     ids = small.select("account", "idx", "id")
     members = got.filter("idx is not null").join(ids, ["account", "idx"]).select("account", "id", "cluster", "tier", "confidence", "lat", "lon", "suspect")
-    alone = sized.filter("oversized").select(
-        "account", "id", F.xxhash64("id").cast("int").alias("cluster"), F.lit("singleton").alias("tier"), F.lit(1.0).alias("confidence"), "lat", "lon", F.lit(False).alias("suspect")
+    alone = sized.filter("oversized or size = 1").select(
+        "account", "id", F.when(F.col("size") == 1, F.lit(0).cast("long")).otherwise(F.xxhash64("id")).alias("cluster"), F.lit("singleton").alias("tier"), F.lit(1.0).alias("confidence"), "lat", "lon", F.lit(False).alias("suspect")
     )
     a = ids.select("account", F.col("idx").alias("review_a"), F.col("id").alias("record_a"))
     b = ids.select("account", F.col("idx").alias("review_b"), F.col("id").alias("record_b"))

@@ -25,11 +25,21 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: StructType, bad
     ``bad`` says what an unreadable value costs: "cell" makes it null, "row" drops its row, "fail" raises. With
     ``audit`` (and "cell") the raw text of touched rows is kept in ``_corrupt_record``. The schema is never inferred.
     """
-    mode = {"cell": "PERMISSIVE", "row": "DROPMALFORMED", "fail": "FAILFAST"}[bad]
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", mode).option("enforceSchema", False)
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("enforceSchema", False)
+    corrupt = StructField("_corrupt_record", StringType())
+    if bad == "row":
+        # Read as text and cast here: the reader's own mode looks only at the columns a query needs, so that the rows
+        # it drops would differ from query to query.
+        text = reader.option("columnNameOfCorruptRecord", corrupt.name).schema(StructType([*text_schema(schema.names).fields, corrupt])).csv(path)
+        casts = {f.name: F.col(f.name).try_cast(f.dataType) for f in schema.fields}
+        ok = F.col(corrupt.name).isNull()
+        for f in schema.fields:
+            ok = ok & (F.col(f.name).isNull() | casts[f.name].isNotNull())
+        return text.filter(ok).select(*(c.alias(n) for n, c in casts.items()))
+    reader = reader.option("mode", {"cell": "PERMISSIVE", "fail": "FAILFAST"}[bad])
     if audit and bad == "cell":
-        schema = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
-        reader = reader.option("columnNameOfCorruptRecord", "_corrupt_record")
+        schema = StructType([*schema.fields, corrupt])
+        reader = reader.option("columnNameOfCorruptRecord", corrupt.name)
     return reader.schema(schema).csv(path)
 
 
