@@ -17,8 +17,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..runtime import cut, salted
+from ..runtime import checked_broadcast, cut, salted
 from .addresses import STATES, plain
 
 LEGAL = frozenset("INC INCORPORATED LLC LC LTD LIMITED CORP CORPORATION CRP CO COMPANY LP LLP PLC PC".split())
@@ -41,7 +42,7 @@ SHORT = {
     "KATHERINE": "KATE KATHY", "SUSAN": "SUE", "DEBORAH": "DEB DEBBIE", "PATRICIA": "PAT TRISH", "VICTORIA": "VICKY", "ALEXANDRA": "ALEX", "FRANCISCO": "PACO", "GREGORY": "GREG", "JOSE": "PEPE",
 }
 NICK = {n: full for full, all_ in SHORT.items() for n in all_.split()}
-PIVOTS = 256
+PIVOTS, RINGS = 256, 6
 _CODE = re.compile(r"^\s*(?:[A-Z]{0,3}\d[\dA-Z]{2,})\s*-\s+")
 _DIGITS = str.maketrans("0135", "OIES")
 
@@ -188,16 +189,17 @@ def organisation(name: str | None) -> tuple[list[str], list[str], list[str]] | N
     return sorted(set(words)), sorted(set(initials)), sorted(trades or ())
 
 
-def parsed_names(names: DataFrame, column: str = "name") -> DataFrame:
-    """(name, words, initials, trades) of each distinct string that names an organisation."""
+@F.pandas_udf(StringType())
+def _organisation(name: pd.Series) -> pd.Series:
+    return pd.Series(["|".join((" ".join(o[0]), " ".join(o[1]), " ".join(o[2]))) if (o := organisation(n)) else None for n in name], dtype=object)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(n, *o) for n in b["name"] if (o := organisation(n)) is not None]
-            yield pd.DataFrame(rows, columns=["name", "words", "initials", "trades"])
 
+def parsed_names(names: DataFrame, column: str = "name") -> DataFrame:
+    """(name, words, initials, trades) of each distinct string that names an organisation; lists may be empty."""
     one = names.select(F.col(column).cast("string").alias("name")).filter("name is not null").distinct()
-    return one.mapInPandas(run, "name string, words array<string>, initials array<string>, trades array<string>")
+    read = _organisation.asNondeterministic()  # else the filter would be pushed below distinct() and parse again
+    read = one.withColumn("o", read("name")).filter("o is not null").withColumn("o", F.split("o", r"\|"))
+    return read.select("name", *(F.filter(F.split(F.col("o")[k], " "), lambda x: x != "").alias(n) for k, n in enumerate(("words", "initials", "trades"))))
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
@@ -257,15 +259,21 @@ def radius_pairs(words: DataFrame, radius: int, pivots: list[str]) -> DataFrame:
                 home = d.argmin(1)
                 near = d <= d[np.arange(len(d)), home][:, None] + 2 * radius
                 i, j = np.nonzero(near)
-                yield pd.DataFrame({"word": part["word"].to_numpy()[i], "support": part["support"].to_numpy()[i], "cell": j, "home": home[i] == j, "far": d[i, j].astype("int32")})
+                rows = {"word": part["word"].to_numpy()[i], "support": part["support"].to_numpy()[i], "cell": j, "home": home[i] == j, "far": d[i, j].astype("int32")}
+                yield pd.DataFrame(rows | {f"far{k}": d[i, min(k, d.shape[1] - 1)].astype("int32") for k in range(RINGS)})
 
     if not pivots:
         return spark.createDataFrame([], "word_a string, word_b string, support_a long, support_b long, d int")
-    placed = cut(words.select("word", F.col("support").cast("long")).repartition(64).mapInPandas(assign, "word string, support long, cell int, home boolean, far int"))
-    a, b = placed.filter("home").alias("a"), placed.alias("b")
+    placed = cut(words.select("word", F.col("support").cast("long")).repartition(64).mapInPandas(assign, "word string, support long, cell int, home boolean, far int, " + ", ".join(f"far{k} int" for k in range(RINGS))))
+    # The triangle inequality to pivots spares most exact distances: words within the radius lie in rings around each
+    # pivot that differ by no more than it. The ring around the cell's own pivot is part of the join's key.
+    rings = F.explode(F.sequence(F.greatest(F.col("far") - radius, F.lit(0)), F.col("far") + radius))
+    a, b = placed.filter("home").withColumn("ring", rings).alias("a"), placed.alias("b")
     d = F.levenshtein(F.col("a.word"), F.col("b.word"), radius)
-    # the ring test is the triangle inequality to the pivot: it spares most exact distances
-    on = (F.col("a.cell") == F.col("b.cell")) & (F.abs(F.col("a.far") - F.col("b.far")) <= radius) & (F.abs(F.length("a.word") - F.length("b.word")) <= radius)
+    on = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.ring") == F.col("b.far"))
+    for k in range(RINGS):
+        on = on & (F.abs(F.col(f"a.far{k}") - F.col(f"b.far{k}")) <= radius)
+    on = on & (F.abs(F.length("a.word") - F.length("b.word")) <= radius)
     pairs = a.join(b, on & (F.col("a.word") != F.col("b.word")) & (d >= 0))
     return pairs.select(F.col("a.word").alias("word_a"), F.col("b.word").alias("word_b"), F.col("a.support").alias("support_a"), F.col("b.support").alias("support_b"), d.alias("d"))
 
@@ -323,10 +331,16 @@ def organisations(names: DataFrame, column: str = "name") -> DataFrame:
     extra = parts.select(F.explode("parts").alias("word")).distinct().join(words, "word", "left_anti").withColumn("support", F.lit(0).cast("long"))
     lead = cut(spellings(words.unionByName(extra)))
     alone = lead.filter("word <> canonical").select("word")
-    split = parts.join(alone, "word", "left_anti")
-    each = parsed.select("name", "initials", "trades", F.explode("words").alias("word")).join(split, "word", "left")
-    each = each.withColumn("word", F.explode(F.coalesce("parts", F.array("word")))).drop("parts").join(lead, "word")
-    full = each.groupBy("name").agg(F.array_sort(F.collect_set("canonical")).alias("words"), F.first("initials").alias("initials"), F.first("trades").alias("trades"))
+    split = parts.join(alone, "word", "left_anti").select("word", F.explode("parts").alias("part"))
+    split = split.join(lead.withColumnRenamed("word", "part"), "part").groupBy("word").agg(F.collect_set("canonical").alias("as"))
+    whole = lead.join(split.select("word"), "word", "left_anti").select("word", F.array("canonical").alias("as"))
+    reading = checked_broadcast(cut(whole.unionByName(split)))
+    full, longest = parsed, parsed.agg(F.max(F.size("words"))).first()[0] or 0
+    for k in range(longest):  # a name has few words: joining each in place needs no regrouping of the names
+        full = full.withColumn("__w", F.get("words", F.lit(k))).join(reading.select(F.col("word").alias("__w"), F.col("as").alias(f"__{k}")), "__w", "left").drop("__w")
+    none = F.array().cast("array<string>")
+    spelt = F.array_sort(F.array_distinct(F.flatten(F.array(none, *(F.coalesce(f"__{k}", none) for k in range(longest))))))
+    full = full.select("name", spelt.alias("words"), "initials", "trades")
     full = cut(full.withColumn("key", F.array_join("words", " ")))
     sure = full.filter((F.size("words") >= 2) & (F.size("trades") == 1)).select("name", "key", "words", F.col("trades")[0].alias("trade"))
     orgs = sure.groupBy("key", "trade").agg(F.first("words").alias("owords"))

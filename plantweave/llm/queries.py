@@ -32,7 +32,7 @@ def site_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of the three sources with their names and addresses, each different row once."""
+    """Records of the three sources with their names and addresses."""
     e, o, d = (table(spark, sf_dir, t) for t in ("frs_facilities_raw", "osha_establishments", "dod_awards"))
     place = ("record", "source", "names", "address", "city", "state", "zip_code")
     epa = e.select(F.concat(F.lit("epa:"), "registry_id"), F.lit("epa"), F.array("facility_name"), "address", "city", "state", "zip").toDF(*place)
@@ -42,7 +42,7 @@ def all_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     dod = d.select(
         F.concat(F.lit("dod:"), "account_key"), F.lit("dod"), F.array("recipient_name"), "recipient_address_line1", "recipient_city", "recipient_state", "recipient_zip"
     ).toDF(*place)
-    return epa.unionByName(osha).unionByName(dod).distinct()
+    return epa.unionByName(osha).unionByName(dod)
 
 
 def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
