@@ -38,7 +38,7 @@ PLACE_STARTS = frozenset("NORTH SOUTH EAST WEST LAKE FORT FT SAINT ST MOUNT MT P
 LABELS = frozenset("PLANT FACILITY WORKS SITE BUILDING BLDG HALL HQ HEADQUARTERS WAREHOUSE SHOP DIV DIVISION ASSEMBLY MAIN MACHINE ANNEX YARD BAY OFFICE UNIT".split())
 SHORT = {
     "ROBERT": "BOB ROB ROBT", "WILLIAM": "BILL WILL WM", "RICHARD": "DICK RICK RICH", "THOMAS": "TOM THOS", "JAMES": "JIM JAS", "JOSEPH": "JOE JOS", "CHARLES": "CHUCK CHAS CHARLIE",
-    "MICHAEL": "MIKE", "EDWARD": "ED TED EDW", "SAMUEL": "SAM SAML", "THEODORE": "THEO", "ANTHONY": "TONY", "ELIZABETH": "BETH LIZ ELIZ", "MARGARET": "MAGGIE MEG PEG",
+    "MICHAEL": "MIKE", "EDWARD": "ED TED EDW", "SAMUEL": "SAM SAML", "THEODORE": "THEO", "ANTHONY": "TONY", "ELIZABETH": "BETH LIZ ELIZ", "MARGARET": "MAGGIE MEG PEG PEGGY",
     "KATHERINE": "KATE KATHY", "SUSAN": "SUE", "DEBORAH": "DEB DEBBIE", "PATRICIA": "PAT TRISH", "VICTORIA": "VICKY", "ALEXANDRA": "ALEX", "FRANCISCO": "PACO", "GREGORY": "GREG", "JOSE": "PEPE",
 }
 NICK = {n: full for full, all_ in SHORT.items() for n in all_.split()}
@@ -88,7 +88,7 @@ def readings(token: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
         return (), (token,)
     for test in (
         lambda w: 3 <= len(token) < len(w) and w.startswith(token),
-        lambda w: 3 <= len(token) < len(w) - 1 and w[0] == token[0] and (w[-1] == token[-1] or token[-1] == "G") and _in_order(token, w) and sum(c in "AEIOU" for c in token) <= 2,
+        lambda w: 3 <= len(token) < len(w) - 1 and w[0] == token[0] and (w[-1] == token[-1] or token[-1] == "G" or not set(token) & set("AEIOU")) and _in_order(token, w) and sum(c in "AEIOU" for c in token) <= 2,
         lambda w: len(token) >= 4 and _slips(token, w) == 1,
         lambda w: len(token) >= 7 and _slips(token, w) == 2,
     ):
@@ -152,15 +152,19 @@ def organisation(name: str | None) -> tuple[list[str], list[str], list[str]] | N
             if len(w) == 2 and words and not (r[0] or r[1]):
                 guess = tuple(x for x in TRADES if x[0] == w[0])
                 guess = tuple(x for x in guess if x.startswith(w) or any(g[0] == w[1] for g in GENERAL))
+                if guess and len(words) == 1 and first_trade in TRADES:
+                    words.append(first_trade)
+                    trades, first_trade = guess, ""
+                    continue
                 if guess and not seen_trade:  # initials of trade and general word, or a name cut off
                     trades, seen_trade = guess, True
                     continue
             if r[0] and not seen_trade:
                 trades, seen_trade = r[0], True
                 first_trade = w
-            elif r[0] and len(words) == 1 and not general_seen and not legal:  # the first trade word is a proper word
+            elif r[0] and len(words) <= 1 and first_trade in TRADES and not legal:  # the first trade word is a proper word
                 words.append(first_trade)
-                trades = r[0]
+                trades, first_trade = r[0], w
             elif r[0] or r[1]:
                 general_seen = True
             elif len(w) > 2 and NICK.get(w, w) not in words:
@@ -169,7 +173,7 @@ def organisation(name: str | None) -> tuple[list[str], list[str], list[str]] | N
         if label and seen_trade and tokens and tokens[-1] in LABELS:
             cutoff = max((i for i, w in enumerate(tokens) if w in LEGAL or any(readings(w))), default=-1)
             before = {NICK.get(w, w) for w in tokens[:cutoff]}
-            if sum(w in before for w in words) >= 1 and cutoff >= 1:
+            if sum(w in before for w in words) >= 2:
                 words = [w for w in words if w in before or w not in tokens]
     if label:
         words = words[:2]
@@ -280,15 +284,16 @@ def radius_pairs(words: DataFrame, radius: int, pivots: list[str]) -> DataFrame:
 
 def _known(words: DataFrame) -> DataFrame:
     """word -> parts for rare long words that are two words written together, one of them known."""
-    long = words.filter("length(word) >= 12 and support <= 2")
-    cuts = long.select("word", F.explode(F.sequence(F.lit(3), F.length("word") - 3)).alias("at"))
-    cuts = cuts.select("word", F.substring("word", F.lit(1), F.col("at")).alias("left"), F.substring(F.col("word"), F.col("at") + 1, F.length("word")).alias("right"))
+    long = words.filter("length(word) >= 12 and support <= 20").withColumnRenamed("support", "own")
+    cuts = long.select("word", "own", F.explode(F.sequence(F.lit(3), F.length("word") - 3)).alias("at"))
+    cuts = cuts.select("word", "own", F.substring("word", F.lit(1), F.col("at")).alias("left"), F.substring(F.col("word"), F.col("at") + 1, F.length("word")).alias("right"))
     often = words.filter("support >= 3 and length(word) <= 16").select("word", "support")
     l, r = often.select(F.col("word").alias("left"), F.col("support").alias("sl")), often.select(F.col("word").alias("right"), F.col("support").alias("sr"))
     scored = cuts.join(l, "left", "left").join(r, "right", "left").filter("sl is not null or sr is not null")
     both = F.when(F.col("sl").isNotNull() & F.col("sr").isNotNull(), 1000).otherwise(0)
     part = F.greatest(F.when(F.col("sl").isNotNull(), F.length("left")).otherwise(0), F.when(F.col("sr").isNotNull(), F.length("right")).otherwise(0))
-    scored = scored.withColumn("score", both + part).filter("score >= 4")
+    both_often = F.coalesce(F.least("sl", "sr") >= 3 * F.col("own"), F.lit(False))
+    scored = scored.withColumn("score", both + part).filter((F.col("score") >= 4) & (both_often | (F.col("own") <= 2)))
     return scored.groupBy("word").agg(F.max_by(F.array("left", "right"), F.struct("score", "left")).alias("parts"))
 
 
@@ -316,12 +321,28 @@ def spellings(words: DataFrame, radius: int = 2, pivots: int = PIVOTS) -> DataFr
     return steps
 
 
+def _attached(orgs: DataFrame, words: DataFrame) -> DataFrame:
+    """(key, trade, to): organisations of two words that are a misspelling of a better known one: of the same trade,
+    with one word in common and the other, a word not a tenth as common, within two letters (one if under five) or
+    cut off after three or more."""
+    parts = orgs.filter(F.size("owords") == 2).select("key", "trade", "names", F.explode(F.array(F.struct(F.col("owords")[0].alias("same"), F.col("owords")[1].alias("other")), F.struct(F.col("owords")[1].alias("same"), F.col("owords")[0].alias("other")))).alias("p"))
+    parts = parts.select("key", "trade", "names", "p.*").join(words.withColumnRenamed("word", "other"), "other")
+    a, b = parts.alias("a"), parts.alias("b")
+    d = F.levenshtein(F.col("a.other"), F.col("b.other"))
+    near = d <= F.when(F.length("a.other") >= 5, 2).otherwise(1)
+    cutoff = (F.length("a.other") >= 3) & F.col("b.other").startswith(F.col("a.other"))
+    on = (F.col("a.same") == F.col("b.same")) & (F.col("a.trade") == F.col("b.trade")) & (F.col("b.names") >= F.col("a.names")) & (10 * F.col("a.support") <= F.col("b.support"))
+    pairs = a.join(b, on & (near | cutoff))
+    return pairs.groupBy(F.col("a.key").alias("key"), F.col("a.trade").alias("trade")).agg(F.min_by("b.key", F.struct(d, -F.col("b.names"), F.col("b.key"))).alias("to"))
+
+
 def organisations(names: DataFrame, column: str = "name") -> DataFrame:
     """(name, org): each distinct string that names an organisation and a key shared by the organisation's names.
 
     Strings that name none (null, blank, labels, numbers, places) are left out; an empty table gives no rows; other
-    columns are ignored. Names with the same canonical words belong together if they have the same trade. A name whose
-    trade is missing or ambiguous, or that has one word (with or without an initial), goes to the one organisation
+    columns are ignored. Names with the same canonical words belong together if they have the same trade; a rare
+    organisation that is a misspelling of a better known one joins it. A name whose
+    trade is missing, misspelt or ambiguous, or that has one word (with or without an initial), goes to the one organisation
     that agrees with it, and stays alone where several do.
     """
     parsed = cut(parsed_names(names, column))
@@ -330,7 +351,8 @@ def organisations(names: DataFrame, column: str = "name") -> DataFrame:
     parts = cut(_known(words))
     extra = parts.select(F.explode("parts").alias("word")).distinct().join(words, "word", "left_anti").withColumn("support", F.lit(0).cast("long"))
     lead = cut(spellings(words.unionByName(extra)))
-    alone = lead.filter("word <> canonical").select("word")
+    own = words.withColumnRenamed("word", "canonical").withColumnRenamed("support", "s2")
+    alone = lead.filter("word <> canonical").join(own, "canonical").filter("s2 >= 10").select("word")
     split = parts.join(alone, "word", "left_anti").select("word", F.explode("parts").alias("part"))
     split = split.join(lead.withColumnRenamed("word", "part"), "part").groupBy("word").agg(F.collect_set("canonical").alias("as"))
     whole = lead.join(split.select("word"), "word", "left_anti").select("word", F.array("canonical").alias("as"))
@@ -343,8 +365,17 @@ def organisations(names: DataFrame, column: str = "name") -> DataFrame:
     full = full.select("name", spelt.alias("words"), "initials", "trades")
     full = cut(full.withColumn("key", F.array_join("words", " ")))
     sure = full.filter((F.size("words") >= 2) & (F.size("trades") == 1)).select("name", "key", "words", F.col("trades")[0].alias("trade"))
-    orgs = sure.groupBy("key", "trade").agg(F.first("words").alias("owords"))
-    vague = full.filter((F.size("words") >= 2) & (F.size("trades") != 1)).alias("v")
+    orgs = cut(sure.groupBy("key", "trade").agg(F.first("words").alias("owords"), F.count(F.lit(1)).alias("names")))
+    to = cut(_attached(orgs, words))
+    final = lambda key, trade: F.concat_ws("|", F.coalesce("to", F.col(key)), F.col(trade))
+    sure = sure.join(to, ["key", "trade"], "left").select("name", final("key", "trade").alias("org"))
+    orgs = orgs.join(to, ["key", "trade"], "left_anti")
+    triple = full.filter((F.size("words") == 3) & (F.size("trades") == 0)).select("name", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"), "words")
+    triple = triple.select("name", F.col("words")[F.col("k")].alias("odd"), F.array_join(F.filter("words", lambda x: x != F.col("words")[F.col("k")]), " ").alias("key"))
+    slip = F.least(F.levenshtein(F.col("odd"), F.col("trade")), F.levenshtein(F.col("odd"), F.substring(F.col("trade"), F.lit(1), F.length("odd"))))
+    misspelt = triple.join(orgs.select("key", "trade"), "key").filter((F.length("odd") >= 4) & (slip <= F.when(F.length("odd") >= 7, 3).otherwise(2)))
+    misspelt = cut(misspelt.groupBy("name").agg(F.min_by(F.concat_ws("|", "key", "trade"), F.struct(slip, "trade")).alias("org")))
+    vague = full.join(misspelt.select("name"), "name", "left_anti").filter((F.size("words") >= 2) & (F.size("trades") != 1)).alias("v")
     fits = (F.size("v.trades") == 0) | F.array_contains(F.col("v.trades"), F.col("o.trade"))
     one = vague.join(orgs.alias("o"), (F.col("v.key") == F.col("o.key")) & fits, "left")
     one = one.groupBy("v.name", "v.key", "v.trades").agg(F.count("o.trade").alias("n"), F.min("o.trade").alias("trade"))
@@ -361,7 +392,7 @@ def organisations(names: DataFrame, column: str = "name") -> DataFrame:
         .otherwise(F.concat(F.col("key"), F.lit(" "), F.coalesce("initial", F.lit("")), F.lit("|"), F.array_join("trades", "/")))
         .alias("org"),
     )
-    return sure.select("name", F.concat_ws("|", "key", "trade").alias("org")).unionByName(one).unionByName(few)
+    return sure.unionByName(misspelt).unionByName(one).unionByName(few)
 
 
 def spelling_pairs(names: DataFrame, column: str = "name") -> DataFrame:
