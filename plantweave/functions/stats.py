@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import checked_broadcast, cut
 
 
 def present(c: Column) -> Column:
@@ -63,43 +63,49 @@ def first_estimate(*steps: tuple[str, Column], none: str = "no_estimate") -> tup
     return value, basis.otherwise(none)
 
 
-def group_percentile(df: DataFrame, value: str, group: str, out: str) -> DataFrame:
-    """Adds the average-rank percentile (0 to 100) of ``value`` within ``group``; null where either is null.
+def cumulative(counts: DataFrame, group: str, value: str, n: str, parts: int = 64) -> DataFrame:
+    """``counts`` (one row a group and value) with ``below``, the count of smaller values of the group, and ``total``.
 
-    Ranks come from the group's distinct values with their counts, which are combined before the shuffle, so a group
-    that holds a third of all rows costs its distinct values, not its rows. A group of one has percentile 0.
+    Rows are range-sorted by group and value; each range has its own running sums, to which the totals of the group's
+    earlier ranges are added. So a group may hold any share of the rows, or all of them, without being one task.
     """
-    counts = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(F.col(group).alias("__g"), F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    up = Window.partitionBy("__g").orderBy("__v")
+    ranged = cut(counts.repartitionByRange(parts, F.col(group).asc_nulls_first(), F.col(value)).withColumn("__r", F.spark_partition_id()))
     whole = Window.partitionBy("__g")
-    below = F.sum("__c").over(up) - F.col("__c")
-    ranked = counts.select("__g", "__v", ((below + (F.col("__c") - 1) / 2) / F.greatest(F.sum("__c").over(whole) - 1, F.lit(1)) * 100).alias(out))
-    return df.join(ranked, (F.col(group) == F.col("__g")) & (F.col(value) == F.col("__v")), "left").drop("__g", "__v")
-
-
-def global_percentile(df: DataFrame, value: str, out: str, parts: int = 64) -> DataFrame:
-    """As ``group_percentile`` over the whole table, without a window over one partition: distinct values are
-    range-sorted, each range has running sums and the totals of the ranges before it are added."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    ranges = cut(counts.repartitionByRange(parts, "__v").withColumn("__r", F.spark_partition_id()))
-    totals = ranges.groupBy("__r").agg(F.sum("__c").alias("__t"))
-    order = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # at most ``parts`` rows
-    totals = totals.select("__r", F.coalesce(F.sum("__t").over(order), F.lit(0)).alias("__skip"), F.sum("__t").over(Window.partitionBy()).alias("__n"))
-    own = Window.partitionBy("__r").orderBy("__v")
-    placed = ranges.join(F.broadcast(totals), "__r")
-    below = F.col("__skip") + F.sum("__c").over(own) - F.col("__c")
-    ranked = placed.select("__v", ((below + (F.col("__c") - 1) / 2) / F.greatest(F.col("__n") - 1, F.lit(1)) * 100).alias(out))
-    return df.join(ranked, F.col(value) == F.col("__v"), "left").drop("__v")
+    totals = ranged.groupBy(F.col(group).alias("__g"), F.col("__r").alias("__q")).agg(F.sum(n).alias("__t"))  # at most groups + parts rows
+    totals = totals.select("__g", "__q", (F.sum("__t").over(whole.orderBy("__q")) - F.col("__t")).alias("__skip"), F.sum("__t").over(whole).alias("total"))
+    placed = ranged.join(checked_broadcast(totals), F.col(group).eqNullSafe(F.col("__g")) & (F.col("__r") == F.col("__q")))
+    own = F.sum(n).over(Window.partitionBy(group, "__r").orderBy(value)) - F.col(n)
+    return placed.withColumn("below", F.col("__skip") + own).drop("__g", "__q", "__r", "__skip")
+
+
+def group_percentile(df: DataFrame, value: str, group: str | None, out: str) -> DataFrame:
+    """Adds the average-rank percentile (0 to 100) of ``value`` within ``group`` (None: the whole table); null where
+    either is null. A group of one has percentile 0. Values are counted before they are shuffled."""
+    kept = df.filter(F.col(value).isNotNull())
+    kept = kept.filter(F.col(group).isNotNull()) if group else kept
+    key = F.col(group) if group else F.lit(0)
+    counts = kept.groupBy(key.alias("__g1"), F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    ranked = cumulative(counts, "__g1", "__v", "__c")
+    ranked = ranked.select("__g1", "__v", ((F.col("below") + (F.col("__c") - 1) / 2) / F.greatest(F.col("total") - 1, F.lit(1)) * 100).alias(out))
+    return df.join(ranked, (key == F.col("__g1")) & (F.col(value) == F.col("__v")), "left").drop("__g1", "__v")
 
 
 def upper_median(df: DataFrame, group: str, value: str, at_least: int = 3) -> DataFrame:
     """(group, upper_median, n): of an even number of values the greater middle one; groups with fewer than
-    ``at_least`` values are left out. From value counts, as ``group_percentile``."""
+    ``at_least`` values are left out."""
     counts = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    running = F.sum("__c").over(Window.partitionBy(group).orderBy("__v"))
-    n = F.sum("__c").over(Window.partitionBy(group))
-    at = counts.select(group, "__v", running.alias("__upto"), n.alias("n")).filter((F.col("__upto") > F.floor(F.col("n") / 2)) & (F.col("n") >= at_least))
-    return at.groupBy(group, "n").agg(F.min("__v").alias("upper_median"))
+    middle = F.floor(F.col("total") / 2)
+    at = cumulative(counts, group, "__v", "__c").filter((F.col("below") <= middle) & (F.col("below") + F.col("__c") > middle) & (F.col("total") >= at_least))
+    return at.select(group, F.col("__v").alias("upper_median"), F.col("total").alias("n"))
+
+
+def positions(df: DataFrame, order: Sequence[Column], out: str, parts: int = 64) -> DataFrame:
+    """Adds the row number in ``order``, which must be total, without bringing all rows into one task."""
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("__r", F.spark_partition_id()))
+    totals = ranged.groupBy(F.col("__r").alias("__q")).agg(F.count(F.lit(1)).alias("__t"))  # at most ``parts`` rows
+    totals = totals.select("__q", (F.sum("__t").over(Window.orderBy("__q")) - F.col("__t")).alias("__skip"))
+    numbered = ranged.join(F.broadcast(totals), F.col("__r") == F.col("__q"))
+    return numbered.withColumn(out, F.col("__skip") + F.row_number().over(Window.partitionBy("__r").orderBy(*order))).drop("__r", "__q", "__skip")
 
 
 def weighted(parts: dict[str, float]) -> Column:

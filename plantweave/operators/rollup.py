@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import positions
+
 
 def sweep(df: DataFrame, score: Column, thresholds: list[float]) -> DataFrame:
     """(threshold, passed) in one pass over the rows."""
@@ -52,6 +54,6 @@ def region_top(df: DataFrame, region: str, parent: str, amount: str, k: int = 5)
 
 def churn(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
     """(moved): how many positions hold another key when ranked by ``after`` instead of ``before``."""
-    a = df.select(key, F.row_number().over(Window.orderBy(F.desc(before), key)).alias("pos"))
-    b = df.select(F.col(key).alias("other"), F.row_number().over(Window.orderBy(F.desc(after), key)).alias("pos"))
+    a = positions(df.select(key, before), [F.desc(before), F.col(key)], "pos")
+    b = positions(df.select(F.col(key).alias("other"), after), [F.desc(after), F.col("other")], "pos")
     return a.join(b, "pos").agg(F.count_if(F.col(key) != F.col("other")).alias("moved"))

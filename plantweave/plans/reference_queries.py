@@ -87,7 +87,7 @@ SELECT award_id, round(CASE WHEN v IS NOT NULL THEN (rank() OVER (ORDER BY v NUL
 )
 def q_percentile_global_log(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "dod_awards").select("award_id", F.when(F.col("award_amount") > -1, F.log(F.lit(1.0) + F.col("award_amount"))).alias("v"))
-    return S.global_percentile(d, "v", "pct").select("award_id", F.round("pct", 5).alias("pct"))
+    return S.group_percentile(d, "v", None, "pct").select("award_id", F.round("pct", 5).alias("pct"))
 
 
 @query(
@@ -482,7 +482,7 @@ def q_areas_without_places(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(f, "zip", "left_anti")
 
 
-_COLLAPSE = """WITH o AS (SELECT DISTINCT establishment_id, year, dart_rate, establishment_name, city, annual_average_employees, company_name FROM osha_establishments),
+_COLLAPSE = """WITH o AS (SELECT DISTINCT establishment_id, year, dart_rate, establishment_name, city, annual_average_employees, company_name FROM osha_establishments WHERE establishment_id IS NOT NULL),
 k AS (SELECT *, row_number() OVER (PARTITION BY establishment_id ORDER BY year DESC, dart_rate DESC NULLS LAST, establishment_name DESC NULLS LAST, city DESC NULLS LAST, annual_average_employees DESC NULLS LAST, company_name DESC NULLS LAST) AS l,
   row_number() OVER (PARTITION BY establishment_id ORDER BY year, dart_rate NULLS FIRST, establishment_name NULLS FIRST, city NULLS FIRST, annual_average_employees NULLS FIRST, company_name NULLS FIRST) AS e FROM o)
 SELECT establishment_id, max(establishment_name) FILTER (WHERE l = 1) AS establishment_name, max(city) FILTER (WHERE l = 1) AS city, max(annual_average_employees) FILTER (WHERE l = 1) AS annual_average_employees,
@@ -621,12 +621,13 @@ def q_status_share(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").groupBy("o_custkey").agg(share.alias("done_share"), F.count_if(F.col("o_orderstatus") == "O").alias("open"))
 
 
-@query("WITH e AS (SELECT user_id, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY coalesce(value, 1), event_id) AS items FROM events WHERE event_type = 'error' GROUP BY 1) SELECT * FROM e")
+@query("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(value, 1), event_id) AS pos FROM events WHERE event_type = 'error'")
 def q_review_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Items of each group with the group's size and their place in it; rows, not collected lists."""
     e = table(spark, sf, "events").filter("event_type = 'error'")
-    items = F.array_sort(F.collect_list(F.struct(F.coalesce("value", F.lit(1.0)).alias("v"), F.col("event_id").alias("i"))))
-    g = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), items.alias("items"))
-    return g.withColumn("items", F.array_join(F.transform("items", lambda x: x["i"].cast("string")), ","))
+    w = Window.partitionBy("user_id")
+    place = F.row_number().over(w.orderBy(F.coalesce("value", F.lit(1.0)), "event_id"))
+    return e.select("user_id", "event_id", F.count(F.lit(1)).over(w).alias("n"), place.alias("pos"))
 
 
 _AB = "s AS (SELECT s_suppkey, s_acctbal AS before, s_acctbal * (1 + (s_suppkey % 7) / 10.0) AS after FROM supplier)"

@@ -65,7 +65,7 @@ def test_percentiles_against_brute_force(spark):
         for r, want in zip(own, average_rank([r[2] for r in own]), strict=True):
             assert got[r[0]] == (None if want is None else pytest.approx(want))
     assert all(got[r[0]] is None for r in rows if r[1] is None) and got[999] == 0.0
-    whole = {r.i: r.pct for r in S.global_percentile(df, "v", "pct", 3).collect()}
+    whole = {r.i: r.pct for r in S.group_percentile(df, "v", None, "pct").collect()}
     for r, want in zip(rows, average_rank([r[2] for r in rows]), strict=True):
         assert whole[r[0]] == (None if want is None else pytest.approx(want))
 
@@ -92,3 +92,10 @@ def test_first_estimate(spark):
     assert values(spark, [(1.0, 2.0), (0.0, 2.0), (None, 0.0)], basis, "double") == ["one", "two", "no_estimate"]
     with pytest.raises(ValueError):
         S.weighted({"a": 0.5})
+
+
+def test_positions(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.randint(0, 9)) for i in range(300)]
+    got = {r.i: r.pos for r in S.positions(spark.createDataFrame(rows, "i int, v int"), [F.desc("v"), F.col("i")], "pos", 7).collect()}
+    assert got == {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
