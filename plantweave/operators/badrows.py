@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import checked_broadcast
+from ..runtime import checked_broadcast, once
 
 #: Stands for a quoted stretch, for a comma inside one, and for a quote that belongs to a value.
 QUOTED, COMMA, QUOTE = "\u0001", "\u0002", "\u0003"
@@ -68,14 +68,14 @@ def classify_lines(lines: DataFrame, number_columns: Sequence[str], default_head
     joined = joined.withColumn("header", F.coalesce("header", fallback))
     line = F.col("line")
     broken = F.when(line.contains('"'), quoting_broken(line)).otherwise(F.lit(False))
-    judged = joined.withColumn("__broken", broken).withColumn("fields", F.when(~F.col("__broken"), split_fields(line)))
+    judged = joined.withColumn("__broken", once(broken)).withColumn("fields", once(F.when(~F.col("__broken"), split_fields(line))))
     count_off = F.coalesce(F.size("fields") != F.size("header"), F.lit(True))
     bad = F.lit(False)
     for name in number_columns:
         at = F.array_position(F.col("header"), F.lit(name)).cast("int")
         bad = bad | F.coalesce(not_a_number(F.get(F.col("fields"), at - 1)), F.lit(False))
     reason = F.when(F.col("__broken"), "broken_quoting").when(count_off, "column_count").when(bad, "invalid_value")
-    return judged.withColumn("errors", F.filter(F.array(reason), lambda e: e.isNotNull())).drop("__broken")
+    return judged.withColumn("errors", once(F.array_compact(F.array(reason)))).drop("__broken")
 
 
 def rejects(classified: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows a lookup side may have to be broadcast; above it the join is left to shuffle.
@@ -55,6 +55,13 @@ def _delete_written() -> None:
             return
 
 
+def once(c: Column) -> Column:
+    """``c``, computed once a row. The optimizer copies a column's expression into every filter on it that it pushes
+    down, and into each copy again the columns below; the guard, which always holds but counts as nondeterministic,
+    keeps dear expressions out of that."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting: ``df`` comes back unhinted if it has over ``max_rows`` rows."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
