@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -92,15 +92,14 @@ def consensus(metres: np.ndarray) -> tuple[int | None, set[int]]:
     return firsts[best], {i for i, g in enumerate(group) if g != best}
 
 
-def cluster_bucket(bucket: pd.DataFrame) -> pd.DataFrame:
-    """Clusters of one account's records (account, idx, name, address_key, lat, lon), in the order of idx.
+def cluster_rows(account: str, idx: list[int], names: list[str | None], keys_: list[str | None], lat: np.ndarray, lon: np.ndarray) -> list[tuple]:
+    """Rows of CLUSTER_SCHEMA for one account's records, given in the order of ``idx``.
 
     Equal address keys join first (tier 1). Then pairs of located records, in order and unless joined already: within
     SAME_M and a name that is no company's: joined (2b); within NEAR_M and names alike: joined (2); within NEAR_M
     only: a row for review. A cluster without a common address that spans more than SPAN_M is flagged and reviewed.
     """
-    r = bucket.sort_values("idx").reset_index(drop=True)
-    n = len(r)
+    n = len(idx)
     label = np.arange(n)
     how: list[set[str]] = [set() for _ in range(n)]
     review = []
@@ -111,12 +110,13 @@ def cluster_bucket(bucket: pd.DataFrame) -> pd.DataFrame:
         how[i].add(tier)
         how[j].add(tier)
 
-    for _, same in r[r["address_key"].notna()].groupby("address_key", sort=False).groups.items():
-        for j in same[1:]:
-            join(same[0], j, "1")
-    located = np.flatnonzero(r["lat"].notna() & r["lon"].notna())
-    d = _metres(r["lat"].to_numpy(float)[located], r["lon"].to_numpy(float)[located])
-    names = r["name"].fillna("").tolist()
+    first_at: dict[str, int] = {}
+    for j, key in enumerate(keys_):
+        if key is not None and (i := first_at.setdefault(key, j)) != j:
+            join(i, j, "1")
+    located = np.flatnonzero(~np.isnan(lat) & ~np.isnan(lon))
+    d = _metres(lat[located], lon[located])
+    names = [x or "" for x in names]
     keys, shaped = [_key(x) for x in names], [_shaped(x) for x in names]
     for p, q in zip(*np.nonzero(np.triu(d <= NEAR_M, 1)), strict=True):
         i, j = int(located[p]), int(located[q])
@@ -137,7 +137,7 @@ def cluster_bucket(bucket: pd.DataFrame) -> pd.DataFrame:
         tiers = set().union(*(how[i] for i in own))
         tier = "singleton" if len(own) == 1 else "1" if tiers <= {"1"} else "2b" if tiers <= {"1", "2b"} else "2"
         at = [where[i] for i in own if i in where]
-        lat = lon = None
+        spot: tuple[float | None, float | None] = (None, None)
         suspects: set[int] = set()
         if at:
             sub = d[np.ix_(at, at)]
@@ -145,28 +145,52 @@ def cluster_bucket(bucket: pd.DataFrame) -> pd.DataFrame:
                 point, off = consensus(sub)
                 suspects = {int(located[at[k]]) for k in off}
                 if point is not None:
-                    lat, lon = r["lat"].iat[located[at[point]]], r["lon"].iat[located[at[point]]]
+                    spot = float(lat[located[at[point]]]), float(lon[located[at[point]]])
             elif sub.max() > SPAN_M:
                 tier = "oversized_chain"
                 x, y = np.unravel_index(int(np.argmax(np.triu(sub))), sub.shape)
                 review.append((int(located[at[x]]), int(located[at[y]]), float(sub[x, y]), None))
             else:
-                lat, lon = float(r["lat"].to_numpy(float)[located[at]].mean()), float(r["lon"].to_numpy(float)[located[at]].mean())
-        out += [(r["account"].iat[i], int(r["idx"].iat[i]), cluster, tier, CONFIDENCE[tier], lat, lon, i in suspects, None, None, None, None) for i in own]
-    account = r["account"].iat[0]
-    out += [(account, None, None, None, None, None, None, None, int(r["idx"].iat[i]), int(r["idx"].iat[j]), m, s) for i, j, m, s in review]
+                spot = float(lat[located[at]].mean()), float(lon[located[at]].mean())
+        out += [(account, idx[i], cluster, tier, CONFIDENCE[tier], *spot, i in suspects, None, None, None, None) for i in own]
+    return out + [(account, None, None, None, None, None, None, None, idx[i], idx[j], m, s) for i, j, m, s in review]
+
+
+def cluster_batch(batch: pd.DataFrame) -> pd.DataFrame:
+    """``cluster_rows`` of each account of a batch, which is ordered by account and idx."""
+    out: list[tuple] = []
+    if len(batch):
+        account, idx = batch["account"].tolist(), batch["idx"].astype(int).tolist()
+        names, keys = ([x if isinstance(x, str) else None for x in batch[c]] for c in ("name", "address_key"))
+        lat, lon = batch["lat"].to_numpy(float), batch["lon"].to_numpy(float)
+        ends = [i for i in range(1, len(account)) if account[i] != account[i - 1]] + [len(account)]
+        for a, b in zip([0, *ends], ends):
+            out += cluster_rows(account[a], idx[a:b], names[a:b], keys[a:b], lat[a:b], lon[a:b])
     return pd.DataFrame(out, columns=[c.split()[0] for c in CLUSTER_SCHEMA.split(", ")])
 
 
+def _cluster_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = None
+    for b in batches:
+        b = b if held is None else pd.concat([held, b], ignore_index=True)
+        if len(b):
+            whole = b["account"] != b["account"].iat[-1]  # the last account may go on in the next batch
+            held = b[~whole]
+            yield cluster_batch(b[whole])
+    if held is not None:
+        yield cluster_batch(held)
+
+
 def cluster(records: DataFrame, cap: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """(members, review) of records (account, id, name, address_key, lat, lon).
 
-    Accounts of up to ``cap`` records, so groups of a bounded size, go through ``cluster_bucket`` in Python, as its
+    Accounts of up to ``cap`` records, so groups of a bounded size, go through ``cluster_rows`` in Python, many in one batch, as its
     result depends on the order of the pairs; in larger accounts every record stays alone. Order is by id.
     """
     sized = split_oversized(records, cap)
     small = sized.filter("not oversized and size > 1").withColumn("idx", F.row_number().over(Window.partitionBy("account").orderBy("id")))
-    got = small.select("account", "idx", "name", "address_key", "lat", "lon").groupBy("account").applyInPandas(cluster_bucket, CLUSTER_SCHEMA)
+    ordered = small.select("account", "idx", "name", "address_key", "lat", "lon").repartition("account").sortWithinPartitions("account", "idx")
+    got = ordered.mapInPandas(_cluster_batches, CLUSTER_SCHEMA)
     ids = small.select("account", "idx", "id")
     members = got.filter("idx is not null").join(ids, ["account", "idx"]).select("account", "id", "cluster", "tier", "confidence", "lat", "lon", "suspect")
     alone = sized.filter("oversized or size = 1").select(

@@ -25,7 +25,7 @@ def bucket(*rows):
 
 
 def run(*rows):
-    got = V.cluster_bucket(bucket(*rows))
+    got = V.cluster_batch(bucket(*rows))
     return got[got["idx"].notna()], got[got["review_a"].notna()]
 
 
