@@ -169,7 +169,7 @@ def link_records(records: DataFrame) -> DataFrame:
     base = with_parts(base, "address", "city", "state", "zip_code").select("record", "source", "names", *PARTS)
     base = cut(base.withColumn("node", F.when(F.col("number").isNotNull(), F.xxhash64(*PARTS))))
     said = base.select("record", F.explode("names").alias("name")).filter("name is not null").distinct()
-    orgs = said.join(organisations(said), "name").groupBy("record").agg(F.collect_set("org").alias("orgs"))
+    orgs = said.join(organisations(said), "name").select("record", "org").distinct()
     nodes = base.filter("node is not null").select("node", *PARTS).distinct()
     links = cut(location_links(nodes))
     both = links.unionByName(links.select(F.col("node_b").alias("node_a"), F.col("node_a").alias("node_b")))
@@ -178,7 +178,7 @@ def link_records(records: DataFrame) -> DataFrame:
     second = second.withColumnRenamed("node_a", "node")
     places = base.select("record", "source", "node", "zip", "town").distinct().join(second, "node", "left")
     places = places.withColumn("place", F.coalesce("low2", "node")).select("record", "source", "place", "zip", "town")
-    known = cut(places.join(orgs, "record", "left").select("record", "source", "place", "zip", "town", F.explode_outer("orgs").alias("org")).distinct())
+    known = cut(places.join(orgs, "record", "left").select("record", "source", "place", "zip", "town", "org").distinct())
     located = known.filter("place is not null")
     towns = F.explode(F.array_compact(F.array(F.concat(F.lit("Z"), "zip"), F.concat(F.lit("C"), "town"))))
     plants = located.filter("org is not null").select("place", "org", towns.alias("area")).distinct()
