@@ -160,9 +160,10 @@ def link_records(records: DataFrame) -> DataFrame:
 
     ``records`` has record, source, names (array), address, city, state, zip_code, several rows a record allowed; other
     columns are ignored. Null records take no part; a record without name and without address matches nothing; an
-    empty table gives no rows. A record's names and addresses count together. A record without a street address is
-    placed where its operator has its only located plant of the same ZIP code or city; where that has several it stays
-    unmatched, and where it has none, records without an address meet under operator and city. Only pairs with a
+    empty table gives no rows. A record's names and addresses count together. A row without a street address, unless its
+    record is placed in the same ZIP code or city by another row, is placed where its operator has its only located
+    plant of that ZIP code or, if that has none, of that city; where there are several it stays unmatched, and where
+    there is none, rows without an address meet under operator and city. Only pairs with a
     confidence of ACCEPT or more are returned.
     """
     base = records.filter("record is not null").select("record", "source", "names", *(F.col(c).cast("string").alias(c) for c in ("address", "city", "state", "zip_code")))
@@ -180,15 +181,21 @@ def link_records(records: DataFrame) -> DataFrame:
     places = places.withColumn("place", F.coalesce("low2", "node")).select("record", "source", "place", "zip", "town")
     known = cut(places.join(orgs, "record", "left").select("record", "source", "place", "zip", "town", "org").distinct())
     located = known.filter("place is not null")
-    towns = F.explode(F.array_compact(F.array(F.concat(F.lit("Z"), "zip"), F.concat(F.lit("C"), "town"))))
-    plants = located.filter("org is not null").select("place", "org", towns.alias("area")).distinct()
-    lost = known.filter("place is null and org is not null").join(located.select("record").distinct(), "record", "left_anti")
-    lost = lost.select("record", "source", "org", "town", "zip", towns.alias("area")).distinct()
-    found = lost.join(plants, ["org", "area"], "left").groupBy("record", "source", "org").agg(
-        F.min("place").alias("lo"), F.max("place").alias("hi"), F.min(F.coalesce("town", "zip")).alias("town")
-    )
-    found = found.filter("lo is null or lo = hi")
-    settled = found.select("record", "source", F.coalesce("lo", F.xxhash64("org", "town")).alias("place"), "org", F.lit("placeless").alias("kind"))
+    areas = F.explode(F.array_compact(F.array(F.concat(F.lit("Z"), "zip"), F.concat(F.lit("C"), "town"))))
+    plants = located.filter("org is not null").select("place", "org", areas.alias("area"))
+    plants = plants.groupBy("org", "area").agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
+    own = located.select("record", areas.alias("area")).distinct().withColumn("own", F.lit(True))
+    lost = known.filter("place is null and org is not null").select("record", "source", "org", "town", "zip", areas.alias("area"))
+    lost = lost.join(own, ["record", "area"], "left").join(plants, ["org", "area"], "left")
+    by_area = [F.max(F.when(F.col("area").startswith(a), F.col(c))).alias(c + a) for a in "ZC" for c in ("own", "lo", "hi")]
+    found = lost.groupBy("record", "source", "org", "town", "zip").agg(*by_area)
+    only = {a: F.when(F.col("own" + a).isNull() & (F.col("lo" + a) == F.col("hi" + a)), F.col("lo" + a)) for a in "ZC"}
+    # The ZIP code decides if it has a plant of the operator, or the record itself; else the city. Two answers are none.
+    by_zip = F.when(F.coalesce(only["Z"] == only["C"], F.lit(True)), only["Z"])
+    place = F.when(F.col("ownZ").isNotNull() | F.col("loZ").isNotNull(), by_zip).otherwise(only["C"])
+    none = F.coalesce("ownZ", "ownC").isNull() & F.coalesce("loZ", "loC").isNull()
+    found = found.withColumn("place", F.when(none, F.xxhash64("org", F.coalesce("town", "zip"))).otherwise(place)).filter("place is not null")
+    settled = found.select("record", "source", "place", "org", F.lit("placeless").alias("kind"))
     members = cut(located.select("record", "source", "place", "org", F.lit("named").alias("kind")).unionByName(settled).distinct())
     solved = belongings(members.select("place", "source", "org", "kind").distinct())
     on = (F.col("m.place") == F.col("s.place")) & (F.col("m.source") == F.col("s.source")) & F.col("m.org").eqNullSafe(F.col("s.org")) & (F.col("m.kind") == F.col("s.kind"))

@@ -126,6 +126,20 @@ def test_linkage(spark):
     assert L.link_records(df.limit(0)).count() == 0
 
 
+def test_rows_without_address_count_by_area(spark):
+    dawn = "Drothalknell Dawn Turbine Inc"
+    rows = [
+        ("dod:D", "dod", "5 Head Rd", "Oldbix", "GA", "30001"), ("dod:D", "dod", None, "Fort Bix", "GA", "21241"), ("dod:D", "dod", None, "Novix", "AL", "35242"),
+        ("dod:D", "dod", None, "Oldbix", "GA", None), ("dod:D", "dod", None, "Twobix", "TX", None), ("dod:D", "dod", None, "Farbix", "TX", "75003"),
+        ("epa:1", "epa", "12 N Main St", "Fort Bix", "GA", "21241"), ("osha:2", "osha", "88 Oakfield Rd", "Novix", "AL", "35242"),
+        ("epa:3", "epa", "1 Elm St", "Twobix", "TX", "75001"), ("epa:4", "epa", "2 Oakfield St", "Twobix", "TX", "75002"),
+        ("epa:5", "epa", "1 Elm St", "Farbix", "TX", "75003"), ("epa:6", "epa", "2 Oakfield St", "Farbix", "TX", "75004"), ("epa:7", "epa", "9 Elm St", "Oldbix", "GA", "30002"),
+    ]
+    df = spark.createDataFrame([(r[0], r[1], [dawn], *r[2:]) for r in rows], "record string, source string, names array<string>, address string, city string, state string, zip_code string")
+    got = {(r.record_a, r.record_b) for r in L.link_records(df).collect()}
+    assert got == {("dod:D", "epa:1"), ("dod:D", "osha:2"), ("dod:D", "epa:5")}  # two plants in Twobix; the ZIP code decides in Farbix
+
+
 def test_percentiles(spark):
     rng = random.Random(5)
     rows = [(rng.choice(["a", "b", None]), rng.choice([None, float("nan"), 0.0, -0.0, 1.0, 2.5, 1e9, rng.random()]), 1.0 if i % 2 else None, f"2026-01-0{i % 3 + 1}") for i in range(600)]
