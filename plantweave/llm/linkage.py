@@ -5,7 +5,8 @@ with an operator found there. Weighted rules:
 
 * similarity: same place and same, or similarly spelt, operator -> belongs (how strongly depends on the evidence);
 * a record without a usable name belongs to the plants of its place;
-* exclusivity: a record belongs to at most one plant, and a plant has about one record class a source;
+* exclusivity of records without a usable name: such a record belongs to at most one plant, and a plant with such a
+  record has about one record class a source (named records may belong to all plants of like names at their place);
 * prior: it doesn't belong;
 * transitivity: two records match as far as both belong to one plant, match = belong(a, h) + belong(b, h) - 1, which
   makes matches transitive with a number of rules that is linear in the records instead of cubic.
