@@ -10,14 +10,17 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_M, haversine_m
 from ..functions.text import DROPPED_WORDS, SITE_LABELS, STATES, company_key
+from ..runtime import cut
 
 # Metres and ratio of the clustering tiers, records a bucket may have, and confidences.
 NEAR_M, SAME_M, SPAN_M, CONSENSUS_M, ALIKE, BUCKET = 750.0, 50.0, 1_500.0, 100.0, 0.6, 500
+#: Degrees of the cells in which the widest pair of a large group is sought, each size a multiple of the next.
+CELLS = (8.0, 1.0, 0.125)
 CONFIDENCE = {"singleton": 1.0, "1": 0.95, "2b": 0.80, "2": 0.75, "oversized_chain": 0.40}
 CLUSTER_SCHEMA = (
     "account string, idx int, cluster long, tier string, confidence double, lat double, lon double, suspect boolean, "
@@ -202,11 +205,49 @@ def cluster(records: DataFrame, cap: int = BUCKET) -> tuple[DataFrame, DataFrame
     return members.unionByName(alone), review.select("account", "record_a", "record_b", "metres", "similarity")
 
 
-def diameters(members: DataFrame) -> DataFrame:
-    """(group, id_a, id_b, metres): the widest pair of each group of located rows (grp, id, lat, lon), whose groups
-    are bounded by the bucket cap; of equally wide pairs the first."""
-    a, b = members.alias("a"), members.alias("b")
+def _cell(size: float) -> Column:
+    return F.floor((F.col("lat") + 90) / size) * 1_000_000 + F.floor((F.col("lon") + 180) / size)
+
+
+def _far_cells(points: DataFrame) -> DataFrame:
+    """(grp, ca, cb), ca <= cb: pairs of cells of the finest of CELLS that may hold a group's widest pair. From level
+    to level, a pair of cells goes whose boxes can't reach as far as two points known from the group do."""
+    live = None
+    for k in range(len(CELLS)):
+        keys = ["grp", f"c{k}"] + ([f"c{k - 1}"] if k else [])
+        box = points.groupBy(*keys).agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("lat", "lon")), F.min(F.struct("id", "lat", "lon")).alias("one"))
+        mid = {c: (F.col(f"min_{c}") + F.col(f"max_{c}")) / 2 for c in ("lat", "lon")}
+        half = F.radians((F.col("max_lat") - F.col("min_lat") + F.col("max_lon") - F.col("min_lon")) / 2) * EARTH_RADIUS_M
+        box = box.select("grp", F.col(f"c{k}").alias("c"), (F.col(f"c{k - 1}") if k else F.lit(0).cast("long")).alias("up"), mid["lat"].alias("lat"), mid["lon"].alias("lon"), half.alias("half"), "one")
+        a, b = box.alias("a"), box.alias("b")
+        if live is None:
+            both = a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.c") <= F.col("b.c")))
+        else:
+            both = live.alias("l").join(a, (F.col("l.grp") == F.col("a.grp")) & (F.col("l.ca") == F.col("a.up")))
+            both = both.join(b, (F.col("l.grp") == F.col("b.grp")) & (F.col("l.cb") == F.col("b.up")) & ((F.col("a.up") < F.col("b.up")) | (F.col("a.c") <= F.col("b.c"))))
+        reach = haversine_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) + F.col("a.half") + F.col("b.half")
+        sure = F.when(F.col("a.one.id") != F.col("b.one.id"), haversine_m(F.col("a.one.lat"), F.col("a.one.lon"), F.col("b.one.lat"), F.col("b.one.lon")))
+        both = cut(both.select("a.grp", F.col("a.c").alias("ca"), F.col("b.c").alias("cb"), reach.alias("reach"), sure.alias("sure")))
+        known = both.groupBy("grp").agg(F.coalesce(F.max("sure"), F.lit(0.0)).alias("known"))
+        live = both.join(known, "grp").filter(F.col("reach") + 1 >= F.col("known")).select("grp", "ca", "cb")  # 1 m for rounding
+    return live
+
+
+def diameters(members: DataFrame, cap: int = BUCKET) -> DataFrame:
+    """(group, id_a, id_b, metres): the widest pair of each group of located rows (grp, id, lat, lon); of equally wide
+    pairs the first. Groups of over ``cap`` points compare only the points of cells that may hold the widest pair; a
+    point shared by many records counts with its first two, which are enough for the first of its pairs."""
+    w = Window.partitionBy("grp", "lat", "lon").orderBy("id")
+    points = members.select("grp", "id", "lat", "lon").distinct().withColumn("k", F.row_number().over(w)).filter("k <= 2").drop("k")
+    points = cut(points.withColumns({f"c{k}": _cell(size) for k, size in enumerate(CELLS)}))
+    large = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap).select("grp")
+    small, big = points.join(large, "grp", "left_anti"), cut(points.join(large, "grp"))
     d = haversine_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
-    pairs = a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.id") < F.col("b.id"))).select("a.grp", F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), d.alias("metres"))
+    out = (F.col("a.grp").alias("grp"), F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"), d.alias("metres"))
+    pairs = small.alias("a").join(small.alias("b"), (F.col("a.grp") == F.col("b.grp")) & (F.col("a.id") < F.col("b.id"))).select(*out)
+    cell = f"c{len(CELLS) - 1}"
+    far = _far_cells(big).alias("l").join(big.alias("a"), (F.col("l.grp") == F.col("a.grp")) & (F.col("l.ca") == F.col(f"a.{cell}")))
+    once = (F.col("a.id") < F.col("b.id")) | ((F.col("l.ca") < F.col("l.cb")) & (F.col("a.id") > F.col("b.id")))
+    far = far.join(big.alias("b"), (F.col("l.grp") == F.col("b.grp")) & (F.col("l.cb") == F.col(f"b.{cell}")) & once).select(*out)
     w = Window.partitionBy("grp").orderBy(F.desc("metres"), "id_a", "id_b")
-    return pairs.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
+    return pairs.unionByName(far).withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")

@@ -229,3 +229,22 @@ def test_stream_and_batch_agree(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("totals").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert sorted(spark.table("totals").collect()) == sorted(windowed_totals(df).collect())
+
+
+def test_diameters_of_groups_of_any_size(spark, tmp_path):
+    from plantweave.plans.reference_queries import q_cluster_diameter
+
+    rng = random.Random(4)
+    spot = lambda far: (round(rng.uniform(25, 48), 5), round(rng.uniform(-179, 179) if far else rng.uniform(-82.2, -81.9), 5))
+    rows = [("US", f"u{i:03}", *spot(False)) for i in range(300)] + [("ALL", f"a{i:03}", *spot(True)) for i in range(90)] + [("TWO", "t2", 40.0, -90.0), ("TWO", "t1", 40.0, -90.0), ("ONE", "o", 1.0, 1.0)]
+    rows += [("SAME", f"s{i}", 40.0, -90.0) for i in range(60)] + [("US", "u000", 24.0, -125.0), ("US", "u000", 49.5, -66.0)] + rows[:20] + [("US", f"v{r[1]}", *r[2:]) for r in rows[:300]]
+    df = spark.createDataFrame(rows, "grp string, id string, lat double, lon double")
+    key = lambda r: (r.grp, r.id_a, r.id_b, round(r.metres, 3))
+    plain, cells = (sorted(map(key, V.diameters(df, cap).collect())) for cap in (10_000, 1))
+    assert plain == cells
+    met = lambda a, b: float(V._metres(pd.Series([a[2], b[2]]).to_numpy(), pd.Series([a[3], b[3]]).to_numpy())[0, 1])
+    want = {g: max(met(a, b) for a in rows for b in rows if a[0] == b[0] == g and a[1] < b[1]) for g in ("ALL", "SAME", "TWO")}
+    assert {g: m for g, _, _, m in cells if g != "US"} == pytest.approx(want, abs=0.01)
+    many = [("BIG", f"b{i:03}", 30.0 + i / 100, -90.0, None, None) for i in range(601)]
+    spark.createDataFrame(many, "account_id string, facility_id string, latitude double, longitude double, voc_tons_2020 double, dart_rate double").write.parquet(str(tmp_path / "facilities.parquet"))
+    assert [(r.grp, r.metres) for r in q_cluster_diameter(spark, str(tmp_path)).collect()] == [("BIG", pytest.approx(6 * 111_194.93, abs=1))]
