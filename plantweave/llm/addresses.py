@@ -99,12 +99,39 @@ def zip5(code: str | None) -> str | None:
     return digits[:5] if len(digits) in (5, 9) and digits[:5] != "00000" else None
 
 
+def _street_end(words: list[str], i: int, town: str | None) -> tuple[int, int]:
+    """(end, tail) of a street whose first word is ``words[i]``: its words go up to ``end``, where its type or
+    direction may stand, and the city, state and ZIP of a segment without commas begin at ``tail``."""
+    n, tail = len((town or "").split()), len(words)
+    while tail > i + 1 and words[tail - 1].isdigit() and len(words[tail - 1]) >= 4:
+        tail -= 1
+    if tail > i + 1 and words[tail - 1] in STATES and (tail < len(words) or words[tail - 1] not in TYPES):
+        tail -= 1
+    if n and tail - n > i and _near((city_key(" ".join(words[tail - n : tail]), "") or "|")[:-1], town):
+        tail -= n
+    tail = next((j for j in range(i + 1, tail) if words[j][0].isdigit()), tail)
+    last = tail - 1
+    if last - 1 > i and _direction(words[last]) and _type(words[last - 1]):
+        last -= 1
+    exact = [j for j in range(i + 1, tail) if words[j] in TYPES or words[j] in FULL_TYPES]
+    if last > i and last in exact:
+        end = last
+    else:
+        end = next(iter(exact or [j for j in range(i + 1, tail) if _type(words[j])]), None)
+        if end is None:
+            end = next((j for j in range(i + 1, tail) if _direction(words[j])), tail)
+    while end - 1 > i and _direction(words[end - 1]):  # between the street and its type
+        end -= 1
+    return end, tail
+
+
 def parse(address: str | None, city: str | None = None) -> tuple[str, str, str | None, str | None] | None:
     """(number, street, type, direction), or null if there is no street address.
 
-    A range counts as its first number. Units, addressees and what follows the street are dropped. Numbered routes
-    have the street "RTE n" and as type their class (null for a plain "highway"). Prefixes such as Saint or Mount
-    don't belong to the street's key. Missing type or direction is null.
+    A street is all its words up to the type, the direction or the end. A range counts as its first number. Units,
+    addressees and what follows the street are dropped. Numbered routes have the street "RTE n" and as type their
+    class (null for a plain "highway"). Prefixes such as Saint or Mount don't belong to the street's key. Missing type
+    or direction is null.
     """
     if not address:
         return None
@@ -151,11 +178,14 @@ def parse(address: str | None, city: str | None = None) -> tuple[str, str, str |
         side, i = d, 1
     while i < len(words) - 1 and (_prefix(words[i]) or (i and len(words[i]) == 1)) and not (_type(words[i + 1]) and len(words) - i == 2 and words[i] in ("ST",)):
         i += 1
-    core = [words[i]] if i < len(words) else []
+    town = (city_key(city, "") or "|")[:-1]
+    core, j = ([words[i]], i + 1) if i < len(words) else ([], i)
     if not core or (core[0].isalpha() and len(core[0]) < 3 and not kind):
         return None
-    town = (city_key(city, "") or "|")[:-1].split()
-    j = i + 1
+    if not _ORDINAL.match(core[0]):
+        j, tail = _street_end(words, i, town)
+        core, words = words[i:j], words[:tail] if j < tail else words
+    town = town.split()
     while j < len(words):
         w = words[j]
         if k := _type(w):
@@ -175,7 +205,7 @@ def parse(address: str | None, city: str | None = None) -> tuple[str, str, str |
         return None
     if _ORDINAL.match(core[0]):  # often written together with the number
         return number.lstrip("0") + core[0], "ORDINAL", kind, side
-    return number.lstrip("0") or "0", core[0], kind, side
+    return number.lstrip("0") or "0", " ".join(core), kind, side
 
 
 def zip9(code: str | None) -> str | None:
@@ -216,7 +246,8 @@ def places(df: DataFrame) -> Column:
 
 def compatible(a: str, b: str) -> Column:
     """The explicit rules for two writings with the same number in the same place: the streets are equal or, unless
-    numbered or under five letters, within two letters (three if the full ZIP codes agree); type and direction agree where both are known."""
+    numbered or under five letters, within two letters (three if the full ZIP codes agree), streets of several words
+    word by word, or written together; type and direction agree where both are known."""
 
     def c(side: str, name: str) -> Column:
         return F.col(f"{side}.{name}")
@@ -224,7 +255,12 @@ def compatible(a: str, b: str) -> Column:
     same9 = F.coalesce(c(a, "zip9") == c(b, "zip9"), F.lit(False))
     letters = ~c(a, "street").rlike("^(RTE |ORDINAL)") & ~c(b, "street").rlike("^(RTE |ORDINAL)") & (F.length(c(a, "street")) >= 5)
     distance = F.levenshtein(c(a, "street"), c(b, "street"))
-    street = (c(a, "street") == c(b, "street")) | (letters & (distance <= F.when(same9, 3).otherwise(2)))
+    most = F.when(same9, 3).otherwise(2)
+    x, y = F.split(c(a, "street"), " "), F.split(c(b, "street"), " ")
+    worded = F.forall(F.zip_with(x, y, lambda v, w: F.coalesce((v == w) | ((F.length(v) >= 5) & (F.levenshtein(v, w) <= most)), F.lit(False))), lambda ok: ok)
+    together = F.replace(c(a, "street"), F.lit(" ")) == F.replace(c(b, "street"), F.lit(" "))
+    several = c(a, "street").contains(" ") | c(b, "street").contains(" ")
+    street = (c(a, "street") == c(b, "street")) | (letters & F.when(several, worded | together).otherwise(distance <= most))
     agree = street
     for name in ("type", "side"):
         agree = agree & F.coalesce(c(a, name) == c(b, name), F.lit(True))

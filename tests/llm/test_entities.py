@@ -52,6 +52,14 @@ def test_same_location(spark):
     assert A.same_location(df.limit(0)).count() == 0
 
 
+def test_streets_of_several_words(spark):
+    assert A.parse("742 Oak Hill Road") == ("742", "OAK HILL", "ROAD", None) and A.parse("742 N. Oak Ridge Ave.") == ("742", "OAK RIDGE", "AVENUE", "N")
+    assert A.parse("742 Oak Run Ct") == ("742", "OAK RUN", "COURT", None) and A.parse("742 Oak Hill Ft. Bix GA 21241", "Fort Bix") == ("742", "OAK HILL", None, None)
+    rows = [("a", "742 Oak Hill Road"), ("b", "742 Oak Ridge Avenue"), ("c", "742 Oak Hill Rd."), ("d", "742 Oak Hill Ave"), ("e", "OAKHILL RD, 742"), ("f", "742 Oak Mill Rd"), ("g", "9 Oak Granite Rd"), ("h", "9 OAK GRANTIE ROAD")]
+    df = spark.createDataFrame([(*r, "Fort Bix", "GA", "21241") for r in rows], "record string, address string, city string, state string, zip_code string")
+    assert {(r.record_a, r.record_b) for r in A.same_location(df).collect()} == {("a", "c"), ("a", "e"), ("c", "e"), ("g", "h")}
+
+
 @pytest.mark.parametrize(
     ("name", "want"),
     [
