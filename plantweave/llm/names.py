@@ -283,8 +283,9 @@ def radius_pairs(words: DataFrame, radius: int, pivots: list[str]) -> DataFrame:
 
 
 def _known(words: DataFrame) -> DataFrame:
-    """word -> parts for rare long words that are two words written together, one of them known."""
-    long = words.filter("length(word) >= 12 and support <= 20").withColumnRenamed("support", "own")
+    """word -> parts, and the support of the rarer part (0 if unknown), for long words that are two words written
+    together: both known and three times as common, or one of them known if the word is very rare."""
+    long = words.filter("length(word) >= 12").withColumnRenamed("support", "own")
     cuts = long.select("word", "own", F.explode(F.sequence(F.lit(3), F.length("word") - 3)).alias("at"))
     cuts = cuts.select("word", "own", F.substring("word", F.lit(1), F.col("at")).alias("left"), F.substring(F.col("word"), F.col("at") + 1, F.length("word")).alias("right"))
     often = words.filter("support >= 3 and length(word) <= 16").select("word", "support")
@@ -294,7 +295,9 @@ def _known(words: DataFrame) -> DataFrame:
     part = F.greatest(F.when(F.col("sl").isNotNull(), F.length("left")).otherwise(0), F.when(F.col("sr").isNotNull(), F.length("right")).otherwise(0))
     both_often = F.coalesce(F.least("sl", "sr") >= 3 * F.col("own"), F.lit(False))
     scored = scored.withColumn("score", both + part).filter((F.col("score") >= 4) & (both_often | (F.col("own") <= 2)))
-    return scored.groupBy("word").agg(F.max_by(F.array("left", "right"), F.struct("score", "left")).alias("parts"))
+    best = F.struct("score", "left")
+    rarer = F.least(F.coalesce("sl", F.lit(0)), F.coalesce("sr", F.lit(0)))
+    return scored.groupBy("word").agg(F.max_by(F.array("left", "right"), best).alias("parts"), F.max_by(rarer, best).alias("rarer"))
 
 
 def spellings(words: DataFrame, radius: int = 2, pivots: int = PIVOTS) -> DataFrame:
@@ -352,7 +355,9 @@ def organisations(names: DataFrame, column: str = "name") -> DataFrame:
     extra = parts.select(F.explode("parts").alias("word")).distinct().join(words, "word", "left_anti").withColumn("support", F.lit(0).cast("long"))
     lead = cut(spellings(words.unionByName(extra)))
     own = words.withColumnRenamed("word", "canonical").withColumnRenamed("support", "s2")
-    alone = lead.filter("word <> canonical").join(own, "canonical").filter("s2 >= 10").select("word")
+    # A slip of a word that isn't itself written together and is no rarer than the parts follows that word.
+    alone = lead.filter("word <> canonical").join(own, "canonical").join(parts.select(F.col("word").alias("canonical")), "canonical", "left_anti")
+    alone = alone.join(parts.select("word", "rarer"), "word").filter(F.col("s2") >= F.col("rarer")).select("word")
     split = parts.join(alone, "word", "left_anti").select("word", F.explode("parts").alias("part"))
     split = split.join(lead.withColumnRenamed("word", "part"), "part").groupBy("word").agg(F.collect_set("canonical").alias("as"))
     whole = lead.join(split.select("word"), "word", "left_anti").select("word", F.array("canonical").alias("as"))

@@ -103,6 +103,12 @@ def test_spelling_pairs(spark):
     assert N.spelling_pairs(df.limit(0)).count() == 0
 
 
+def test_words_written_together_by_a_hot_organisation(spark):
+    names = [f"NE{431083000 + k} - Drothalknell Granite Turbine LLC" for k in range(100)] + [f"NE{431084000 + k} - Drothalknellgranite Turbine LLC" for k in range(30)]
+    got = N.organisations(spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    assert len(got) == len(names) and len({r.org for r in got}) == 1
+
+
 def test_solver_against_grid():
     weight, offset, squared = np.array([5.0, 0.15, 2.0, 0.15, 20.0]), np.array([1.0, 0.0, 1.0, 0.0, -1.0]), np.array([True, False, True, False, False])
     rule, var, coef = np.array([0, 1, 2, 3, 4, 4]), np.array([0, 0, 1, 1, 0, 1]), np.array([-1.0, 1.0, -1.0, 1.0, 1.0, 1.0])
