@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.text import STATES
 from ..runtime import cut
 
 #: Locale dictionary: written form -> full form, by component.
@@ -25,9 +26,6 @@ DIRECTIONS = {
     "NE": "NE", "NW": "NW", "SE": "SE", "SW": "SW", "NORTHEAST": "NE", "NORTHWEST": "NW", "SOUTHEAST": "SE", "SOUTHWEST": "SW",
 }
 PREFIXES = {"ST": "SAINT", "STE": "SAINT", "SAINT": "SAINT", "MT": "MOUNT", "MOUNT": "MOUNT", "FT": "FORT", "FORT": "FORT"}
-STATES = frozenset(
-    "AL AK AZ AR CA CO CT DE DC FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY".split()
-)
 _UNIT = re.compile(r"(?:\b(?:SUITE|STE|UNIT|BLDG|BUILDING|DOCK|GATE|APT|ROOM|RM|LOT|BAY|HANGAR|FLOOR|FL)\b\.?\s*#?\s*|#\s*)(?:\d+[A-Z]?|[A-Z]\d*)\b|\b\d+(?:ST|ND|RD|TH)\s+FLOOR\b|\bREAR\b")
 _ASIDE = re.compile(r"\b(?:ATTN|ATTENTION|C/O|CARE OF)\b.*$")
 _BOX = re.compile(r"\b(?:P\s?\.?\s?O\s?\.?\s+)?(?:POST\s+OFFICE\s+)?BOX\s+#?\d+")

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import STATES
+
 KINDS = ("NAME", "EMAIL", "PHONE", "ID", "ADDRESS")
 #: Log-odds of the unary features and gains of the edges when both ends agree.
 WEIGHTS = {
@@ -85,7 +87,7 @@ _ROUTE = (
 _STREET = rf"(?:\d+(?:st|nd|rd|th)\b|(?:(?:Saint|Mount|St|Mt|Fort|Ft)\.?\s+)?{_W})(?:{_S}(?!{_TYPE}){_W})?"
 _UNIT = r"(?:\s*,?\s*(?:(?:Unit|Apt|Ste|Suite|Bldg|Building|Dock|Room|Rm|Lot|Floor)\b\.?\s*#?\s*[\w-]+|#\s*[\w-]+))"
 _CITY = rf"{_W}(?:\.?{_S}{_W}){{0,3}}?"
-_STATE = "A[KLRZ]|C[AOT]|D[CE]|FL|GA|HI|I[ADLN]|K[SY]|LA|M[ADEINOST]|N[CDEHJMVY]|O[HKR]|PA|RI|S[CD]|T[NX]|UT|V[AT]|W[AIVY]"
+_STATE = "|".join(STATES)
 _PLACE = rf"(?:(?:\s*,\s*|[ ]*\n[ ]*){_CITY}(?:{_S}\d+)?(?:,{_S}|{_S})(?-i:{_STATE}|{_STATE.lower()})\b(?:,?{_S}\d{{5}}(?:-?\d{{4}})?)?)"
 ADDRESS = re.compile(
     rf"(?<![\w.,/$-])(?P<v>\d{{1,6}}(?:-\d{{1,6}}|[A-Z])?{_S}(?:{_DIR}{_S})?(?:{_ROUTE}|{_STREET}(?P<type>{_S}{_TYPE})?)(?:{_S}{_DIR}(?!\w))?{_UNIT}?{_PLACE}?)(?![\w-])", re.I
