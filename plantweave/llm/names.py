@@ -1,39 +1,35 @@
 """Variant spellings of organisation names (problem 2).
 
-A name is reduced to the words that tell organisations apart and to its trade; legal forms, general words, codes,
-places and site labels fall away. Words are points of a metric space under Levenshtein's distance: each is assigned
-to its nearest pivot and repeated in every further pivot's cell that the triangle inequality can't rule out; inside a
-cell all pairs within the radius are found by an exact distance. Each word then takes the best supported spelling near
-it, and names with the same words and compatible trades are one organisation.
+A name is reduced to a canonical string: the words that tell organisations apart, then its trade; legal forms, codes,
+places and site labels fall away. Which words are trades and which are general additions is learnt from the column
+itself. Canonical names are points of a metric space under Levenshtein's distance of whole names, in the best order of
+their words. Pivots are the best supported words: a name is assigned to the pivot nearest to each of its words and
+repeated in every further cell that the triangle inequality can't rule out; inside a cell an exact radius join by the
+whole names finds all pairs within the radius. A word of a name gives way to the better supported word it meets in a
+near name, and names that come out alike are one organisation.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.text import DROPPED_WORDS, STATES
 from ..runtime import checked_broadcast, cut, salted
-from .addresses import STATES, plain
-
-LEGAL = frozenset("INC INCORPORATED LLC LC LTD LIMITED CORP CORPORATION CRP CO COMPANY LP LLP PLC PC".split())
-TRADES = tuple(
-    """AEROSTRUCTURES ANODIZING ARMOR BOATWORKS CASTINGS COATINGS COMPOSITES EXTRUSIONS FABRICATION FINISHING FORGE FOUNDRY GALVANIZING HYDRAULICS
-    MACHINING MARINE MILLWORK MOLDING PLASTICS PLATING RAILCAR ROTORCRAFT SANDBLASTING STAMPING TOOLING TRACTOR TRAILERS TURBINE WELDING
-    WELDMENTS""".split()
-)
-GENERAL = tuple(
-    """ASSOCIATES BROTHERS ENGINEERING EQUIPMENT INDUSTRIES INTERNATIONAL LABORATORIES MANUFACTURING PRODUCTS SERVICES SUPPLY SYSTEMS TECHNOLOGIES
-    GROUP HOLDINGS ENTERPRISES SOLUTIONS""".split()
-)
-#: Abbreviations that the rule (same first letter, letters in order) would read otherwise.
-FIXED = {"MFG": "MANUFACTURING", "MNFG": "MANUFACTURING", "MANUF": "MANUFACTURING", "BROS": "BROTHERS", "LABS": "LABORATORIES", "INTL": "INTERNATIONAL", "INTERNATL": "INTERNATIONAL", "TECH": "TECHNOLOGIES", "ENGR": "ENGINEERING", "SVC": "SERVICES", "SVCS": "SERVICES", "STRUCT": "AEROSTRUCTURES", "AERO": "AEROSTRUCTURES"}
+from .addresses import plain
+
+#: Legal forms and the general words that company keys drop anyway.
+LEGAL = frozenset(DROPPED_WORDS) - {"THE", "GROUP", "HOLDINGS", "ENTERPRISES", "INDUSTRIES"} | {"LC", "CRP", "PC"}
+GENERAL = tuple(w for w in DROPPED_WORDS if w in ("GROUP", "HOLDINGS", "ENTERPRISES", "INDUSTRIES"))
+ARTICLES = ("THE", "AND", "OF")
 PLACE_STARTS = frozenset("NORTH SOUTH EAST WEST LAKE FORT FT SAINT ST MOUNT MT PORT".split())
 LABELS = frozenset("PLANT FACILITY WORKS SITE BUILDING BLDG HALL HQ HEADQUARTERS WAREHOUSE SHOP DIV DIVISION ASSEMBLY MAIN MACHINE ANNEX YARD BAY OFFICE UNIT".split())
 SHORT = {
@@ -42,7 +38,9 @@ SHORT = {
     "KATHERINE": "KATE KATHY", "SUSAN": "SUE", "DEBORAH": "DEB DEBBIE", "PATRICIA": "PAT TRISH", "VICTORIA": "VICKY", "ALEXANDRA": "ALEX", "FRANCISCO": "PACO", "GREGORY": "GREG", "JOSE": "PEPE",
 }
 NICK = {n: full for full, all_ in SHORT.items() for n in all_.split()}
-PIVOTS, RINGS = 256, 6
+#: Cells of the metric space, edits of a whole name, share of the names a learnt word is in, share of its places at the
+#: end of a name, and most learnt words.
+PIVOTS, RADIUS, LEARNT_SHARE, END_SHARE, LEARNT = 1_024, 3, 0.002, 0.3, 500
 _CODE = re.compile(r"^\s*(?:[A-Z]{0,3}\d[\dA-Z]{2,})\s*-\s+")
 _DIGITS = str.maketrans("0135", "OIES")
 
@@ -57,20 +55,9 @@ def distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def _slips(token: str, word: str) -> int:
-    """Edits, two swapped neighbours being one; 3 stands for more than two."""
-    if abs(len(token) - len(word)) > 2 or not any(p in token for p in _PIECES[word]):
-        return 3
-    d = distance(token, word)
-    if d == 2 and len(token) == len(word):
-        off = [i for i, (x, y) in enumerate(zip(token, word, strict=True)) if x != y]
-        if len(off) == 2 and off[1] == off[0] + 1 and token[off[0]] == word[off[1]] and token[off[1]] == word[off[0]]:
-            return 1
-    return min(d, 3)
-
-
-#: Three parts of each word: two edits leave one of them whole.
-_PIECES = {w: (w[: len(w) // 3], w[len(w) // 3 : 2 * len(w) // 3], w[2 * len(w) // 3 :]) for w in TRADES + GENERAL}
+def _swapped(a: str, b: str) -> bool:
+    off = [i for i, (x, y) in enumerate(zip(a, b)) if x != y]
+    return len(a) == len(b) and len(off) == 2 and off[1] == off[0] + 1 and a[off[0]] == b[off[1]] and a[off[1]] == b[off[0]]
 
 
 def _in_order(short: str, word: str) -> bool:
@@ -78,24 +65,11 @@ def _in_order(short: str, word: str) -> bool:
     return all(c in at for c in short)
 
 
-@lru_cache(200_000)
-def readings(token: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """(trades, general words) that the token can stand for: exact, else abbreviated, else misspelt."""
-    token = FIXED.get(token, token)
-    if token in TRADES:
-        return (token,), ()
-    if token in GENERAL:
-        return (), (token,)
-    for test in (
-        lambda w: 3 <= len(token) < len(w) and w.startswith(token),
-        lambda w: 3 <= len(token) < len(w) - 1 and w[0] == token[0] and (w[-1] == token[-1] or token[-1] == "G" or not set(token) & set("AEIOU")) and _in_order(token, w) and sum(c in "AEIOU" for c in token) <= 2,
-        lambda w: len(token) >= 4 and _slips(token, w) == 1,
-        lambda w: len(token) >= 7 and _slips(token, w) == 2,
-    ):
-        trades, general = tuple(w for w in TRADES if test(w)), tuple(w for w in GENERAL if test(w))
-        if trades or general:
-            return trades, general
-    return (), ()
+def _shortens(token: str, word: str) -> bool:
+    """First letter and some others in order, ending in the last letter or in G, or without vowels after the first letter."""
+    vowels = sum(c in "AEIOU" for c in token)
+    ends = word[-1:] == token[-1] or token[-1] == "G" or not set(token[1:]) & set("AEIOU")
+    return 3 <= len(token) < len(word) - 1 and word[0] == token[0] and ends and vowels <= 2 and _in_order(token, word)
 
 
 def _words(text: str) -> list[str]:
@@ -107,279 +81,398 @@ def _words(text: str) -> list[str]:
     return out
 
 
-def organisation(name: str | None) -> tuple[list[str], list[str], list[str]] | None:
-    """(words, initials, possible trades) of the organisation a string names; null if it names none.
-
-    Words come in order of the alphabet, without repeats; no trade means that none is written. What stands after a
-    dash, in brackets or after the legal form is a place, unless it repeats a word of the name. "A Holdings dba B" is
-    B; a part before a comma that holds one word only is completed by the part after it.
-    """
-    if not name:
-        return None
-    t = re.sub(r"\s+", " ", plain(name))
-    t = _CODE.sub("", t)
-    t = re.sub(r".*\bD\s?/?\s?B\s?/?\s?A\b\.?", "", t) if re.search(r"\bD\s?/?\s?B\s?/?\s?A\b", t) else t
-    m = re.search(r",\s*([A-Z]{2})$", t)
-    if m and m[1] in STATES and not any(w in LEGAL for w in _words(t)[:-1]):
-        return None
-    t = re.split(r"\s+-\s+|\s-$", t)[0]
-    inner = re.findall(r"\(([^)]*)\)?", t)
-    t = re.sub(r"\([^)]*\)?", " ", t)
-    words, initials, trades, seen_trade, legal, label, general_seen, first_trade = [], [], None, False, False, False, False, ""
-    for k, segment in enumerate(s for s in re.split(r",", t) if s.strip()):
-        tokens = [w for w in _words(segment) if w not in ("THE", "AND", "OF")]
-        if k and len(words) + len(initials) >= 2 and (seen_trade or legal):
-            break
-        if k and tokens and tokens[0] in PLACE_STARTS and seen_trade:
-            break
-        if k and len(words) >= 2 and not any(w in LEGAL or readings(w)[0] for w in tokens):
-            break
-        for w in tokens:
-            if legal and (words or trades):
+class Reader:
+    """Reads names with the trades and general words of a column."""
+
+    def __init__(self, trades: list[str] | tuple[str, ...] = (), general: list[str] | tuple[str, ...] = ()) -> None:
+        self.trades, self.general = tuple(trades), tuple(dict.fromkeys((*general, *GENERAL)))
+        # Three parts of each word: two edits leave one of them whole.
+        self._parts = {w: (w[: len(w) // 3], w[len(w) // 3 : 2 * len(w) // 3], w[2 * len(w) // 3 :]) for w in self.trades + self.general}
+        self.readings = lru_cache(200_000)(self._readings)
+
+    def __reduce__(self) -> tuple:
+        return Reader, (self.trades, self.general)
+
+    def _slips(self, token: str, word: str) -> int:
+        """Edits, two swapped neighbours being one; 3 stands for more than two."""
+        if abs(len(token) - len(word)) > 2 or not any(p in token for p in self._parts[word]):
+            return 3
+        d = distance(token, word)
+        return 1 if d == 2 and _swapped(token, word) else min(d, 3)
+
+    def _readings(self, token: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        """(trades, general words) that the token can stand for: exact, else abbreviated, else misspelt."""
+        if token in self.trades:
+            return (token,), ()
+        if token in self.general:
+            return (), (token,)
+        for test in (
+            lambda w: 3 <= len(token) < len(w) and w.startswith(token),
+            lambda w: _shortens(token, w),
+            lambda w: 5 <= len(token) < len(w) and token in w,
+            lambda w: len(token) >= 4 and self._slips(token, w) == 1,
+            lambda w: len(token) >= 7 and self._slips(token, w) == 2,
+        ):
+            trades, general = tuple(w for w in self.trades if test(w)), tuple(w for w in self.general if test(w))
+            if trades or general:
+                return trades, general
+        return (), ()
+
+    def organisation(self, name: str | None) -> tuple[list[str], list[str], list[str], int] | None:
+        """(words, initials, possible trades, sure) of the organisation a string names; null if it names none.
+
+        Words come as written, without repeats; no trade means that none is written. What stands after a
+        dash, in brackets or after the legal form is a place, unless it repeats a word of the name. "A Holdings dba B" is
+        B; a part before a comma that holds one word only is completed by the part after it. The words after the first
+        ``sure`` ones may be the place that a site label follows.
+        """
+        if not name:
+            return None
+        t = re.sub(r"\s+", " ", plain(name))
+        t = _CODE.sub("", t)
+        t = re.sub(r".*\bD\s?/?\s?B\s?/?\s?A\b\.?", "", t) if re.search(r"\bD\s?/?\s?B\s?/?\s?A\b", t) else t
+        m = re.search(r",\s*([A-Z]{2})$", t)
+        if m and m[1] in STATES and not any(w in LEGAL for w in _words(t)[:-1]):
+            return None
+        t = re.split(r"\s+-\s+|\s-$", t)[0]
+        inner = re.findall(r"\(([^)]*)\)?", t)
+        t = re.sub(r"\([^)]*\)?", " ", t)
+        words, initials, trades, seen_trade, legal, label, general_seen, first_trade = [], [], None, False, False, False, False, ""
+        for k, segment in enumerate(s for s in re.split(r",", t) if s.strip()):
+            tokens = [w for w in _words(segment) if w not in ARTICLES]
+            if k and len(words) + len(initials) >= 2 and (seen_trade or legal):
                 break
-            if w in LEGAL or (len(w) == 1 and w in "LC" and words and tokens[-1] == w and len(tokens) > 2 and not w.isalpha()):
-                legal = legal or bool(words or seen_trade)
-                continue
-            if w in LABELS and not (w == "WORKS" and not words):
-                label = True
-                continue
-            if w.isdigit():
-                continue
-            if len(w) == 1:
-                initials.append(w)
-                continue
-            r = readings(w)
-            if len(w) == 2 and words and not (r[0] or r[1]):
-                guess = tuple(x for x in TRADES if x[0] == w[0])
-                guess = tuple(x for x in guess if x.startswith(w) or any(g[0] == w[1] for g in GENERAL))
-                if guess and len(words) == 1 and first_trade in TRADES:
-                    words.append(first_trade)
-                    trades, first_trade = guess, ""
+            if k and tokens and tokens[0] in PLACE_STARTS and seen_trade:
+                break
+            if k and len(words) >= 2 and not any(w in LEGAL or self.readings(w)[0] for w in tokens):
+                break
+            for w in tokens:
+                if legal and (words or trades):
+                    break
+                if w in LEGAL or (len(w) == 1 and w in "LC" and words and tokens[-1] == w and len(tokens) > 2 and not w.isalpha()):
+                    legal = legal or bool(words or seen_trade)
+                    continue
+                if w in LABELS and not (w == "WORKS" and not words):
+                    label = True
+                    continue
+                if w.isdigit():
                     continue
-                if guess and not seen_trade:  # initials of trade and general word, or a name cut off
-                    trades, seen_trade = guess, True
+                if len(w) == 1:
+                    initials.append(w)
                     continue
-            if r[0] and not seen_trade:
-                trades, seen_trade = r[0], True
-                first_trade = w
-            elif r[0] and len(words) <= 1 and first_trade in TRADES and not legal:  # the first trade word is a proper word
-                words.append(first_trade)
-                trades, first_trade = r[0], w
-            elif r[0] or r[1]:
-                general_seen = True
-            elif len(w) > 2 and NICK.get(w, w) not in words:
-                words.append(NICK.get(w, w))
-        # a label ends the segment: what lies between the trade and it is a place
-        if label and seen_trade and tokens and tokens[-1] in LABELS:
-            cutoff = max((i for i, w in enumerate(tokens) if w in LEGAL or any(readings(w))), default=-1)
-            before = {NICK.get(w, w) for w in tokens[:cutoff]}
-            if sum(w in before for w in words) >= 2:
-                words = [w for w in words if w in before or w not in tokens]
-    if label:
-        words = words[:2]
-    if len(words) >= 2 and initials and not trades:
-        trades = tuple(x for x in TRADES if x[0] == initials[-1])
-    if len(words) >= 2:
-        initials = []
-    for extra in inner:
-        more = [NICK.get(w, w) for w in _words(extra) if w not in LEGAL and w not in LABELS]
-        if any(len(x) > 3 and (x in words or any(abs(len(x) - len(w)) <= 2 and distance(x, w) <= 2 for w in words)) for x in more):
-            initials += [x for x in more if len(x) == 1]
-            words += [x for x in more if len(x) > 1 and x not in words and not any(abs(len(x) - len(w)) <= 2 and distance(x, w) <= 2 for w in words)]
-    if len(words) == 1 and not initials and len(words[0]) < 13 and not (seen_trade or legal):
-        return None
-    if not words or (label and not seen_trade and not legal) or not (seen_trade or legal or general_seen or len(words) >= 2):
-        return None
-    return sorted(set(words)), sorted(set(initials)), sorted(trades or ())
-
-
-@F.pandas_udf(StringType())
-def _organisation(name: pd.Series) -> pd.Series:
-    return pd.Series(["|".join((" ".join(o[0]), " ".join(o[1]), " ".join(o[2]))) if (o := organisation(n)) else None for n in name], dtype=object)
-
-
-def parsed_names(names: DataFrame, column: str = "name") -> DataFrame:
-    """(name, words, initials, trades) of each distinct string that names an organisation; lists may be empty."""
+                r = self.readings(w)
+                if len(w) == 2 and words and not (r[0] or r[1]):
+                    guess = tuple(x for x in self.trades if x[0] == w[0])
+                    guess = tuple(x for x in guess if x.startswith(w) or any(g[0] == w[1] for g in self.general))
+                    if guess and len(words) == 1 and first_trade in self.trades:
+                        words.append(first_trade)
+                        trades, first_trade = guess, ""
+                        continue
+                    if guess and not seen_trade:  # initials of trade and general word, or a name cut off
+                        trades, seen_trade = guess, True
+                        continue
+                if r[0] and not seen_trade:
+                    trades, seen_trade = r[0], True
+                    first_trade = w
+                elif r[0] and len(words) <= 1 and first_trade in self.trades and not legal:  # the first trade word is a proper word
+                    words.append(first_trade)
+                    trades, first_trade = r[0], w
+                elif r[0] or r[1]:
+                    general_seen = True
+                elif len(w) > 2 and NICK.get(w, w) not in words:
+                    words.append(NICK.get(w, w))
+            # a label ends the segment: what lies between the trade and it is a place
+            if label and seen_trade and tokens and tokens[-1] in LABELS:
+                cutoff = max((i for i, w in enumerate(tokens) if w in LEGAL or any(self.readings(w))), default=-1)
+                before = {NICK.get(w, w) for w in tokens[:cutoff]}
+                if sum(w in before for w in words) >= 2:
+                    words = [w for w in words if w in before or w not in tokens]
+        if label:
+            words = words[: next((i for i, w in enumerate(words) if i >= 2 and w in PLACE_STARTS), len(words))]
+        if len(words) >= 2 and initials and not trades:
+            trades = tuple(x for x in self.trades if x[0] == initials[-1])
+        if len(words) >= 2:
+            initials = []
+        for extra in inner:
+            more = [NICK.get(w, w) for w in _words(extra) if w not in LEGAL and w not in LABELS]
+            if any(len(x) > 3 and (x in words or any(abs(len(x) - len(w)) <= 2 and distance(x, w) <= 2 for w in words)) for x in more):
+                initials += [x for x in more if len(x) == 1]
+                words += [x for x in more if len(x) > 1 and x not in words and not any(abs(len(x) - len(w)) <= 2 and distance(x, w) <= 2 for w in words)]
+        if len(words) == 1 and not initials and len(words[0]) < 13 and not (seen_trade or legal):
+            return None
+        if not words or (label and not seen_trade and not legal) or not (seen_trade or legal or general_seen or len(words) >= 2):
+            return None
+        words = list(dict.fromkeys(words))
+        return words, sorted(set(initials)), sorted(trades or ()), min(2, len(words)) if label else len(words)
+
+
+# --- what a column teaches --------------------------------------------------------------------------------------
+
+
+def _bare(name: Column) -> Column:
+    """The part of a name that can hold words and trade, without code, holding company, brackets and places; null for
+    strings with a site label or a state at the end."""
+    t = F.regexp_replace(F.upper(name), r"\s+", " ")
+    t = F.regexp_replace(t, r"^\s*[A-Z]{0,3}\d[\dA-Z]{2,}\s*-\s+", "")
+    t = F.regexp_replace(t, r".*\bD\s?/?\s?B\s?/?\s?A\b\.?", "")
+    site = t.rlike(rf"\b({'|'.join(sorted(LABELS - {'WORKS', 'MACHINE', 'MAIN'}))})\b|,\s*({'|'.join(STATES)})$")
+    return F.when(~site, F.regexp_replace(F.regexp_replace(t, r"(\s+-\s.*|\s-$)", ""), r"\([^)]*\)?|,.*", " "))
+
+
+def learnt_words(names: DataFrame) -> tuple[list[str], list[str]]:
+    """(trades, general words) of the distinct strings ``name``.
+
+    A learnt word is in at least LEARNT_SHARE of the names (and in five) and ends at least END_SHARE of them; it is
+    general if most often another learnt word stands before it, else a trade. A word that abbreviates a more frequent
+    learnt word is none of its own. Counts cover all names; the driver sees at most LEARNT words.
+    """
+    drop = [*LEGAL, *GENERAL, *LABELS, *ARTICLES]
+    tokens = F.filter(F.split(F.regexp_replace(F.regexp_replace(_bare(F.col("name")), "['’.]", ""), "[^A-Z0-9]+", " "), " "), lambda w: (F.length(w) > 1) & ~w.rlike("[0-9]") & ~w.isin(drop))
+    lists = names.select(tokens.alias("w")).filter("size(w) > 1")
+    places = lists.select(F.posexplode("w").alias("k", "word"), F.get("w", F.col("k") - 1).alias("before"), (F.col("k") == F.size("w") - 1).alias("last"))
+    n = names.count()
+    often = places.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("last").alias("ends"))
+    often = often.filter((F.col("n") >= max(5.0, LEARNT_SHARE * n)) & (F.col("ends") >= END_SHARE * F.col("n"))).orderBy(F.desc("n"), "word").limit(LEARNT).collect()
+    found = [r.word for r in often]
+    if not found:
+        return [], []
+    kept = [w for k, w in enumerate(found) if not any(v.startswith(w) or _shortens(w, v) for v in found[:k])]
+    second = places.filter(F.col("word").isin(kept)).groupBy("word").agg(F.avg(F.col("before").isin(kept).cast("int")).alias("share")).collect()
+    share = {r.word: r.share or 0.0 for r in second}
+    return [w for w in kept if share.get(w, 0.0) < 0.5], [w for w in kept if share.get(w, 0.0) >= 0.5]
+
+
+def parsed_names(names: DataFrame, column: str = "name", reader: Reader | None = None) -> DataFrame:
+    """(name, words, initials, trades, sure) of each distinct string that names an organisation; lists may be empty. Without
+    a ``reader`` the trades are learnt from the strings first."""
     one = names.select(F.col(column).cast("string").alias("name")).filter("name is not null").distinct()
-    read = _organisation.asNondeterministic()  # else the filter would be pushed below distinct() and parse again
-    read = one.withColumn("o", read("name")).filter("o is not null").withColumn("o", F.split("o", r"\|"))
-    return read.select("name", *(F.filter(F.split(F.col("o")[k], " "), lambda x: x != "").alias(n) for k, n in enumerate(("words", "initials", "trades"))))
+    known = reader or Reader(*learnt_words(one))
 
+    @F.pandas_udf(StringType())
+    def read(name: pd.Series) -> pd.Series:
+        return pd.Series(["|".join((" ".join(o[0]), " ".join(o[1]), " ".join(o[2]), str(o[3]))) if (o := known.organisation(n)) else None for n in name], dtype=object)
 
-def _codes(words: list[str], width: int) -> np.ndarray:
-    out = np.zeros((len(words), width), dtype=np.uint32)
-    for i, w in enumerate(words):
-        out[i, : min(len(w), width)] = np.frombuffer(w[:width].encode("utf-32-le"), dtype=np.uint32)
-    return out
+    read = read.asNondeterministic()  # else the filter would be pushed below distinct() and parse again
+    got = one.withColumn("o", read("name")).filter("o is not null").withColumn("o", F.split("o", r"\|"))
+    lists = (F.filter(F.split(F.col("o")[k], " "), lambda x: x != "").alias(n) for k, n in enumerate(("words", "initials", "trades")))
+    return got.select("name", *lists, F.col("o")[3].cast("int").alias("sure"))
+
+
+# --- the metric space -------------------------------------------------------------------------------------------
 
 
 def distances(a: list[str], b: list[str]) -> np.ndarray:
-    """Levenshtein's distances of all ``a`` to all ``b``, one table cell of all pairs at a time."""
-    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    """Levenshtein's distances of all ``a`` to all ``b``, by Myers' bit vectors: one step a letter of ``a`` for all
+    pairs at once. Words of ``b`` have at most 63 letters; characters beyond one byte are taken by their low byte plus
+    one of 256 classes each word of ``b`` is told apart by, so they are exact for A-Z and 0-9 only."""
     out = np.zeros((len(a), len(b)), dtype=np.int16)
     if not len(a) or not len(b):
         return out
-    ca, cb = _codes(a, int(la.max())), _codes(b, int(lb.max()))
-    n, m = ca.shape[1], cb.shape[1]
-    row = [np.full((len(a), len(b)), j, dtype=np.int16) for j in range(m + 1)]
-    out[:] = np.where(la[:, None] == 0, lb[None, :], 0)
-    for i in range(1, n + 1):
-        last, row[0] = row[0], np.full((len(a), len(b)), i, dtype=np.int16)
-        done = la == i
-        for j in range(1, m + 1):
-            best = np.minimum(np.minimum(row[j], row[j - 1]) + 1, last + (ca[:, i - 1][:, None] != cb[:, j - 1][None, :]))
-            last, row[j] = row[j], best.astype(np.int16)
-        if done.any():
-            stack = np.stack([r[done] for r in row])
-            out[done] = np.take_along_axis(stack, lb[None, None, :].repeat(done.sum(), 1), 0)[0]
+    if any(not x.isascii() or len(x) > 63 for x in b) or any(not x.isascii() for x in a):
+        out[:] = [[distance(x, y) for y in b] for x in a]
+        return out
+    lb = np.array([len(x) for x in b])
+    wide = np.uint64 if lb.max() > 31 else np.uint32
+    masks = np.zeros((128, len(b)), dtype=wide)
+    for j, y in enumerate(b):
+        for k, ch in enumerate(y):
+            masks[ord(ch), j] |= wide(1 << k)
+    order = np.argsort([-len(x) for x in a], kind="stable")
+    texts = [a[i] for i in order]
+    la = np.array([len(x) for x in texts])
+    codes = np.zeros((len(a), max(1, int(la.max()))), dtype=np.int64)
+    for i, x in enumerate(texts):
+        codes[i, : len(x)] = np.frombuffer(x.encode(), dtype=np.uint8)
+    full = np.array([(1 << int(n)) - 1 for n in lb], dtype=wide)
+    top = np.array([1 << max(int(n) - 1, 0) for n in lb], dtype=wide)
+    up, down = np.tile(full, (len(a), 1)), np.zeros((len(a), len(b)), dtype=wide)
+    score = np.tile(lb.astype(np.int16), (len(a), 1))
+    one = wide(1)
+    with np.errstate(over="ignore"):
+        for t in range(int(la.max())):
+            n = int(np.searchsorted(-la, -t))  # texts longer than t
+            u, d = up[:n], down[:n]
+            eq = masks[codes[:n, t]]
+            x = eq | d
+            flat = (((x & u) + u) ^ u) | x
+            rise, fall = d | ~(flat | u), u & flat
+            score[:n] += ((rise & top) != 0).astype(np.int16) - ((fall & top) != 0).astype(np.int16)
+            rise, fall = (rise << one) | one, fall << one
+            up[:n], down[:n] = (fall | ~(x | rise)) & full, rise & x & full
+    empty = lb == 0
+    if empty.any():
+        score[:, empty] = la[:, None]
+    out[order] = score
     return out
 
 
 def pivots_of(words: DataFrame, count: int = PIVOTS) -> list[str]:
-    """At most ``count`` pivots: of the best supported words, each as far as possible from those before it. The pivots
-    only shape the cells; any choice gives the same pairs."""
-    top = [r.word for r in words.orderBy(F.desc("support"), "word").limit(4 * count).collect()]
-    if not top:
-        return []
-    chosen, far = [top[0]], distances(top, [top[0]])[:, 0]
-    while len(chosen) < min(count, len(top)) and far.max() > 2:
-        k = int(far.argmax())
-        chosen.append(top[k])
-        far = np.minimum(far, distances(top, [top[k]])[:, 0])
-    return chosen
-
-
-def radius_pairs(words: DataFrame, radius: int, pivots: list[str]) -> DataFrame:
-    """(word_a, word_b, support_a, support_b, d): all pairs of different words at most ``radius`` edits apart, each in
-    the home cell of word_a. ``words`` has word and support, each word once; an empty table gives no pairs."""
-    spark = words.sparkSession
-    known = spark.sparkContext.broadcast(pivots)
+    """The at most ``count`` best supported words of up to 63 letters. The pivots only shape the cells; any choice gives
+    the same pairs."""
+    return [r.word for r in words.filter(F.length("word") <= 63).orderBy(F.desc("support"), "word").limit(count).collect()]
+
+
+def cells_of(words: DataFrame, pivots: list[str], reach: int) -> DataFrame:
+    """(word, cell, home, excess): the pivot nearest to each word, and the others at most ``reach`` farther than it."""
+    known = words.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k in range(0, len(b), 1000):
-                part = b.iloc[k : k + 1000]
-                d = distances(part["word"].tolist(), known.value)
+            for k in range(0, len(b), 512):
+                part = b["word"].iloc[k : k + 512]
+                d = distances(part.tolist(), known.value)
                 home = d.argmin(1)
-                near = d <= d[np.arange(len(d)), home][:, None] + 2 * radius
-                i, j = np.nonzero(near)
-                rows = {"word": part["word"].to_numpy()[i], "support": part["support"].to_numpy()[i], "cell": j, "home": home[i] == j, "far": d[i, j].astype("int32")}
-                yield pd.DataFrame(rows | {f"far{k}": d[i, min(k, d.shape[1] - 1)].astype("int32") for k in range(RINGS)})
-
+                excess = d - d[np.arange(len(d)), home][:, None]
+                i, j = np.nonzero(excess <= reach)
+                yield pd.DataFrame({"word": part.to_numpy()[i], "cell": j.astype("int32"), "home": home[i] == j, "excess": excess[i, j].astype("int32")})
+
+    return words.select("word").repartition(32).mapInPandas(assign, "word string, cell int, home boolean, excess int")
+
+
+def orders(words: Column) -> Column:
+    """The canonical string in all orders of up to three words; of more words in the given order only."""
+    texts = [F.array_join(words, " ")]
+    for n in (2, 3):
+        made = F.array(*(F.concat_ws(" ", *(F.get(words, F.lit(k)) for k in p)) for p in itertools.permutations(range(n))))
+        texts.append(made)
+    return F.when(F.size(words) == 2, texts[1]).when(F.size(words) == 3, texts[2]).otherwise(F.array(texts[0]))
+
+
+def radius_pairs(names: DataFrame, words: DataFrame, radius: int = RADIUS, pivots: list[str] | None = None) -> DataFrame:
+    """(a, b, own, other, d): ordered pairs of different names of the same block at most ``radius`` edits apart, or of which
+    a is b cut off in its last word; ``own`` and ``other`` are their words in the orders that fit best.
+
+    ``names`` has id, words (distinct words in order of the alphabet) and blocks (array); ``words`` has word and support.
+    The distance of names of as many words is the sum of the edits of their words in the best order (of four words or
+    more: in the given one). By the pigeonhole two names of n words within the radius have a pair of words within
+    radius // n edits: a is in the home cell of its word, and b, by the triangle inequality, in every cell at most
+    twice as much farther from its word than the nearest. No such pair is lost. A name of one word of eight letters or
+    more may be several written together: it is also placed in the cells of the pivots it begins or ends with, where it
+    meets longer names by the edits of the whole string; and names of one word meet the single words of longer ones. An
+    empty table gives no pairs.
+    """
+    spark = names.sparkSession
+    pivots = pivots_of(words) if pivots is None else pivots
     if not pivots:
-        return spark.createDataFrame([], "word_a string, word_b string, support_a long, support_b long, d int")
-    placed = cut(words.select("word", F.col("support").cast("long")).repartition(64).mapInPandas(assign, "word string, support long, cell int, home boolean, far int, " + ", ".join(f"far{k} int" for k in range(RINGS))))
-    # The triangle inequality to pivots spares most exact distances: words within the radius lie in rings around each
-    # pivot that differ by no more than it. The ring around the cell's own pivot is part of the join's key.
-    rings = F.explode(F.sequence(F.greatest(F.col("far") - radius, F.lit(0)), F.col("far") + radius))
-    a, b = placed.filter("home").withColumn("ring", rings).alias("a"), placed.alias("b")
-    d = F.levenshtein(F.col("a.word"), F.col("b.word"), radius)
-    on = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.ring") == F.col("b.far"))
-    for k in range(RINGS):
-        on = on & (F.abs(F.col(f"a.far{k}") - F.col(f"b.far{k}")) <= radius)
-    on = on & (F.abs(F.length("a.word") - F.length("b.word")) <= radius)
-    pairs = a.join(b, on & (F.col("a.word") != F.col("b.word")) & (d >= 0))
-    return pairs.select(F.col("a.word").alias("word_a"), F.col("b.word").alias("word_b"), F.col("a.support").alias("support_a"), F.col("b.support").alias("support_b"), d.alias("d"))
-
-
-def _known(words: DataFrame) -> DataFrame:
-    """word -> parts, and the support of the rarer part (0 if unknown), for long words that are two words written
-    together: both known and three times as common, or one of them known if the word is very rare."""
-    long = words.filter("length(word) >= 12").withColumnRenamed("support", "own")
-    cuts = long.select("word", "own", F.explode(F.sequence(F.lit(3), F.length("word") - 3)).alias("at"))
-    cuts = cuts.select("word", "own", F.substring("word", F.lit(1), F.col("at")).alias("left"), F.substring(F.col("word"), F.col("at") + 1, F.length("word")).alias("right"))
-    often = words.filter("support >= 3 and length(word) <= 16").select("word", "support")
-    l, r = often.select(F.col("word").alias("left"), F.col("support").alias("sl")), often.select(F.col("word").alias("right"), F.col("support").alias("sr"))
-    scored = cuts.join(l, "left", "left").join(r, "right", "left").filter("sl is not null or sr is not null")
-    both = F.when(F.col("sl").isNotNull() & F.col("sr").isNotNull(), 1000).otherwise(0)
-    part = F.greatest(F.when(F.col("sl").isNotNull(), F.length("left")).otherwise(0), F.when(F.col("sr").isNotNull(), F.length("right")).otherwise(0))
-    both_often = F.coalesce(F.least("sl", "sr") >= 3 * F.col("own"), F.lit(False))
-    scored = scored.withColumn("score", both + part).filter((F.col("score") >= 4) & (both_often | (F.col("own") <= 2)))
-    best = F.struct("score", "left")
-    rarer = F.least(F.coalesce("sl", F.lit(0)), F.coalesce("sr", F.lit(0)))
-    return scored.groupBy("word").agg(F.max_by(F.array("left", "right"), best).alias("parts"), F.max_by(rarer, best).alias("rarer"))
-
-
-def spellings(words: DataFrame, radius: int = 2, pivots: int = PIVOTS) -> DataFrame:
-    """(word, canonical): the best supported spelling each word is led to, itself if there is none better.
-
-    A step leads to the nearest word with more support. Words of eight letters or more are led within ``radius``
-    letters (a swap of neighbours counts as one) to a word four times as common, or within one letter to one twice as
-    common; shorter words within one letter to a word three times as common; words under four letters stay as they
-    are. Two words that are both common are therefore never taken for one.
+        return spark.createDataFrame([], "a long, b long, own array<string>, other array<string>, d int")
+    cells = cut(cells_of(words, pivots, 2 * radius))
+    parts = names.select("id", "words", F.explode("blocks").alias("block"), F.size("words").alias("n"))
+    parts = parts.withColumn("word", F.explode("words"))
+    placed = parts.join(cells, "word").filter(F.col("excess") <= 2 * F.floor(F.lit(radius) / F.col("n")))
+    home = placed.filter("home").select("id", "block", "cell", F.posexplode(orders(F.col("words"))).alias("way", "text"), "n")
+    listed = F.broadcast(spark.createDataFrame(list(enumerate(pivots)), "cell int, pivot string"))  # at most PIVOTS rows
+    long = parts.filter("n = 1 and length(word) >= 8").withColumn("at", F.explode(F.sequence(F.lit(3), F.length("word") - 3)))
+    ends = long.select("id", "block", "word", F.explode(F.array(F.substring("word", F.lit(1), F.col("at")), F.substring(F.col("word"), F.col("at") + 1, F.length("word")))).alias("pivot"))
+    joined = ends.join(listed, "pivot").select("id", "block", "cell", F.lit(0).alias("way"), F.col("word").alias("text"), F.lit(1).alias("n")).distinct()
+    other = placed.select("id", "block", "cell", F.explode(orders(F.col("words"))).alias("text"), "n")
+    other = other.unionByName(placed.filter("n > 1").select("id", "block", "cell", F.col("word").alias("text"), F.lit(1).alias("n")))
+    a, b = home.unionByName(joined).alias("a"), other.alias("b")
+    whole = F.levenshtein(F.col("a.text"), F.col("b.text"), radius)
+    on = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.id") != F.col("b.id")) & (F.col("b.n") >= F.col("a.n"))
+    near = (F.col("a.way") == 0) & (F.abs(F.length("a.text") - F.length("b.text")) <= radius) & (whole >= 0)
+    cutoff = (F.col("a.n") == F.col("b.n")) & (F.col("a.n") > 1) & F.col("b.text").startswith(F.col("a.text"))
+    pairs = a.join(b, on & (near | cutoff)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.text").alias("text"), F.col("b.text").alias("written"), (F.col("a.n") == F.col("b.n")).alias("even"), cutoff.alias("cutoff"), whole.alias("d"))
+    each = F.aggregate(F.zip_with(F.split("text", " "), F.split("written", " "), lambda x, y: F.levenshtein(x, y)), F.lit(0), lambda s, x: s + x)
+    pairs = pairs.withColumn("d", F.when(F.col("even"), each).otherwise(F.col("d"))).filter(F.col("cutoff") | (F.col("d") <= radius))
+    pairs = pairs.withColumn("own", F.split("text", " ")).withColumn("written", F.split("written", " "))
+    best = F.min_by(F.struct("own", F.col("written").alias("other")), F.struct("d", "written"))
+    return pairs.groupBy("a", "b").agg(best.alias("p"), F.min("d").alias("d")).select("a", "b", "p.own", "p.other", "d")
+
+
+def _follow(steps: DataFrame) -> DataFrame:
+    """(key, to) with every chain of steps followed to its end; each round doubles the length followed, until nothing
+    changes. Steps lead to better supported words, so there are no rings."""
+    while True:
+        onward = steps.select(F.col("key").alias("to"), F.col("to").alias("further"))
+        longer = cut(steps.join(onward, "to", "left").select("key", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
+        steps = longer.drop("moved")
+        if not longer.filter("moved").limit(1).count():
+            return steps
+
+
+def corrections(names: DataFrame, words: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS) -> DataFrame:
+    """(id, words): the names whose words give way to better supported ones in near names, words in order.
+
+    A word is led to the word in its place in a near name: the nearest of those that are, of eight letters or more, twice
+    as common (one edit, or two neighbours swapped) or four times (two or three edits), of four to seven letters three
+    times as common and one edit away, or ten times as common and two edits away (of three or four letters: one), or a word
+    it is the beginning of. Where both are rarer than a fiftieth of the mean support, a word of seven letters or more
+    follows one no less common within two edits (of ten or more: three), as all else in the names agrees. Common words
+    are therefore never taken for one another. A name written together gives way to the near name of which every word
+    is three times as common.
     """
-    pairs = radius_pairs(words, radius, pivots_of(words, pivots))
+    pairs = radius_pairs(names, words, radius, pivots_of(words, pivots))
+    text = names.select(F.col("id").alias("a"), F.col("words").alias("own"))
+    both = cut(pairs.drop("b").distinct())
+    at = both.filter(F.size("own") == F.size("other")).select("a", F.explode(F.arrays_zip("own", "other")).alias("p")).select("a", F.col("p.own").alias("word"), F.col("p.other").alias("to"))
+    at = at.filter("word <> to").distinct()
+    sa, sb = words.select("word", F.col("support").alias("sa")), words.select(F.col("word").alias("to"), F.col("support").alias("sb"))
     letters = lambda c: F.array_sort(F.split(F.col(c), ""))
-    d = F.when((F.col("d") == 2) & (F.length("word_a") == F.length("word_b")) & (letters("word_a") == letters("word_b")), 1).otherwise(F.col("d"))
-    better = (F.col("support_b") > F.col("support_a")) | ((F.col("support_b") == F.col("support_a")) & (F.col("word_b") < F.col("word_a")))
-    size = F.least(F.length("word_a"), F.length("word_b"))
-    enough = F.when(F.col("e") <= 1, 2).otherwise(4) * F.col("support_a") <= F.col("support_b")
-    fit = F.when(size >= 8, enough | ((F.col("support_a") <= 1) & (F.col("e") <= 1))).when(size >= 4, (F.col("e") <= 1) & (F.col("support_b") >= 3 * F.col("support_a"))).otherwise(F.lit(False))
-    steps = pairs.withColumn("e", d).filter(better & fit)
-    steps = steps.groupBy(F.col("word_a").alias("word")).agg(F.min_by("word_b", F.struct("e", -F.col("support_b"), "word_b")).alias("next"))
-    steps = cut(words.select("word").join(steps, "word", "left").select("word", F.coalesce("next", "word").alias("canonical")))
-    for _ in range(2):  # each round doubles the steps followed
-        onward = steps.select(F.col("word").alias("canonical"), F.col("canonical").alias("further"))
-        steps = steps.join(onward, "canonical").select("word", F.col("further").alias("canonical"))
-    return steps
-
-
-def _attached(orgs: DataFrame, words: DataFrame) -> DataFrame:
-    """(key, trade, to): organisations of two words that are a misspelling of a better known one: of the same trade,
-    with one word in common and the other, a word not a tenth as common, within two letters (one if under five) or
-    cut off after three or more."""
-    parts = orgs.filter(F.size("owords") == 2).select("key", "trade", "names", F.explode(F.array(F.struct(F.col("owords")[0].alias("same"), F.col("owords")[1].alias("other")), F.struct(F.col("owords")[1].alias("same"), F.col("owords")[0].alias("other")))).alias("p"))
-    parts = parts.select("key", "trade", "names", "p.*").join(words.withColumnRenamed("word", "other"), "other")
-    a, b = parts.alias("a"), parts.alias("b")
-    d = F.levenshtein(F.col("a.other"), F.col("b.other"))
-    near = d <= F.when(F.length("a.other") >= 5, 2).otherwise(1)
-    cutoff = (F.length("a.other") >= 3) & F.col("b.other").startswith(F.col("a.other"))
-    on = (F.col("a.same") == F.col("b.same")) & (F.col("a.trade") == F.col("b.trade")) & (F.col("b.names") >= F.col("a.names")) & (10 * F.col("a.support") <= F.col("b.support"))
-    pairs = a.join(b, on & (near | cutoff))
-    return pairs.groupBy(F.col("a.key").alias("key"), F.col("a.trade").alias("trade")).agg(F.min_by("b.key", F.struct(d, -F.col("b.names"), F.col("b.key"))).alias("to"))
-
-
-def organisations(names: DataFrame, column: str = "name") -> DataFrame:
+    e = F.levenshtein("word", "to")
+    e = F.when((e == 2) & (F.length("word") == F.length("to")) & (letters("word") == letters("to")), 1).otherwise(e)
+    steps = at.select("word", "to").distinct().join(sa, "word").join(sb, "to").withColumn("e", e)
+    mean = words.agg((F.sum(F.col("support") * F.col("support")) / F.sum("support")).alias("m")).first()["m"] or 0.0
+    size = F.least(F.length("word"), F.length("to"))
+    better = (F.col("sb") > F.col("sa")) | ((F.col("sb") == F.col("sa")) & (F.col("to") < F.col("word")))
+    fit = F.when(size >= 8, F.col("sb") >= F.when(F.col("e") <= 1, 2).otherwise(4) * F.col("sa"))
+    fit = fit.when(size >= 4, (F.col("e") <= 1) & (F.col("sb") >= 3 * F.col("sa"))).otherwise(F.lit(False))
+    fit = fit | ((F.col("sb") >= 10 * F.col("sa")) & (F.col("e") <= F.when(size >= 5, 2).otherwise(1)) & (size >= 3))
+    fit = fit | ((F.col("sb") <= mean / 50) & (size >= 7) & (F.col("e") <= F.when(size >= 10, 3).otherwise(2)))
+    begins = (F.length("word") >= 3) & F.col("to").startswith(F.col("word")) & (F.col("sb") >= 10 * F.col("sa"))
+    steps = steps.filter(better & (fit | begins))
+    best = at.join(steps, ["word", "to"]).groupBy("a", "word").agg(F.min_by("to", F.struct("e", -F.col("sb"), "to")).alias("to"))
+    best = best.groupBy("a").agg(F.map_from_arrays(F.collect_list("word"), F.collect_list("to")).alias("m"))  # the words of one name
+    new = best.join(text, "a").select(F.col("a").alias("id"), F.array_sort(F.array_distinct(F.transform("own", lambda w: F.coalesce(F.element_at("m", w), w)))).alias("words"))
+    split = both.filter(F.size("own") < F.size("other")).select("a", F.col("own")[0].alias("word"), "other", "d", F.explode("other").alias("to"))
+    split = split.join(sb, "to").groupBy("a", "word", "other", "d").agg(F.min("sb").alias("sb"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == F.size("other"))
+    split = split.join(sa, "word").filter(F.col("sb") >= 3 * F.col("sa"))
+    split = split.groupBy(F.col("a").alias("id")).agg(F.array_sort(F.min_by("other", F.struct("d", -F.col("sb"), F.array_join("other", " ")))).alias("words"))
+    return split.unionByName(new.join(split.select("id"), "id", "left_anti"))
+
+
+def _without_places(parsed: DataFrame) -> DataFrame:
+    """``parsed`` without the words that are the place before a site label: of a name with words after its ``sure`` ones
+    the longest beginning stays that is a name, with that trade, without a label; all words if none is."""
+    parsed = cut(parsed)
+    key = lambda w: F.concat_ws("|", F.array_join(F.array_sort(w), " "), F.array_join("trades", "/"))
+    known = parsed.filter("sure = size(words)").select(key(F.col("words")).alias("key")).distinct()
+    open_ = parsed.filter("sure < size(words)")
+    ends = open_.select("name", "trades", "words", F.explode(F.sequence("sure", F.size("words"))).alias("n"))
+    ends = ends.withColumn("key", key(F.slice("words", F.lit(1), F.col("n")))).join(known, "key").groupBy("name").agg(F.max("n").alias("n"))
+    cutoff = open_.join(ends, "name", "left").withColumn("words", F.slice("words", F.lit(1), F.coalesce("n", F.size("words")))).drop("n")
+    return parsed.filter("sure = size(words)").unionByName(cutoff).drop("sure")
+
+
+def organisations(names: DataFrame, column: str = "name", radius: int = RADIUS) -> DataFrame:
     """(name, org): each distinct string that names an organisation and a key shared by the organisation's names.
 
     Strings that name none (null, blank, labels, numbers, places) are left out; an empty table gives no rows; other
-    columns are ignored. Names with the same canonical words belong together if they have the same trade; a rare
-    organisation that is a misspelling of a better known one joins it. A name whose
-    trade is missing, misspelt or ambiguous, or that has one word (with or without an initial), goes to the one organisation
-    that agrees with it, and stays alone where several do.
+    columns are ignored. Names that come out of the metric space with the same words belong together if they have the same
+    trade. A name whose trade is missing, misspelt or ambiguous, or that has one word (with or without an initial), goes to
+    the one organisation that agrees with it, and stays alone where several do.
     """
-    parsed = cut(parsed_names(names, column))
-    words = parsed.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("support"))
-    words = cut(words)
-    parts = cut(_known(words))
-    extra = parts.select(F.explode("parts").alias("word")).distinct().join(words, "word", "left_anti").withColumn("support", F.lit(0).cast("long"))
-    lead = cut(spellings(words.unionByName(extra)))
-    own = words.withColumnRenamed("word", "canonical").withColumnRenamed("support", "s2")
-    # A slip of a word that isn't itself written together and is no rarer than the parts follows that word.
-    alone = lead.filter("word <> canonical").join(own, "canonical").join(parts.select(F.col("word").alias("canonical")), "canonical", "left_anti")
-    alone = alone.join(parts.select("word", "rarer"), "word").filter(F.col("s2") >= F.col("rarer")).select("word")
-    split = parts.join(alone, "word", "left_anti").select("word", F.explode("parts").alias("part"))
-    split = split.join(lead.withColumnRenamed("word", "part"), "part").groupBy("word").agg(F.collect_set("canonical").alias("as"))
-    whole = lead.join(split.select("word"), "word", "left_anti").select("word", F.array("canonical").alias("as"))
-    reading = checked_broadcast(cut(whole.unionByName(split)))
-    full, longest = parsed, parsed.agg(F.max(F.size("words"))).first()[0] or 0
-    for k in range(longest):  # a name has few words: joining each in place needs no regrouping of the names
-        full = full.withColumn("__w", F.get("words", F.lit(k))).join(reading.select(F.col("word").alias("__w"), F.col("as").alias(f"__{k}")), "__w", "left").drop("__w")
-    none = F.array().cast("array<string>")
-    spelt = F.array_sort(F.array_distinct(F.flatten(F.array(none, *(F.coalesce(f"__{k}", none) for k in range(longest))))))
-    full = full.select("name", spelt.alias("words"), "initials", "trades")
-    full = cut(full.withColumn("key", F.array_join("words", " ")))
+    strings = names.select(F.col(column).cast("string").alias("name")).filter("name is not null").distinct()
+    reader = Reader(*learnt_words(strings))
+    parsed = cut(_without_places(parsed_names(strings, reader=reader)).withColumn("words", F.array_sort("words")))
+    words = cut(parsed.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("support")))
+    key = F.concat_ws("|", F.array_join("words", " "), F.array_join("trades", "/"))
+    forms = parsed.filter("size(words) > 0").select("words", "trades").distinct().withColumn("id", F.xxhash64("words", "trades"))
+    every = F.lit([*reader.trades, ""]).cast("array<string>")
+    forms = cut(forms.withColumn("blocks", F.when(F.size("trades") == 0, every).otherwise(F.col("trades"))))
+    changed = forms.withColumnRenamed("words", "old").join(corrections(forms, words, radius), "id").withColumn("to", key)
+    changed = changed.select("to", F.concat_ws("|", F.array_join("old", " "), F.array_join("trades", "/")).alias("key")).filter("key <> to")
+    led = _follow(cut(changed))
+    full = parsed.withColumn("key", key).join(led, "key", "left").withColumn("key", F.substring_index(F.coalesce("to", "key"), "|", 1)).drop("to")
+    full = cut(full.withColumn("words", F.filter(F.split("key", " "), lambda x: x != "")))
     sure = full.filter((F.size("words") >= 2) & (F.size("trades") == 1)).select("name", "key", "words", F.col("trades")[0].alias("trade"))
-    orgs = cut(sure.groupBy("key", "trade").agg(F.first("words").alias("owords"), F.count(F.lit(1)).alias("names")))
-    to = cut(_attached(orgs, words))
-    final = lambda key, trade: F.concat_ws("|", F.coalesce("to", F.col(key)), F.col(trade))
-    sure = sure.join(to, ["key", "trade"], "left").select("name", final("key", "trade").alias("org"))
-    orgs = orgs.join(to, ["key", "trade"], "left_anti")
-    triple = full.filter((F.size("words") == 3) & (F.size("trades") == 0)).select("name", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"), "words")
-    triple = triple.select("name", F.col("words")[F.col("k")].alias("odd"), F.array_join(F.filter("words", lambda x: x != F.col("words")[F.col("k")]), " ").alias("key"))
+    orgs = cut(sure.groupBy("key", "trade").agg(F.first("words").alias("owords")))
+    # A word too many may be a trade that is misspelt beyond reading.
+    odd = full.filter((F.size("words") >= 3) & (F.size("trades") == 0)).select("name", F.explode("words").alias("odd"), "words")
+    odd = odd.select("name", "odd", F.array_join(F.filter("words", lambda x: x != F.col("odd")), " ").alias("key"))
     slip = F.least(F.levenshtein(F.col("odd"), F.col("trade")), F.levenshtein(F.col("odd"), F.substring(F.col("trade"), F.lit(1), F.length("odd"))))
-    misspelt = triple.join(orgs.select("key", "trade"), "key").filter((F.length("odd") >= 4) & (slip <= F.when(F.length("odd") >= 7, 3).otherwise(2)))
+    misspelt = odd.join(orgs.select("key", "trade"), "key").filter((F.length("odd") >= 4) & (slip <= F.when(F.length("odd") >= 7, 3).otherwise(2)))
     misspelt = cut(misspelt.groupBy("name").agg(F.min_by(F.concat_ws("|", "key", "trade"), F.struct(slip, "trade")).alias("org")))
+    sure = sure.select("name", F.concat_ws("|", "key", "trade").alias("org"))
     vague = full.join(misspelt.select("name"), "name", "left_anti").filter((F.size("words") >= 2) & (F.size("trades") != 1)).alias("v")
     fits = (F.size("v.trades") == 0) | F.array_contains(F.col("v.trades"), F.col("o.trade"))
     one = vague.join(orgs.alias("o"), (F.col("v.key") == F.col("o.key")) & fits, "left")

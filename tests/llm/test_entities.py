@@ -1,5 +1,6 @@
 """Addresses, names, linkage and percentiles."""
 
+import itertools
 import math
 import random
 
@@ -60,6 +61,9 @@ def test_streets_of_several_words(spark):
     assert {(r.record_a, r.record_b) for r in A.same_location(df).collect()} == {("a", "c"), ("a", "e"), ("c", "e"), ("g", "h")}
 
 
+READER = N.Reader("TURBINE PLASTICS FINISHING SANDBLASTING MACHINING FORGE TRACTOR WELDING".split(), "TECHNOLOGIES ENGINEERING SUPPLY".split())
+
+
 @pytest.mark.parametrize(
     ("name", "want"),
     [
@@ -72,7 +76,46 @@ def test_streets_of_several_words(spark):
     ],
 )
 def test_organisation(name, want):
-    assert N.organisation(name) == want
+    got = READER.organisation(name)
+    assert (got and (sorted(got[0]), *got[1:3])) == want
+
+
+def test_words_before_a_label_may_be_a_place(spark):
+    assert READER.organisation("Keystone Onyx Forge Alpha Beta Plant") == (["KEYSTONE", "ONYX"], [], ["FORGE"], 2)  # between trade and label
+    assert READER.organisation("Onyx Forge Keystone Alpha Plant") == (["ONYX", "KEYSTONE", "ALPHA"], [], ["FORGE"], 2)
+    assert READER.organisation("Keystone Onyx Alpha Forge Inc") == (["KEYSTONE", "ONYX", "ALPHA"], [], ["FORGE"], 3)
+    rows = ["Onyx Forge Keystone Alpha Plant", "Keystone Onyx Forge", "Keystone Onyx Alpha Forge LLC", "Dawn Forge Keystone Beta Shop"]
+    read = lambda n: {r.name: r.words for r in N._without_places(N.parsed_names(spark.createDataFrame([(r,) for r in rows[:n]], "name string"), reader=READER)).collect()}
+    assert read(4) == {rows[0]: ["ONYX", "KEYSTONE", "ALPHA"], rows[1]: ["KEYSTONE", "ONYX"], rows[2]: ["KEYSTONE", "ONYX", "ALPHA"], rows[3]: ["DAWN", "KEYSTONE", "BETA"]}
+    assert read(2)[rows[0]] == ["ONYX", "KEYSTONE"]
+
+
+def test_trades_are_learnt(spark):
+    first, second = ["Boeing", "Lockheed", "Raytheon", "Textron", "Northrop", "Sikorsky"], ["Alder", "Basin", "Canal", "Delta"]
+    names = [f"{a} {b} {t}{g} {legal}" for a in first for b in second for t, g in (("Rockets", ""), ("Missiles", " Works Group"), ("Propulsion", ""), ("Propulsion", " Partners"), ("Rockets", " Partners")) for legal in ("Inc", "LLC")]
+    trades, general = N.learnt_words(spark.createDataFrame([(n,) for n in names] + [("Lake Boeing, TX",), ("Plant 7",)], "name string"))
+    assert sorted(trades) == ["MISSILES", "PROPULSION", "ROCKETS"] and general == ["PARTNERS"]
+    assert N.learnt_words(spark.createDataFrame([("Boeing Co",), ("Boeing",), (None,)], "name string").filter("name is not null")) == ([], [])
+
+
+def test_other_companies(spark):
+    boeing = ["Boeing Defense Inc", "BOEING DEFENSE", "Boeing Defnese Corp.", "Defense Boeing LLC", "4410 - Boeing Defense Inc (Seattle)", "Boieng Defense Co"]
+    other = ["Lockheed Defense Inc", "Lockheed Defense", "Boeing Finance Inc", "Boeing Finance LLC", "Pacific Gas & Electric Co", "Boeing Defense Corporation of Canada, Plant 2"]
+    fill = [f"{a} {b} {s}" for a in ("Raytheon", "Textron", "Northrop") for b in ("Defense", "Finance") for s in ("Inc", "Co", "LLC")]
+    got = {(r.name_a, r.name_b) for r in N.spelling_pairs(spark.createDataFrame([(n,) for n in boeing + other + fill], "name string")).collect()}
+    assert {(a, b) for a in boeing for b in boeing if a < b} <= got
+    assert not any((a in boeing) != (b in boeing) for a, b in got if other[5] not in (a, b))
+
+
+def test_radius_join_carries_the_spellings(spark, monkeypatch):
+    names = [f"{w} {legal}" for w in ("Drothalknell Dawn Turbine", "Drothalknel Dawn Turbine", "Drothalknelldawn Turbine", "Drothalknell Dwan Turbine", "Drothlaknell Dawn Turbine") for legal in ("Inc", "Co", "LLC")]
+    names += [f"Drothalknell Dawn Turbine - Plant {k}" for k in range(20)]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    all_pairs = len(names) * (len(names) - 1) // 2
+    assert N.spelling_pairs(df).count() == all_pairs
+    empty = spark.createDataFrame([], "a long, b long, own array<string>, other array<string>, d int")
+    monkeypatch.setattr(N, "radius_pairs", lambda *a, **k: empty)
+    assert N.spelling_pairs(df).count() < 0.6 * all_pairs
 
 
 def test_distances_against_plain():
@@ -84,12 +127,25 @@ def test_distances_against_plain():
 
 def test_radius_pairs_lose_none(spark):
     rng = random.Random(8)
-    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(4, 7))) for _ in range(250)})
-    df = spark.createDataFrame([(w, rng.randint(1, 9)) for w in words], "word string, support long")
-    pivots = N.pivots_of(df, 12)
-    got = [(r.word_a, r.word_b) for r in N.radius_pairs(df, 2, pivots).collect()]
-    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in words for b in words if a != b and N.distance(a, b) <= 2}
-    assert N.radius_pairs(df.limit(0), 2, []).count() == 0
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(3, 6)))
+    stock = [word() for _ in range(40)]
+    names = sorted({tuple(sorted({rng.choice(stock) if rng.random() < 0.6 else word() for _ in range(rng.choice((2, 2, 2, 3)))})) for _ in range(160)})
+    names = [n for n in names if len(n) > 1]
+    blocks = [rng.choice((["x"], ["y"], ["x", "y"])) for _ in names]
+    df = spark.createDataFrame([(i, list(n), b) for i, (n, b) in enumerate(zip(names, blocks))], "id long, words array<string>, blocks array<string>")
+    words = spark.createDataFrame([(w, rng.randint(1, 9)) for w in sorted({w for n in names for w in n})], "word string, support long")
+    apart = lambda a, b: min(sum(N.distance(x, y) for x, y in zip(a, p)) for p in itertools.permutations(b))
+    for radius in (2, 3):
+        want = {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if i != j and len(a) == len(b) and set(blocks[i]) & set(blocks[j]) and apart(a, b) <= radius}
+        got = [(r.a, r.b, r.d) for r in N.radius_pairs(df, words, radius, N.pivots_of(words, 12)).collect()]
+        assert len(got) == len(set(got)) and {(a, b) for a, b, d in got if d <= radius and len(names[a]) == len(names[b])} == want and len(want) > 20
+        assert all(apart(names[a], names[b]) == d for a, b, d in got if (a, b) in want)
+    assert N.radius_pairs(df.limit(0), words.limit(0), 2).count() == 0
+
+
+def test_long_chains_of_spellings_are_followed(spark):
+    steps = spark.createDataFrame([(f"w{k}", f"w{k + 1}") for k in range(11)] + [("x", "y")], "key string, to string")
+    assert {r.key: r.to for r in N._follow(steps).collect()} == {**{f"w{k}": "w11" for k in range(11)}, "x": "y"}
 
 
 def test_spelling_pairs(spark):
