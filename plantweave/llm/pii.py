@@ -1,10 +1,12 @@
 """Personal information inside free text (problem 9): a skip-chain conditional random field over candidate spans.
 
 The nodes of a document's field are spans that could be a detail of one kind; the label says whether the span is one.
-Unary potentials weigh the words before and after the span and its shape; edges join neighbours in the text (chain),
-overlapping spans (exclusive), and distant spans that repeat or resemble each other's tokens (skip). Loopy sum-product
-message passing over all documents of a batch at once gives each span's marginal. The weights are set by hand; they
-are all in ``WEIGHTS``.
+Nodes of names are the spans beside a cue or title and, in the rest of the text, all runs of capitalised words that hold a
+common given name or a word of another such node; other runs have no edge and a unary potential below zero, so that the
+field could never label them. Skip edges start at a mention that has evidence of its own. Unary potentials weigh the words before and after the span and its shape; edges join
+neighbours in the text (chain), overlapping spans (exclusive), and distant spans that repeat or resemble each other's
+words (skip), which carry the label of a cued name to its uncued and shortened repeats. Loopy sum-product message passing
+over all documents of a batch at once gives each span's marginal. The weights are set by hand; they are all in ``WEIGHTS``.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ KINDS = ("NAME", "EMAIL", "PHONE", "ID", "ADDRESS")
 WEIGHTS = {
     "prior": {"NAME": -3.0, "EMAIL": 3.0, "PHONE": 0.5, "ID": -1.5, "ADDRESS": -1.0},
     "cue": 5.0, "title": 2.0, "given": 2.0, "after": 0.5, "company": -7.0, "number_label": -8.0, "separated": 1.0, "typed": 3.0, "unfinished": -4.0,
-    "chain": 0.5, "skip": 1.0, "exclusive": -9.0,
+    "verb": 2.5, "chain": 0.5, "skip": 4.0, "skip_off": 1.5, "exclusive": -9.0,
 }
 ROUNDS, DAMPING, CHAIN_GAP = 12, 0.3, 40
 
@@ -35,12 +37,18 @@ _I = r"[^\W\d_]{1,5}\."
 _TITLE = r"(?:(?:Dr|Mr|Mrs|Ms|Sr|Sra|Prof)\.?|Inspector|Foreman|Supervisor|Manager|Engineer|Officer|Captain)"
 _NAME = rf"(?:(?:{_I}|{_W})(?:{_S}(?:{_I}|{_W})){{1,3}}?|{_W},{_S}(?:{_W}|{_I})(?:{_S}{_I})?)"
 _ENDS = r"(?=\s+(?:at|and|al|gave|was|is|y|on|or)\b|\s*[,.;:<(\n\])]|\s*$|\s+[+(]?\d)"
-_NAME_CUES = (
-    r"Contact|From:|To:|Cc:|Attn:?|Signed(?:\s+for)?\s+by|witnessed\s+by|According\s+to|injured\s+worker,|Regards,|Sincerely,|visited\s+with|met\s+with"
-    r"|Según|Llame\s+a|Firmado\s+por"
-)
-NAME_CUED = re.compile(rf"(?<!\w)(?:{_NAME_CUES}){_S}(?P<title>{_TITLE}{_S})?(?P<v>{_NAME}){_ENDS}", re.I)
-NAME_TITLED = re.compile(rf"(?<!\w){_TITLE}{_S}(?P<v>{_NAME}){_ENDS}")
+#: Phrases that a name follows, in lower case with single blanks: of letters, reports, statements and contact lists.
+NAME_CUES = (
+    "contact", "from:", "to:", "cc:", "attn", "attn:", "signed by", "signed for by", "witnessed by", "according to", "injured worker,", "regards,", "sincerely,", "visited with", "met with",
+    "my name is", "named", "según", "llame a", "firmado por", "me llamo", "mi nombre es", "llamado", "llamada",
+)
+_CUE_END = {c: c.split()[-1] for c in NAME_CUES}
+_NAME_AT = re.compile(rf"{_S}(?P<title>{_TITLE}{_S})?(?P<v>{_NAME}){_ENDS}", re.I)
+_TITLED_AT = re.compile(rf"\.?{_S}(?P<v>{_NAME}){_ENDS}")
+TITLES = ("Dr", "Mr", "Mrs", "Ms", "Sr", "Sra", "Prof", "Inspector", "Foreman", "Supervisor", "Manager", "Engineer", "Officer", "Captain")
+_C = r"(?:[^\W\d_a-zß-ÿ](?:[^\W\d_]|['’-](?=[^\W\d_]))*\.?)"
+CAPITALS = re.compile(rf"(?<![\w@.'’-]){_C}(?:[ \n]{_C})+")
+VERB_AFTER = re.compile(r"\s+(?:said|says|wrote|writes|told|stated|reported|explained|confirmed|dijo|escribió|informó|declaró)\b")
 #: Given names and short forms that are common in English and Spanish; a rare one is found by its context.
 GIVEN = frozenset(
     """james robert john michael david william richard joseph thomas charles mary patricia jennifer linda elizabeth barbara susan jessica sarah karen
@@ -55,6 +63,7 @@ _COMPANY = (
     r"(?:inc|incorporated|llc|l\.l\.c|ltd|limited|corp|corporation|crp|co|company|lp|llp|plc|holdings|dba|associates|brothers|industries|manufacturing|services"
     r"|systems|products|technologies|international|equipment|supply|laboratories|engineering|enterprises|group)"
 )
+_COMPANY_LAST = re.compile(rf"\b{_COMPANY}$", re.I)
 COMPANY_AFTER = re.compile(rf"(?:[,)\"”]|\s|&)*(?:{_W}{_S}){{0,3}}?[(\"“]?{_COMPANY}\b", re.I)
 CAPITAL_AFTER = re.compile(r"[ ]+[A-Z][A-Za-z]+|[ ]*[&]")
 _AT = r"(?:\s?@\s?|\s*[\[({]\s*at\s*[\])}]\s*)"
@@ -93,10 +102,91 @@ ADDRESS = re.compile(
     rf"(?<![\w.,/$-])(?P<v>\d{{1,6}}(?:-\d{{1,6}}|[A-Z])?{_S}(?:{_DIR}{_S})?(?:{_ROUTE}|{_STREET}(?P<type>{_S}{_TYPE})?)(?:{_S}{_DIR}(?!\w))?{_UNIT}?{_PLACE}?)(?![\w-])", re.I
 )
 ADDRESS_CUE = re.compile(r"(?:address:?|mail\s+sent\s+to|site\s+at|lives?\s+at|vive\s+en|resident\s+of|located\s+at|ship\s+to:?|dirección:?)\s+$", re.I)
+_TOKEN = re.compile(_C)
 _HAS_ROUTE = re.compile(_ROUTE, re.I)
 _DIGIT = re.compile(r"\d")
 
 
+_DISGUISED = re.compile(r"[\[({]\s*at\s*[\])}]|\s+at\s+\S+\s+dot\s", re.I)
+
+
+def _cued(text: str) -> Iterator[tuple[bool, re.Match]]:
+    """(cue, match) of the names after a cue phrase or a title. Places of cues come from plain searches, which cost a
+    fraction of one pattern over all of the text."""
+    low = text.lower()
+    if len(low) != len(text):  # a letter whose lower case is longer
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    for cue, last in _CUE_END.items():
+        k = low.find(last)
+        while k >= 0:
+            end = k + len(last)
+            if " " not in cue:
+                begins = k == 0 or not (low[k - 1].isalnum() or low[k - 1] == "_")
+            else:
+                before = low[max(0, k - 40) : end].split()
+                n = cue.count(" ") + 1
+                begins = " ".join(before[-n:]) == cue or (len(before) >= n and " ".join(before[-n:]).endswith(cue) and not (x := before[-n][: -len(cue.split()[0])])[-1:].isalnum() and x[-1:] != "_")
+            if begins and (m := _NAME_AT.match(text, end)):
+                yield True, m
+            k = low.find(last, end)
+    for title in TITLES:
+        k = text.find(title)
+        while k >= 0:
+            end = k + len(title)
+            if (k == 0 or not (text[k - 1].isalnum() or text[k - 1] == "_")) and (m := _TITLED_AT.match(text, end)):
+                yield False, m
+            k = text.find(title, end)
+
+
+def _company(text: str, s: int, e: int) -> float:
+    """The weight of what follows a name if that makes it a company's or unfinished."""
+    tail = text[e : e + 60]
+    if COMPANY_AFTER.match(tail) or _COMPANY_LAST.search(text, s, e):
+        return WEIGHTS["company"]
+    return WEIGHTS["unfinished"] if CAPITAL_AFTER.match(tail) else 0.0
+
+
+def _uncued(text: str, names: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of further names of two words or more: runs of capitalised words, each a common given name, an initial or a
+    word of ``names``, or following a given name; with a surname, which is none of these but a word of its own. Companies
+    and names that go on are none."""
+    known = {t.lower() for s, e in names for t in re.findall(r"[^\W\d_]{4,}", text[s:e])} - GIVEN
+    out = []
+    for m in CAPITALS.finditer(text):
+        words = [(x.start(), x.end(), x[0].rstrip(".").lower()) for x in _TOKEN.finditer(text, *m.span())]
+        k = 0
+        while k < len(words):
+            j, given, surname = k, False, False
+            while j < len(words):
+                s, e, t = words[j]
+                if t in GIVEN or (len(t) == 1 and text[e - 1] == "."):
+                    given = True
+                elif t in known or any(edits_within_one(t, x) for x in known if abs(len(x) - len(t)) < 2 and (x[:3] == t[:3] or x[-3:] == t[-3:])):
+                    surname = True
+                elif given and not surname and text[words[j - 1][1] - 1] != "." or (given and not surname and len(words[j - 1][2]) == 1):
+                    surname = True  # the word after a given name or initial
+                else:
+                    break
+                j += 1
+                if text[e - 1] == "." and len(t) > 1:  # the sentence may end here
+                    break
+            if surname and j - k >= 2:
+                s, e = words[k][0], words[j - 1][1]
+                e -= text[e - 1] == "." and len(words[j - 1][2]) > 1
+                if not any(s < b and a < e for a, b in names) and not _company(text, s, e) and not text[e : e + 1].isalpha():
+                    out.append((s, e))
+            k = max(j, k + 1)
+    return out
+
+
+def edits_within_one(a: str, b: str) -> bool:
+    """One letter changed, lost or added at most."""
+    if a == b:
+        return True
+    i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
+
+
 def candidates(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, log-odds) of each span that could be a detail."""
     w, out = WEIGHTS, {}
@@ -106,19 +196,17 @@ def candidates(text: str) -> list[tuple[int, int, str, float]]:
         if score > out.get(key, -99.0):
             out[key] = score
 
-    for pattern, cue in ((NAME_CUED, True), (NAME_TITLED, False)):
-        for m in pattern.finditer(text):
-            s, e = m.span("v")
-            tokens = re.findall(_W, m["v"])
-            score = w["prior"]["NAME"] + (w["cue"] if cue else w["title"])
-            score += w["given"] * any(t.lower() in GIVEN for t in tokens) + (w["title"] if cue and m["title"] else 0)
-            tail = text[e : e + 60]
-            if COMPANY_AFTER.match(tail) or re.search(rf"\b{_COMPANY}$", m["v"], re.I):
-                score += w["company"]
-            elif CAPITAL_AFTER.match(tail):
-                score += w["unfinished"]
-            add(s, e, "NAME", score)
-    if "@" in text or " dot " in text or re.search(r"[\[({]\s*at\s*[\])}]", text, re.I):
+    for cue, m in _cued(text):
+        s, e = m.span("v")
+        tokens = re.findall(_W, m["v"])
+        score = w["prior"]["NAME"] + (w["cue"] if cue else w["title"])
+        score += w["given"] * any(t.lower() in GIVEN for t in tokens) + (w["title"] if cue and m["title"] else 0)
+        add(s, e, "NAME", score + _company(text, s, e))
+    names = [(s, e) for s, e, _ in out]
+    for s, e in _uncued(text, names):
+        given = any(t.lower() in GIVEN for t in re.findall(_W, text[s:e]))
+        add(s, e, "NAME", w["prior"]["NAME"] + w["given"] * given + w["verb"] * bool(VERB_AFTER.match(text, e)))
+    if "@" in text or _DISGUISED.search(text):
         for m in EMAIL.finditer(text):
             add(*m.span("v"), "EMAIL", w["prior"]["EMAIL"])
     if _DIGIT.search(text):
@@ -156,8 +244,27 @@ def edges_of(text: str, nodes: list[tuple[int, int, str, float]]) -> list[tuple[
         if kind in ("NAME", "EMAIL"):
             for t in {t.lower() for t in re.findall(r"[^\W\d_]{4,}", text[s:e])} - GIVEN:
                 tokens[t].append(j)
-    for places in tokens.values():
-        out += [(a, b, w["skip"], w["skip"]) for a, b in zip(places, places[1:]) if nodes[a][1] <= nodes[b][0]]
+    similar = defaultdict(list)
+    for t in tokens:
+        for key in (t[:4], "-" + t[-4:]):
+            similar[key].append(t)
+    root = {t: t for t in tokens}
+    for own in similar.values():
+        for x, y in zip(own, own[1:]):
+            if len(x) > 4 and edits_within_one(x, y):
+                root[y] = root[x]
+    places = defaultdict(set)
+    for t, own in tokens.items():
+        places[root[t]].update(own)
+    seen = set()
+    for own in map(sorted, places.values()):
+        hub = max(own, key=lambda j: nodes[j][3])  # the surest mention reaches all others at once
+        if nodes[hub][3] <= 0:  # repeats alone are no evidence
+            continue
+        for a, b in ((min(hub, j), max(hub, j)) for j in own if j != hub):
+            if (a, b) not in seen and nodes[a][1] <= nodes[b][0]:
+                seen.add((a, b))
+                out.append((a, b, w["skip"], w["skip_off"]))
     return out
 
 
@@ -221,16 +328,30 @@ def find_details(documents: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, kind string, value string").distinct()
 
 
+def _with_mentions(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """``spans`` and the surnames of their names where they stand alone, but not before another capitalised word or a
+    company's: no details of their own, yet they would give the name away."""
+    surnames = {x for s, e, k in spans if k == "NAME" for x in re.findall(r"[^\W\d_]{4,}", text[s:e]) if x.lower() not in GIVEN}
+    if not surnames:
+        return spans
+    out = list(spans)
+    for m in re.finditer(rf"(?<![\w.@-])(?:{'|'.join(map(re.escape, sorted(surnames)))})(?![\w@-])", text):
+        tail = text[m.end() : m.end() + 60]
+        if not any(m.start() < b and a < m.end() for a, b, _ in spans) and not CAPITAL_AFTER.match(tail) and not COMPANY_AFTER.match(tail):
+            out.append((*m.span(), "NAME"))
+    return sorted(out)
+
+
 def redact(documents: DataFrame) -> DataFrame:
-    """(doc_id, text, n_details): the texts with each detail replaced by its kind in brackets; one row per input row.
-    A null text stays null with no details."""
+    """(doc_id, text, n_details): the texts with each detail, and each bare repeat of a person's surname, replaced by its
+    kind in brackets; one row per input row. A null text stays null with no details."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch["text"]]
             new, counts = [], []
             for t, spans in zip(texts, details([t or "" for t in texts])):
-                for s, e, k in reversed(spans):
+                for s, e, k in reversed(_with_mentions(t or "", spans)):
                     t = f"{t[:s]}[{k}]{t[e:]}"
                 new.append(t)
                 counts.append(len(spans))

@@ -96,6 +96,26 @@ def test_details():
     }
 
 
+REPEATS = "Witnessed by Dr. Uxor Fovitwick. Smith saw Uxor Fovitwick there; later U. Fovitwick left, and Fovitwick called Uxor Fovitwik. The Paint Booth by Fovitwick Turbine LLC stands. Paint Booth again. Paint Booth."
+
+
+def test_skip_edges_carry_names_to_uncued_repeats(monkeypatch):
+    names = lambda t: [t[s:e] for s, e, k in pii.details([t])[0] if k == "NAME"]
+    assert names(REPEATS) == ["Uxor Fovitwick", "Uxor Fovitwick", "U. Fovitwick", "Uxor Fovitwik"]
+    assert names("My name is Ana Velez. Maria Lopez wrote to us. Maria Lopez Coatings LLC wrote. Deborah Mount and Deborah Mount runs it.") == ["Ana Velez", "Maria Lopez"]
+    assert names("Contact John Smithers at 515-555-0145. Later John Smithers said so.") == ["John Smithers", "John Smithers"]
+    monkeypatch.setitem(pii.WEIGHTS, "skip", 0.0)
+    monkeypatch.setitem(pii.WEIGHTS, "skip_off", 0.0)
+    assert names(REPEATS) == ["Uxor Fovitwick"]
+
+
+def test_redaction_takes_bare_surnames(spark):
+    df = spark.createDataFrame([(1, REPEATS)], "doc_id long, text string")
+    text = pii.redact(df).first().text
+    assert text == "Witnessed by Dr. [NAME]. Smith saw [NAME] there; later [NAME] left, and [NAME] called [NAME]. The Paint Booth by Fovitwick Turbine LLC stands. Paint Booth again. Paint Booth."
+    assert {r.value for r in pii.find_details(df).collect()} == {"Uxor Fovitwick", "U. Fovitwick", "Uxor Fovitwik"}
+
+
 def test_detail_tables(spark):
     df = spark.createDataFrame([(1, TEXT, "k"), (1, TEXT, "k"), (2, None, "k"), (3, "", "k"), (None, TEXT, "k"), (4, "plain text " * 20_000, "k")], "doc_id long, text string, kind string")
     found = pii.find_details(df)
