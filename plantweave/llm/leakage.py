@@ -1,4 +1,8 @@
-"""Evaluation texts leaking into training text (problem 8): pigeonhole pieces, then bit-parallel verification."""
+"""Evaluation texts leaking into training text (problem 8): pigeonhole pieces, then bit-parallel verification.
+
+One scan of the documents, however many items there are: runs of words whose hash is in a bitmap of fixed size are joined,
+with the words around them, to the table of the items' runs; what the hashes claim is then verified by Myers' bit vectors.
+"""
 
 from __future__ import annotations
 
@@ -9,13 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import checked_broadcast, cut
+
 #: Consecutive words of an item that make a leak, and word edits allowed in them.
 WINDOW, ERRORS = 25, 1
-#: Items whose pieces are sent to the executors at a time. More items are searched in further blocks.
-ITEM_BLOCK = 5_000
+#: Least and most bits of the bitmap of the items' runs; between them it has BITS_A_RUN for each run. A full bitmap only
+#: costs time: the join decides.
+BITS_LEAST, BITS_MOST, BITS_A_RUN = 1 << 20, 1 << 30, 16
+#: Words a Python worker remembers the hashes of.
+REMEMBERED = 1_000_000
 _DROP = re.compile(r"[^\w\s]|_")
 _BASE = 0x9E3779B97F4A7C15
 
@@ -54,107 +64,137 @@ def myers_within(pattern: list[int], text: list[int], errors: int) -> bool:
     return False
 
 
-class ItemIndex:
-    """Pieces of one block of items: the vocabulary, and the sorted hashes of all runs of ``piece`` words with the
-    items and places they come from."""
-
-    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW, errors: int = ERRORS) -> None:
-        self.window, self.errors = window, errors
-        self.piece = window // (errors + 1)
-        self.vocabulary: dict[str, int] = {}
-        self.items: dict[int, list[int]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
-            if len(ids) >= window:
-                self.items[item] = ids
-        places = defaultdict(list)
-        for item, ids in self.items.items():
-            for q, h in enumerate(self.hashes(np.array(ids, dtype=np.int64))):
-                places[int(h)].append((item, q))
-        self.sorted = np.array(sorted(places), dtype=np.uint64)
-        self.places = dict(places)
-
-    def hashes(self, ids: np.ndarray) -> np.ndarray:
-        n = len(ids) - self.piece + 1
-        if n <= 0:
-            return np.zeros(0, dtype=np.uint64)
-        u = (ids + 1).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            mixed = (u ^ (u >> np.uint64(7))) * np.uint64(_BASE)
-            mixed ^= mixed >> np.uint64(29)
-            h = np.zeros(n, dtype=np.uint64)
-            for j in range(self.piece):
-                h = h * np.uint64(0x100000001B3) + mixed[j : j + n]
-        return h
-
-    def starts(self, item: int, q: int) -> list[int]:
-        """Windows of the item that have the run at ``q`` as, or within, one of their errors + 1 pieces."""
-        last = len(self.items[item]) - self.window
-        ends = [self.window if i == self.errors else (i + 1) * self.piece for i in range(self.errors + 1)]
-        return [s for s in {q - (e - self.piece) for e in ends} if 0 <= s <= last]
-
-    def search(self, texts: pd.Series) -> list[tuple[int, int]]:
-        """(row, item) for each text that contains a window of the item within the error budget."""
-        if not len(self.sorted):
-            return []
-        split = [words_of(t) for t in texts]
-        sizes = np.array([len(w) for w in split], dtype=np.int64)
-        total = int(sizes.sum())
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, -1) for ws in split for w in ws), dtype=np.int64, count=total)
-        if total < self.piece:
-            return []
-        row = np.repeat(np.arange(len(split)), sizes)
-        n = total - self.piece + 1
-        unknown = np.concatenate([[0], np.cumsum(ids < 0)])
-        ok = (unknown[self.piece :] - unknown[:n] == 0) & (row[self.piece - 1 :] == row[:n])
-        h = self.hashes(ids)
-        at = np.searchsorted(self.sorted, h)
-        hit = ok & (self.sorted[np.minimum(at, len(self.sorted) - 1)] == h)
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        found, failed, run = set(), set(), ids.tolist() if hit.any() else []
-        for p in np.flatnonzero(hit).tolist():
-            d = int(row[p])
-            lo, hi = int(first[d]), int(first[d + 1])
-            for item, q in self.places[int(h[p])]:
-                if (d, item) in found:
+class _Hashes(dict):
+    """Hash of each word, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return value
+
+
+_HASHES = _Hashes()
+
+
+def hashed(words: list[str]) -> np.ndarray:
+    return np.fromiter((_HASHES[w] for w in words), dtype=np.uint64, count=len(words))
+
+
+def run_hashes(ids: np.ndarray, piece: int) -> np.ndarray:
+    """Hash of each run of ``piece`` words, as signed integers."""
+    n = len(ids) - piece + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    with np.errstate(over="ignore"):
+        mixed = (ids ^ (ids >> np.uint64(7))) * np.uint64(_BASE)
+        mixed ^= mixed >> np.uint64(29)
+        h = np.zeros(n, dtype=np.uint64)
+        for j in range(piece):
+            h = h * np.uint64(0x100000001B3) + mixed[j : j + n]
+        h ^= h >> np.uint64(31)
+    return h.view(np.int64)
+
+
+def item_runs(items: DataFrame, window: int, errors: int) -> DataFrame:
+    """(h, item_id, words, at): each run of window // (errors + 1) words of each item's text of ``window`` words or more,
+    with the words of all windows that have it as one of their errors + 1 pieces; it begins at ``at`` of them."""
+    piece = window // (errors + 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch["item_id"].tolist(), batch["text"].tolist()):
+                ids = hashed(words_of(text))
+                if len(ids) < window:
                     continue
-                for s in self.starts(item, q):
-                    start = p + s - q
-                    if (d, item, s, start) in failed:
-                        continue
-                    region = run[max(lo, start - self.errors) : min(hi, start + self.window + self.errors)]
-                    if myers_within(self.items[item][s : s + self.window], region, self.errors):
-                        found.add((d, item))
-                        break
-                    failed.add((d, item, s, start))
-        return sorted(found)
+                signed = ids.view(np.int64)
+                for q, h in enumerate(run_hashes(ids, piece).tolist()):
+                    lo = max(0, q - (window - piece))
+                    rows.append((h, item, signed[lo : q + window], q - lo))
+            yield pd.DataFrame(rows, columns=["h", "item_id", "words", "at"])
+
+    return items.mapInPandas(run, "h long, item_id long, words array<long>, at int")
+
+
+def bitmap(runs: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the runs' hashes modulo ``bits``, a power of two, made where the runs are; the driver sees bits / 8 bytes."""
+    at = F.pmod("h", F.lit(bits))
+    made = runs.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("b")).collect()
+    size = 32_768 // 8
+    out = np.zeros(max(bits // 8, 1) + 2 * size, dtype=np.uint8)
+    for r in made:  # buckets count from 1; position 0 of a bucket is a value of 32768 * (bucket - 1) + 1
+        got = np.frombuffer(bytes(r.b), dtype=np.uint8)
+        out[(r.bucket) * size : (r.bucket) * size + len(got)] = got
+    return out
+
+
+def _bit_of(position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(byte, bit) of ``bitmap`` for a position, as the engine's bucket and bit position functions count them: position
+    p > 0 is in bucket 1 + (p - 1) // 32768 at (p - 1) % 32768, position 0 in bucket 0 at 0."""
+    bucket = np.where(position > 0, 1 + (position - 1) // 32_768, 0)
+    bit = np.where(position > 0, (position - 1) % 32_768, 0)
+    return bucket * 4_096 + bit // 8, (bit % 8).astype(np.uint8)
 
 
-def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, errors: int = ERRORS, block: int = ITEM_BLOCK) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, errors: int = ERRORS, bits: int | None = None) -> DataFrame:
     """(doc_id, item_id), each once: documents that contain ``window`` consecutive words of an item with at most
     ``errors`` of them changed, dropped or followed by an added word.
 
     ``documents`` has doc_id and text, ``items`` item_id and text; other columns are ignored. Null and empty texts
-    and items shorter than the window give nothing; rows with a null id take no part; repeated ids are judged by
-    each of their texts. All words of all documents are read, in one scan per block of items and without a shuffle
-    but for the result's. An edit can spoil one of the errors + 1 pieces of a window only, so each leak has an exact
-    piece and none is missed; the pieces of at most ``block`` items are broadcast at a time.
+    and items shorter than the window give nothing; rows with a null id take no part; repeated ids, of documents or
+    of items, are judged by each of their texts. All words of all documents are read, in one scan. An edit can spoil one of
+    the errors + 1 pieces of a window only, so each leak has an exact piece and none is missed.
     """
     spark = documents.sparkSession
+    piece = window // (errors + 1)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
-    blocks = max(1, -(-wanted.count() // block))
-    out = None
-    for b in range(blocks):
-        part = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        index = spark.sparkContext.broadcast(ItemIndex([(r.item_id, r.text) for r in part.collect()], window, errors))
-
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                found = index.value.search(batch["text"])
-                yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[[d for d, _ in found]].astype("int64"), "item_id": np.array([i for _, i in found], dtype="int64")})
-
-        hits = docs.mapInPandas(run, "doc_id long, item_id long")
-        out = hits if out is None else out.unionByName(hits)
-    return out.distinct()
+    runs = cut(item_runs(wanted, window, errors))
+    if bits is None:
+        bits = BITS_LEAST
+        n = runs.count()
+        while bits < min(BITS_MOST, BITS_A_RUN * n):
+            bits *= 2
+    known = spark.sparkContext.broadcast(bitmap(runs, bits))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            split = [words_of(t) for t in batch["text"]]
+            sizes = np.array([len(w) for w in split], dtype=np.int64)
+            ids = hashed([w for ws in split for w in ws])
+            h = run_hashes(ids, piece)
+            byte, bit = _bit_of(h & (bits - 1))
+            row = np.repeat(np.arange(len(split)), sizes)
+            hit = np.flatnonzero(((known.value[byte] >> bit) & 1).astype(bool) & (row[piece - 1 :] == row[: len(h)]) if len(h) else np.zeros(0, dtype=bool))
+            first = np.concatenate([[0], np.cumsum(sizes)])
+            lo = np.maximum(first[row[hit]], hit - (window - piece) - errors) if len(hit) else hit
+            hi = np.minimum(first[row[hit] + 1], hit + window + errors) if len(hit) else hit
+            signed = ids.view(np.int64)
+            yield pd.DataFrame(
+                {"doc_id": batch["doc_id"].to_numpy()[row[hit]].astype("int64"), "h": h[hit], "near": [signed[a:b] for a, b in zip(lo, hi)], "begin": (hit - lo).astype("int32")}
+            )
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends = [window if i == errors else (i + 1) * piece for i in range(errors + 1)]
+        for batch in batches:
+            found, failed = set(), set()
+            for d, near, begin, item, words, at in zip(*(batch[c].tolist() for c in ("doc_id", "near", "begin", "item_id", "words", "at"))):
+                if (d, item) in found:
+                    continue
+                for s in {at - (e - piece) for e in ends}:
+                    if s < 0 or s + window > len(words):
+                        continue
+                    start = begin + s - at
+                    pattern, region = tuple(words[s : s + window]), tuple(near[max(0, start - errors) : start + window + errors])
+                    if (pattern, region) in failed:
+                        continue
+                    if myers_within(pattern, region, errors):
+                        found.add((d, item))
+                        break
+                    failed.add((pattern, region))
+            yield pd.DataFrame(sorted(found), columns=["doc_id", "item_id"]).astype("int64")
+
+    candidates = docs.mapInPandas(scan, "doc_id long, h long, near array<long>, begin int")
+    claimed = candidates.join(checked_broadcast(runs), "h").select("doc_id", "near", "begin", "item_id", "words", "at")
+    return claimed.mapInPandas(verify, "doc_id long, item_id long").distinct()

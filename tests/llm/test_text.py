@@ -46,6 +46,15 @@ def leaks_by_brute_force(docs, items, window=25):
     return out
 
 
+def test_bitmap_holds_its_runs_and_little_else(spark):
+    rng = random.Random(7)
+    own = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(3_000)] + [0, 1, 1 << 16, 32_768, 32_769]
+    bits = leakage.bitmap(spark.createDataFrame([(h,) for h in own], "h long"), 1 << 16)
+    has = lambda hs: (bits[(at := leakage._bit_of(np.array(hs, dtype=np.int64) & 0xFFFF))[0]] >> at[1]) & 1
+    positions = {h & 0xFFFF for h in own}
+    assert has(own).all() and [h for h in range(1 << 16) if has([h])[0]] == sorted(positions)
+
+
 def test_leaks(spark):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(60)]
@@ -74,7 +83,9 @@ def test_leaks(spark):
     real = [(d, t) for d, t in docs if d is not None and t and d != 102]
     want = leaks_by_brute_force(real, [(i, t) for i, t in items if t]) | {(102, 0)}
     assert {(r.doc_id, r.item_id) for r in leakage.leaks(df, it).collect()} == want and len(want) > 5
-    assert {(r.doc_id, r.item_id) for r in leakage.leaks(df, it, block=2).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(df, it, bits=1 << 8).collect()} == want  # a bitmap too small to filter
+    twice = spark.createDataFrame([(0, "w1 " * 30), (0, items[1][1]), (0, items[0][1])], "item_id long, text string")
+    assert {r.doc_id for r in leakage.leaks(df, twice).collect()} == {d for d, i in want if i in (0, 1)}
     assert leakage.leaks(df.limit(0), it).count() == 0 and leakage.leaks(df, it.limit(0)).count() == 0
 
 
