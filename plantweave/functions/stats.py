@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import checked_broadcast, cut
+from ..runtime import HOT_KEYS, checked_broadcast, cut
+
+#: Rows of one value above which its rank is broadcast instead of joined by a shuffle.
+HOT_ROWS = 20_000
 
 
 def present(c: Column) -> Column:
@@ -78,16 +81,55 @@ def cumulative(counts: DataFrame, group: str, value: str, n: str, parts: int = 6
     return placed.withColumn("below", F.col("__skip") + own).drop("__g", "__q", "__r", "__skip")
 
 
+def group_percentiles(df: DataFrame, wanted: Sequence[tuple[str, str | None, str]]) -> DataFrame:
+    """Adds an average-rank percentile (0 to 100) for each (value, group, name): of the value within the group (None: the
+    whole table); null where either is null. A group of one has percentile 0.
+
+    All values are counted in one pass, before they are shuffled, and ranked in one range sort. The ranks come back by a
+    join on (measure, group, value): rows without a value, however many, take no part in it, and values of over
+    HOT_ROWS rows (zeros, ties) are answered by a broadcast of those few instead of meeting in one task.
+    """
+    keys = [(F.lit(k), F.coalesce(F.col(g).cast("string"), F.lit(None)) if g else F.lit(""), F.col(v).cast("double")) for k, (v, g, _) in enumerate(wanted)]
+    entries = F.array(*(F.struct(m.alias("m"), g.alias("g"), (v + 0.0).alias("v")) for m, g, v in keys))
+    long = df.select(F.explode(entries).alias("e")).select("e.*").filter("v is not null and g is not null")
+    counts = long.groupBy("m", "g", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("mg", F.struct("m", "g"))
+    ranked = cumulative(counts, "mg", "v", "c")
+    pct = (F.col("below") + (F.col("c") - 1) / 2) / F.greatest(F.col("total") - 1, F.lit(1)) * 100
+    ranked = cut(ranked.select("m", "g", "v", "c", pct.alias("p")))
+    hot = F.broadcast(ranked.filter(F.col("c") > HOT_ROWS).orderBy(F.desc("c"), "m", "g", "v").limit(HOT_KEYS))
+    for k, (_, _, name) in enumerate(wanted):
+        g, v = keys[k][1], keys[k][2] + 0.0
+        few = hot.filter(F.col("m") == k).select(F.col("g").alias("__hg"), F.col("v").alias("__hv"), F.col("p").alias("__hp"))
+        df = df.join(few, (g == F.col("__hg")) & (v == F.col("__hv")), "left")
+        # Rows that have no rank to look up are spread by a key that meets nothing.
+        asks = F.col("__hp").isNull() & g.isNotNull() & v.isNotNull()
+        df = df.withColumn("__k", F.when(asks, g).otherwise(F.concat(F.lit("\u0000"), (F.monotonically_increasing_id() % 997).cast("string"))))
+        rest = ranked.filter(F.col("m") == k).select(F.col("g").alias("__g1"), F.col("v").alias("__v1"), F.col("p").alias("__p1"))
+        df = df.join(rest, (F.col("__k") == F.col("__g1")) & (v == F.col("__v1")), "left").withColumn(name, F.coalesce("__hp", "__p1"))
+        df = df.drop("__k", "__g1", "__v1", "__p1", "__hg", "__hv", "__hp")
+    return df
+
+
 def group_percentile(df: DataFrame, value: str, group: str | None, out: str) -> DataFrame:
-    """Adds the average-rank percentile (0 to 100) of ``value`` within ``group`` (None: the whole table); null where
-    either is null. A group of one has percentile 0. Values are counted before they are shuffled."""
-    kept = df.filter(F.col(value).isNotNull())
-    kept = kept.filter(F.col(group).isNotNull()) if group else kept
-    key = F.col(group) if group else F.lit(0)
-    counts = kept.groupBy(key.alias("__g1"), F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    ranked = cumulative(counts, "__g1", "__v", "__c")
-    ranked = ranked.select("__g1", "__v", ((F.col("below") + (F.col("__c") - 1) / 2) / F.greatest(F.col("total") - 1, F.lit(1)) * 100).alias(out))
-    return df.join(ranked, (key == F.col("__g1")) & (F.col(value) == F.col("__v")), "left").drop("__g1", "__v")
+    """``group_percentiles`` of one value."""
+    return group_percentiles(df, [(value, group, out)])
+
+
+def exact_median(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, median, n): the mean of the two middle values, from value counts, so that a group may hold any share of the
+    rows. Null values and groups don't count."""
+    counts = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    at = cumulative(counts, group, "__v", "__c")
+    holds = lambda k: (F.col("below") <= k) & (F.col("below") + F.col("__c") > k)
+    lo, hi = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    got = at.filter(holds(lo) | holds(hi)).groupBy(group).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.max("total").alias("n"))
+    return got.select(group, ((F.col("lo") + F.col("hi")) / 2).alias("median"), "n")
+
+
+def strict_long(text: Column) -> Column:
+    """The text as a whole number; any other text raises, null stays null."""
+    number = text.try_cast("bigint")
+    return F.when(text.isNull() | number.isNotNull(), number).otherwise(F.raise_error(F.concat(F.lit("not a whole number: "), text)).cast("bigint"))
 
 
 def upper_median(df: DataFrame, group: str, value: str, at_least: int = 3) -> DataFrame:

@@ -115,3 +115,55 @@ def sentences(*clauses: Column, default: str) -> Column:
     """The clauses that are not null, each ended by a full stop; ``default`` if all are null."""
     text = F.concat_ws(". ", *clauses)
     return F.when(text == "", default).otherwise(F.concat(text, F.lit(".")))
+
+
+def money(amount: Column) -> Column:
+    """$1.23B, $4.5M, $678K or $90; null stays null."""
+    return (
+        F.when(amount >= 1e9, F.concat(F.lit("$"), F.format_string("%.2f", amount / 1e9), F.lit("B")))
+        .when(amount >= 1e6, F.concat(F.lit("$"), F.format_string("%.1f", amount / 1e6), F.lit("M")))
+        .when(amount >= 1e3, F.concat(F.lit("$"), F.format_string("%.0f", amount / 1e3), F.lit("K")))
+        .when(amount.isNotNull(), F.concat(F.lit("$"), F.format_string("%.0f", amount)))
+    )
+
+
+def badge(name: Column, public: Sequence[str], customer: Column) -> Column:
+    """government for a name of the set (case and outer blanks aside), else customer or prospect."""
+    return F.when(F.lower(F.trim(name)).isin(*public), "government").when(customer, "customer").otherwise("prospect")
+
+
+def reasons(*parts: Column) -> Column:
+    """The distinct reasons that are not null, in order of the alphabet, with "; " between them."""
+    return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*parts)))), "; ")
+
+
+# Street words and their abbreviations, and states by region.
+STREET_WORDS = {
+    "STREET": "ST", "AVENUE": "AVE", "BOULEVARD": "BLVD", "DRIVE": "DR", "ROAD": "RD", "LANE": "LN", "COURT": "CT", "CIRCLE": "CIR", "HIGHWAY": "HWY", "PARKWAY": "PKWY",
+    "PLACE": "PL", "SUITE": "STE", "NORTH": "N", "SOUTH": "S", "EAST": "E", "WEST": "W",
+}
+REGIONS = {
+    "Northeast": "CT ME MA NH RI VT NJ NY PA",
+    "Southeast": "AL AR FL GA KY LA MS NC SC TN VA WV DC",
+    "Midwest": "IL IN IA KS MI MN MO NE ND OH SD WI",
+    "Southwest": "AZ NM OK TX",
+    "West": "AK CA CO HI ID MT NV OR UT WA WY",
+}
+
+
+def region_of(state: Column) -> Column:
+    """The region of a state code; null for others."""
+    known = F.create_map(*(F.lit(x) for region, states in REGIONS.items() for s in states.split() for x in (s, region)))
+    return known[state]
+
+
+def address_key(line: Column, city: Column, state: Column, code: Column) -> Column:
+    """"<number> <street>, <CITY> <ST> <zip5>", or null without a number and street: suites are dropped, words are
+    abbreviated, signs are blanks. A grammar in the JVM; writings it can't read keep their words."""
+    t = F.regexp_replace(F.upper(F.coalesce(line, F.lit(""))), r"(\b(SUITE|STE|UNIT|APT|BLDG|BUILDING|ROOM|RM|FLOOR|FL|DOCK|LOT)\b\.?\s*#?\s*[A-Z0-9-]+|#\s*[A-Z0-9-]+)", " ")
+    t = squeezed(F.regexp_replace(t, "[^A-Z0-9 -]", " "))
+    number, street = F.regexp_extract(t, r"^(\d+[A-Z]?)\s+(\S.*)$", 1), F.regexp_extract(t, r"^(\d+[A-Z]?)\s+(\S.*)$", 2)
+    short = F.create_map(*(F.lit(x) for kv in STREET_WORDS.items() for x in kv))
+    words = F.array_join(F.transform(F.split(street, " "), lambda w: F.coalesce(short[w], w)), " ")
+    tail = F.concat_ws(" ", F.nullif(F.upper(F.trim(city)), F.lit("")), F.nullif(F.upper(F.trim(state)), F.lit("")), F.nullif(F.left(F.trim(code), F.lit(5)), F.lit("")))
+    return F.when(number != "", F.concat(number, F.lit(" "), words, F.lit(", "), tail))

@@ -33,13 +33,13 @@ def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
 
 
 def collapse_series(df: DataFrame, key: str, year: str, latest: Sequence[str], earliest: Sequence[str], series: Sequence[str]) -> DataFrame:
-    """One row a key (rows without a key are left out: they are no one series): ``latest`` columns of the last year even if null, ``earliest`` of the first,
+    """One row a key (rows without a key share one, without a series, as they may be many): ``latest`` columns of the last year even if null, ``earliest`` of the first,
     and the yearly ``series`` in order. Within a year ties are broken by the columns themselves, in their order."""
     tie = F.struct(F.col(year), *(F.col(c) for c in (*series, *latest, *earliest)))
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(
+    return df.groupBy(key).agg(
         *(F.max_by(F.col(c), tie).alias(c) for c in latest),
         *(F.min_by(F.col(c), tie).alias(c) for c in earliest),
-        F.array_sort(F.collect_list(F.struct(year, *series))).alias("series"),
+        F.when(F.col(key).isNotNull(), F.array_sort(F.collect_list(F.when(F.col(key).isNotNull(), F.struct(year, *series))))).alias("series"),
     )
 
 

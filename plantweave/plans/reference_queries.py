@@ -58,7 +58,7 @@ scored AS (SELECT *, coalesce(voc_pct, 0) * 0.4 + coalesce(dart_pct, 0) * 0.35 +
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     f = facilities(spark, sf)
-    f = S.group_percentile(S.group_percentile(f, "voc", "facility_vertical", "voc_pct"), "dart", "facility_vertical", "dart_pct")
+    f = S.group_percentiles(f, [("voc", "facility_vertical", "voc_pct"), ("dart", "facility_vertical", "dart_pct")])
     return f.withColumn("size", S.band_score(F.col("employee_count"), BANDS)).withColumn("score", S.weighted(WEIGHTS))
 
 
@@ -96,7 +96,7 @@ SELECT facility_id, dart, round(m, 6) AS sector_median, CASE WHEN m > 0 THEN rou
 )
 def q_group_median_ratio(spark: SparkSession, sf: str) -> DataFrame:
     f = facilities(spark, sf)
-    m = f.filter(F.col("dart").isNotNull() & F.col("facility_vertical").isNotNull()).groupBy("facility_vertical").agg(F.median("dart").alias("m"))
+    m = S.exact_median(f, "facility_vertical", "dart").select("facility_vertical", F.col("median").alias("m"))
     multiple = F.when(F.col("m") > 0, F.round(F.col("dart") / F.col("m"), 4))
     return f.join(checked_broadcast(m), "facility_vertical", "left").select("facility_id", "dart", F.round("m", 6).alias("sector_median"), multiple.alias("multiple"))
 
@@ -433,9 +433,9 @@ def q_haversine_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return V.near_in_bucket(_points(spark, sf)).withColumn("metres", F.round("metres", 2))
 
 
-@query(f"WITH {_P}, d AS (SELECT a.account AS grp, a.id AS id_a, b.id AS id_b, round({_HAV}, 1) AS metres FROM p a JOIN p b ON a.account = b.account AND a.id < b.id WHERE a.account IN (SELECT account FROM p GROUP BY account HAVING count(*) <= 500)) SELECT grp, max(metres) AS metres FROM d GROUP BY grp")
+@query(f"WITH {_P}, d AS (SELECT a.account AS grp, a.id AS id_a, b.id AS id_b, round({_HAV}, 1) AS metres FROM p a JOIN p b ON a.account = b.account AND a.id < b.id ) SELECT grp, max(metres) AS metres FROM d GROUP BY grp")
 def q_cluster_diameter(spark: SparkSession, sf: str) -> DataFrame:
-    """Accounts of any size; the SQL leaves out those of over 500 points."""
+    """Accounts of any size."""
     return V.diameters(_points(spark, sf).withColumnRenamed("account", "grp")).select("grp", F.round("metres", 1).alias("metres"))
 
 
@@ -482,11 +482,11 @@ def q_areas_without_places(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(f, "zip", "left_anti")
 
 
-_COLLAPSE = """WITH o AS (SELECT DISTINCT establishment_id, year, dart_rate, establishment_name, city, annual_average_employees, company_name FROM osha_establishments WHERE establishment_id IS NOT NULL),
+_COLLAPSE = """WITH o AS (SELECT DISTINCT establishment_id, year, dart_rate, establishment_name, city, annual_average_employees, company_name FROM osha_establishments),
 k AS (SELECT *, row_number() OVER (PARTITION BY establishment_id ORDER BY year DESC, dart_rate DESC NULLS LAST, establishment_name DESC NULLS LAST, city DESC NULLS LAST, annual_average_employees DESC NULLS LAST, company_name DESC NULLS LAST) AS l,
   row_number() OVER (PARTITION BY establishment_id ORDER BY year, dart_rate NULLS FIRST, establishment_name NULLS FIRST, city NULLS FIRST, annual_average_employees NULLS FIRST, company_name NULLS FIRST) AS e FROM o)
 SELECT establishment_id, max(establishment_name) FILTER (WHERE l = 1) AS establishment_name, max(city) FILTER (WHERE l = 1) AS city, max(annual_average_employees) FILTER (WHERE l = 1) AS annual_average_employees,
-  max(company_name) FILTER (WHERE e = 1) AS company_name, string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) AS years FROM k GROUP BY establishment_id"""
+  max(company_name) FILTER (WHERE e = 1) AS company_name, string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) FILTER (WHERE establishment_id IS NOT NULL) AS years FROM k GROUP BY establishment_id"""
 
 
 @query(_COLLAPSE)
@@ -509,16 +509,13 @@ def q_series_trend(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_F}, d AS (SELECT DISTINCT account_id, facility_id, voc, employee_count FROM f)
-SELECT account_id, (SELECT min_by(voc, facility_id) FROM d x WHERE x.account_id = d.account_id AND voc IS NOT NULL) AS first_voc, max_by(employee_count, facility_id) FILTER (WHERE employee_count IS NOT NULL) AS last_employees
-FROM d WHERE account_id IN (SELECT account_id FROM d GROUP BY account_id HAVING count(*) = count(DISTINCT facility_id)) GROUP BY account_id"""
+    f"""WITH {_F}, d AS (SELECT account_id, facility_id, max(voc) AS voc, max(employee_count) AS employee_count FROM f GROUP BY 1, 2)
+SELECT account_id, min_by(voc, facility_id) FILTER (WHERE voc IS NOT NULL) AS first_voc, max_by(employee_count, facility_id) FILTER (WHERE employee_count IS NOT NULL) AS last_employees FROM d GROUP BY account_id"""
 )
 def q_first_last_present(spark: SparkSession, sf: str) -> DataFrame:
-    d = facilities(spark, sf).select("account_id", "facility_id", "voc", "employee_count").distinct()
-    whole = d.groupBy("account_id").agg(
-        R.first_present("voc", "facility_id").alias("first_voc"), R.last_present("employee_count", "facility_id").alias("last_employees"), F.count(F.lit(1)).alias("n"), F.countDistinct("facility_id").alias("m")
-    )
-    return whole.filter("n = m").drop("n", "m")
+    """All accounts; of repeated rows of a facility the greatest values count."""
+    d = facilities(spark, sf).groupBy("account_id", "facility_id").agg(F.max("voc").alias("voc"), F.max("employee_count").alias("employee_count"))
+    return d.groupBy("account_id").agg(R.first_present("voc", "facility_id").alias("first_voc"), R.last_present("employee_count", "facility_id").alias("last_employees"))
 
 
 @query(
@@ -646,9 +643,9 @@ def q_expansion_path(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("step"), running.alias("running"))
 
 
-@query("SELECT s_suppkey AS id, s_name AS name, 'cache' AS basis FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT c_custkey, c_name, 'new' FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey AND s_suppkey % 2 = 0)")
+@query("SELECT s_suppkey AS id, s_name AS name, 'cache' AS basis FROM supplier UNION ALL SELECT c_custkey, c_name, 'new' FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey)")
 def q_enrichment_merge(spark: SparkSession, sf: str) -> DataFrame:
-    cache = table(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("cache").alias("basis"))
+    cache = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("cache").alias("basis"))
     new = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("new").alias("basis"))
     return R.enrich_once(cache, new, "id")
 
@@ -657,12 +654,18 @@ def _signal(value: Column, source: str) -> Column:
     return F.struct(value.isNotNull().alias("present"), F.coalesce(F.format_string("%.1f", value), F.lit("none")).alias("raw"), F.lit(source).alias("source"))
 
 
-@query()
+@query(
+    f"""WITH {_F} SELECT facility_id, facility_name, voc IS NOT NULL AS voc_present, dart IS NOT NULL AS dart_present, coalesce(CAST(CAST(employee_count AS BIGINT) AS VARCHAR), 'none') AS size_raw, 'injuries' AS size_source FROM f"""
+)
 def q_nested_signals(spark: SparkSession, sf: str) -> DataFrame:
-    """Places as nested records; a document shape, checked by tests, as JSON texts differ between engines."""
+    """Places as nested records through JSON and back; the fields are compared, as JSON texts differ between engines."""
     f = facilities(spark, sf)
-    signals = F.struct(_signal(F.col("voc"), "emissions").alias("voc"), _signal(F.col("dart"), "injuries").alias("dart"), _signal(F.col("employee_count"), "injuries").alias("size"))
-    return f.select("facility_id", F.to_json(F.struct("facility_name", signals.alias("signals")), {"ignoreNullFields": "false"}).alias("json"))
+    size = F.struct(F.col("employee_count").isNotNull().alias("present"), F.coalesce(F.col("employee_count").cast("long").cast("string"), F.lit("none")).alias("raw"), F.lit("injuries").alias("source"))
+    signals = F.struct(_signal(F.col("voc"), "emissions").alias("voc"), _signal(F.col("dart"), "injuries").alias("dart"), size.alias("size"))
+    j = f.select("facility_id", F.to_json(F.struct("facility_name", signals.alias("signals")), {"ignoreNullFields": "false"}).alias("json"))
+    one = "struct<present:boolean,raw:string,source:string>"
+    back = j.select("facility_id", F.from_json("json", f"facility_name string, signals struct<voc:{one},dart:{one},size:{one}>").alias("r"))
+    return back.select("facility_id", "r.facility_name", F.col("r.signals.voc.present").alias("voc_present"), F.col("r.signals.dart.present").alias("dart_present"), F.col("r.signals.size.raw").alias("size_raw"), F.col("r.signals.size.source").alias("size_source"))
 
 
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
