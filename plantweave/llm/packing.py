@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..runtime import cut
 
 CAPACITY = 2_048
+#: Rows of one size that are ranked in one task.
+LANE_ROWS = 500_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _ENCODINGS: dict[str, object] = {}
@@ -48,47 +50,108 @@ def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """[(sizes in one container, containers of that kind)] for items of 1 .. capacity.
 
-    Reduction by dominance, as in Martello and Toth: for the largest remaining size, a set that fills its container
-    at least as well as any alternative set could is fixed for good - the item alone if not even the smallest item
-    fits beside it; the item with one other that fills the container exactly; the item with the largest other that
-    fits, if no two others fit beside it. All containers of the same kind are fixed at once. What can't be fixed is
-    put in by best fit, largest first, again in whole runs of equal sizes.
+    The containers come from ``reduce`` and ``best_fit``; ``plan_parts`` tells which from which.
+    """
+    fixed, rest = plan_parts(histogram, capacity)
+    return fixed + rest
+
+
+def plan_parts(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], list[tuple[tuple[int, ...], int]]]:
+    """(fixed, rest): containers fixed by dominance, and those of the remaining items by best fit."""
+    fixed, left = reduce(histogram, capacity)
+    return fixed, best_fit(left, capacity)
+
+
+def reduce(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """(fixed containers, remaining histogram): reduction by dominance, as in Martello and Toth.
+
+    For the largest remaining size, a set of up to three items that fills its container at least as well as any other set
+    could is fixed for good:
+
+    * the item alone, if not even the smallest item fits beside it;
+    * the item with one other that fills the container exactly, as any set beside the item can change places with that one;
+    * the item with the largest other k that fits, if no two fit beside it, or if any two that do together weigh no more than k;
+    * the item with k and the largest m that fits beside both, if no three fit beside the item and of any two that do, the
+      smaller weighs no more than m (the greater never weighs more than k).
+
+    All containers of the same kind are fixed at once.
     """
     left = {s: n for s, n in histogram.items() if n > 0}
     sizes = sorted(left)
     fixed: list[tuple[tuple[int, ...], int]] = []
-    rest: dict[int, int] = {}
 
-    def take(size: int, n: int) -> None:
-        left[size] -= n
-        if not left[size]:
-            del left[size]
-            sizes.remove(size)
-
-    while sizes:
-        big = sizes[-1]
+    def take(content: tuple[int, ...], n: int) -> None:
+        for size in content:
+            left[size] -= n
+            if not left[size]:
+                del left[size]
+                sizes.remove(size)
+
+    def most(content: tuple[int, ...]) -> int:
+        return min(left[s] // content.count(s) for s in set(content))
+
+    def largest(room: int, without: tuple[int, ...]) -> int | None:
+        """The largest size of at most ``room`` of which there is one besides ``without``."""
+        i = bisect_right(sizes, room) - 1
+        while i >= 0 and left[sizes[i]] <= without.count(sizes[i]):
+            i -= 1
+        return sizes[i] if i >= 0 else None
+
+    def smallest(k: int, without: tuple[int, ...], above: int = 0) -> int | None:
+        """The sum of the ``k`` smallest items over ``above`` besides ``without``; None if there are not so many."""
+        total, i = 0, bisect_right(sizes, above)
+        while k and i < len(sizes):
+            n = min(k, left[sizes[i]] - without.count(sizes[i]))
+            total, k, i = total + n * sizes[i], k - n, i + 1
+        return None if k else total
+
+    def fix(big: int) -> bool:
         room = capacity - big
-        if sizes[0] > room:
-            n = left[big]
-            fixed.append(((big,), n))
-            take(big, n)
+        k = largest(room, (big,))
+        chosen: tuple[int, ...] | None = None
+        if k is None:
+            chosen = (big,)
+        elif k == room:
+            chosen = (big, k)
+        else:
+            two, three = smallest(2, (big,)), smallest(3, (big,))
+            if two is None or two > room:
+                chosen = (big, k)
+            elif three is None or three > room:
+                m = largest(room - k, (big, k))
+                over = smallest(2, (big,), m or 0)
+                if _best_pair(sizes, left, room, big) <= k:
+                    chosen = (big, k)
+                elif m is not None and (over is None or over > room):
+                    chosen = (big, k, m)
+        if chosen:
+            n = most(chosen)
+            fixed.append((chosen, n))
+            take(chosen, n)
+        return chosen is not None
+
+    for big in sorted(left, reverse=True):  # those that can't be fixed stay, as partners of smaller ones
+        while left.get(big) and fix(big):
+            pass
+    return fixed, left
+
+
+def _best_pair(sizes: list[int], left: dict[int, int], room: int, big: int) -> int:
+    """The greatest sum of two items besides one ``big`` that fit into ``room``; 0 if none do."""
+    free = [(s, left[s] - (s == big)) for s in sizes[: bisect_right(sizes, room)] if left[s] > (s == big)]
+    best, i, j = 0, 0, len(free) - 1
+    while i <= j:
+        total = free[i][0] + free[j][0]
+        if total > room or (i == j and free[i][1] < 2):
+            j -= 1
             continue
-        best = sizes[bisect_right(sizes, room) - 1]
-        have = left[best] - (best == big)
-        two = sizes[0] + (sizes[0] if left[sizes[0]] > 1 else sizes[1] if len(sizes) > 1 else capacity)
-        if best == big and have < 1:
-            i = bisect_right(sizes, room) - 2
-            best = sizes[i] if i >= 0 else 0
-            have = left.get(best, 0)
-        if have >= 1 and (best == room or two > room):
-            n = left[big] // 2 if best == big else min(left[big], left[best])
-            n = max(n, 1)
-            fixed.append(((big, best), n))
-            take(big, n)
-            take(best, n)
-            continue
-        rest[big] = left[big]
-        take(big, left[big])
+        best = max(best, total)
+        i += 1
+    return best
+
+
+def best_fit(rest: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit, largest first, in whole runs of equal sizes."""
     # best fit of the remainder: open containers as free room -> {contents: count}
     open_: dict[int, dict[tuple[int, ...], int]] = {}
     rooms: list[int] = []
@@ -122,7 +185,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
                 rooms.pop(i)
             put(room - size, (*content, size), m)
             n -= m
-    return fixed + [(c, n) for contents in open_.values() for c, n in contents.items()]
+    return [(c, n) for contents in open_.values() for c, n in contents.items()]
 
 
 def pack(sizes: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", size_col: str = "tokens") -> DataFrame:
@@ -130,18 +193,21 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", siz
 
     An item longer than the capacity is cut into full containers and a last piece; no other is split. Items of size
     zero or null go to container 0 with no tokens. Ids may repeat: every row is placed. An empty table gives no rows.
-    The histogram, with at most ``capacity`` rows, is the only thing the driver sees, and the plan, with about as many
-    kinds of container, the only thing that is broadcast. Documents are ranked within a size in pieces of a hash, so
-    that one very common size isn't one task.
+    The histogram of at most ``capacity`` sizes in lanes of about LANE_ROWS rows is the only thing the driver sees, and it
+    and the plan, with about as many kinds of container, are all that is broadcast. Documents are ranked within a size and
+    lane; a very common size has as many lanes as it needs.
     """
     spark = sizes.sparkSession
     item = sizes.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("long").alias("size"))
     pieces = F.greatest(F.ceil(F.col("size") / capacity), F.lit(1))
     cutup = item.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces.cast("long") - 1)))
     tokens = F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity)
-    cutup = cut(cutup.select("id", "piece", tokens.cast("int").alias("tokens"), F.pmod(F.xxhash64("id", "piece"), F.lit(64)).cast("int").alias("lane")))
+    cutup = cut(cutup.select("id", "piece", tokens.cast("int").alias("tokens"), F.xxhash64("id", "piece").alias("h")))
+    rows = cutup.filter("tokens > 0").groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity rows
+    parts = spark.createDataFrame([(r.tokens, -(-r.n // LANE_ROWS)) for r in rows], "tokens int, parts long")
+    cutup = cutup.join(F.broadcast(parts), "tokens", "left").withColumn("lane", F.pmod("h", F.coalesce("parts", F.lit(1))).cast("int")).drop("h", "parts")
     counts = cutup.filter("tokens > 0").groupBy("tokens", "lane").agg(F.count(F.lit(1)).alias("n"))
-    seen = counts.collect()  # at most capacity * 64 rows
+    seen = counts.collect()  # at most capacity + rows / LANE_ROWS rows
     histogram: dict[int, int] = {}
     lanes = []
     for r in sorted(seen, key=lambda r: (r.tokens, r.lane)):
@@ -164,3 +230,17 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", siz
     placed = ranked.join(runs, on).select("id", "piece", "tokens", (F.col("first") + F.col("rank") - F.col("lo")).alias("container"), F.col("at").alias("offset"))
     none = cutup.filter("tokens <= 0").select("id", "piece", F.lit(0).alias("tokens"), F.lit(0).cast("long").alias("container"), F.lit(0).alias("offset"))
     return placed.unionByName(none).withColumnRenamed("id", id_col)
+
+
+def audit(sizes: DataFrame, packed: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", size_col: str = "tokens") -> DataFrame:
+    """(documents, unplaced, split_short, overfull, overlapping, wasteful): rows of ``sizes`` and what is wrong with
+    ``packed``: documents whose pieces don't add up to their size, documents split though they fit, containers over
+    capacity, containers whose pieces overlap or leave gaps, and 1 if there are over 1 % and one more containers than the
+    least number the total allows."""
+    want = sizes.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0))).alias("size"))
+    got = packed.groupBy(F.col(id_col).alias("id")).agg(F.sum("tokens").alias("placed"), F.max("piece").alias("last"))
+    both = want.join(got, "id", "left")
+    docs = both.agg(F.sum("rows").alias("documents"), F.count_if(~F.col("size").eqNullSafe(F.col("placed"))).alias("unplaced"), F.count_if((F.col("size") <= capacity) & (F.col("last") > 0)).alias("split_short"))
+    boxes = packed.filter("container > 0").groupBy("container").agg(F.sum("tokens").alias("t"), F.max(F.col("offset") + F.col("tokens")).alias("end"))
+    boxes = boxes.agg(F.count_if(F.col("t") > capacity).alias("overfull"), F.count_if(F.col("t") != F.col("end")).alias("overlapping"), (F.count(F.lit(1)) > F.ceil(F.sum("t") / capacity) * 1.01 + 1).cast("int").alias("wasteful"))
+    return docs.withColumn("__k", F.lit(1)).join(boxes.withColumn("__k", F.lit(1)), "__k").drop("__k")

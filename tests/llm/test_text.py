@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plantweave.llm import leakage, packing, pii
 
@@ -193,6 +194,28 @@ def test_reduction_is_optimal_on_small_cases():
         assert got - optimum(items, 10) <= 1
 
 
+def test_fixed_sets_keep_the_optimum():
+    from itertools import combinations
+
+    def optimum(items, cap):
+        if not items:
+            return 0
+        big, rest = items[0], items[1:]
+        sets = [c for n in range(len(rest) + 1) for c in combinations(range(len(rest)), n) if big + sum(rest[i] for i in c) <= cap]
+        return 1 + min(optimum([x for i, x in enumerate(rest) if i not in c], cap) for c in sets)
+
+    rng, shares = random.Random(11), []
+    for _ in range(120):
+        items = sorted((rng.randint(2, 12) for _ in range(rng.randint(1, 7))), reverse=True)
+        fixed, left = packing.reduce({s: items.count(s) for s in set(items)}, 12)
+        rest = sorted((s for s, n in left.items() for _ in range(n)), reverse=True)
+        assert all(sum(c) <= 12 and len(c) <= 3 for c, _ in fixed)
+        assert sorted([s for c, n in fixed for s in c * n] + rest) == sorted(items)
+        assert sum(n for _, n in fixed) + optimum(rest, 12) == optimum(items, 12)
+        shares.append(1 - len(rest) / len(items))
+    assert sum(shares) / len(shares) > 0.8
+
+
 def test_pack(spark):
     rng = random.Random(6)
     rows = [(i, rng.randint(0, 60)) for i in range(500)] + [(7, 5), (1000, 250), (1001, None), (1002, 100)]
@@ -213,6 +236,17 @@ def test_pack(spark):
         assert s[-1][1] <= 100 and all(a[1] <= b[0] for a, b in zip(s, s[1:]))
     assert len(spans) <= sum(want.values()) / 100 + 2
     assert packing.pack(df.limit(0), 100).count() == 0
+    good = packing.audit(df, packing.pack(df, 100), 100).first().asDict()
+    assert good == {"documents": len(rows), "unplaced": 0, "split_short": 0, "overfull": 0, "overlapping": 0, "wasteful": 0}
+    bad = packing.audit(df, packing.pack(df, 100).filter("doc_id <> 3").withColumn("container", F.lit(1).cast("long")), 100).first()
+    assert bad.unplaced == 1 and bad.overfull == 1 and bad.overlapping == 1
+
+
+def test_many_rows_of_one_size(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LANE_ROWS", 50)
+    df = spark.range(1_000).selectExpr("id as doc_id", "case when id % 2 = 0 then 100L else id % 50 end as tokens")
+    got = packing.audit(df, packing.pack(df, 100), 100).first()
+    assert got.documents == 1_000 and got.unplaced == got.overfull == got.overlapping == got.wasteful == 0
 
 
 def test_token_sizes(spark):
