@@ -71,6 +71,8 @@ def _prefix(token: str) -> str | None:
 
 
 def plain(text: str) -> str:
+    if text.isascii():
+        return text.upper().strip()
     t = unicodedata.normalize("NFKD", text)
     return "".join(c for c in t if not unicodedata.combining(c)).upper().strip()
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import DROPPED_WORDS, STATES
-from ..runtime import checked_broadcast, cut, salted
+from ..runtime import checked_broadcast, cut, once, salted
 from .addresses import plain
 
 #: Legal forms and the general words that company keys drop anyway.
@@ -41,8 +41,12 @@ NICK = {n: full for full, all_ in SHORT.items() for n in all_.split()}
 #: Cells of the metric space, edits of a whole name, share of the names a learnt word is in, share of its places at the
 #: end of a name, and most learnt words.
 PIVOTS, RADIUS, LEARNT_SHARE, END_SHARE, LEARNT = 1_024, 3, 0.002, 0.3, 500
+#: Rows of a few bytes (words, cells) that may be broadcast.
+SMALL = 500_000
 _CODE = re.compile(r"^\s*(?:[A-Z]{0,3}\d[\dA-Z]{2,})\s*-\s+")
-_DIGITS = str.maketrans("0135", "OIES")
+_DIGITS, _SILENT = str.maketrans("0135", "OIES"), str.maketrans("", "", "'’.")
+_DBA, _STATE_LAST, _BRACKETS = re.compile(r"\bD\s?/?\s?B\s?/?\s?A\b\.?"), re.compile(r",\s*([A-Z]{2})$"), re.compile(r"\(([^)]*)\)?")
+_DOTTED, _SIGNS = re.compile(r"\b([A-Z])\.(?=[A-Z]\b\.?)"), re.compile(r"[^A-Z0-9]+")
 
 
 def distance(a: str, b: str) -> int:
@@ -55,6 +59,26 @@ def distance(a: str, b: str) -> int:
     return row[-1]
 
 
+def edits(a: str, b: str) -> int:
+    """Levenshtein's distance by Myers' bit vectors: one step a letter of ``a``."""
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict[str, int] = {}
+    for k, c in enumerate(b):
+        at[c] = at.get(c, 0) | 1 << k
+    full, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
+    up, down, score = full, 0, len(b)
+    for c in a:
+        eq = at.get(c, 0)
+        x = eq | down
+        flat = (((x & up) + up) ^ up) | x
+        rise, fall = down | ~(flat | up) & full, up & flat
+        score += (1 if rise & top else 0) - (1 if fall & top else 0)
+        rise, fall = (rise << 1) | 1, fall << 1
+        up, down = (fall | ~(x | rise)) & full, rise & x & full
+    return score
+
+
 def _swapped(a: str, b: str) -> bool:
     off = [i for i, (x, y) in enumerate(zip(a, b)) if x != y]
     return len(a) == len(b) and len(off) == 2 and off[1] == off[0] + 1 and a[off[0]] == b[off[1]] and a[off[1]] == b[off[0]]
@@ -67,17 +91,20 @@ def _in_order(short: str, word: str) -> bool:
 
 def _shortens(token: str, word: str) -> bool:
     """First letter and some others in order, ending in the last letter or in G, or without vowels after the first letter."""
-    vowels = sum(c in "AEIOU" for c in token)
+    if token[0] != word[0] or not 3 <= len(token) < len(word) - 1:
+        return False
+    vowels = sum(map(token.count, "AEIOU"))
     ends = word[-1:] == token[-1] or token[-1] == "G" or not set(token[1:]) & set("AEIOU")
-    return 3 <= len(token) < len(word) - 1 and word[0] == token[0] and ends and vowels <= 2 and _in_order(token, word)
+    return ends and vowels <= 2 and _in_order(token, word)
 
 
 def _words(text: str) -> list[str]:
-    out = []
-    for t in re.sub(r"[^A-Z0-9]+", " ", re.sub(r"['’.]", "", re.sub(r"\b([A-Z])\.(?=[A-Z]\b\.?)", r"\1", text))).split():
-        if any(c.isalpha() for c in t) and any(c.isdigit() for c in t) and t[0].isalpha():
-            t = t.translate(_DIGITS)
-        out.append(t)
+    if "." in text:
+        text = _DOTTED.sub(r"\1", text)
+    out = _SIGNS.sub(" ", text.translate(_SILENT)).split()
+    for k, t in enumerate(out):
+        if not t.isalpha() and t[0].isalpha():
+            out[k] = t.translate(_DIGITS)
     return out
 
 
@@ -95,9 +122,10 @@ class Reader:
 
     def _slips(self, token: str, word: str) -> int:
         """Edits, two swapped neighbours being one; 3 stands for more than two."""
-        if abs(len(token) - len(word)) > 2 or not any(p in token for p in self._parts[word]):
+        a, b, c = self._parts[word]
+        if not (a in token or b in token or c in token) or not -3 < len(token) - len(word) < 3:
             return 3
-        d = distance(token, word)
+        d = edits(token, word)
         return 1 if d == 2 and _swapped(token, word) else min(d, 3)
 
     def _readings(self, token: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
@@ -106,16 +134,16 @@ class Reader:
             return (token,), ()
         if token in self.general:
             return (), (token,)
-        for test in (
-            lambda w: 3 <= len(token) < len(w) and w.startswith(token),
-            lambda w: _shortens(token, w),
-            lambda w: 5 <= len(token) < len(w) and token in w,
-            lambda w: len(token) >= 4 and self._slips(token, w) == 1,
-            lambda w: len(token) >= 7 and self._slips(token, w) == 2,
-        ):
-            trades, general = tuple(w for w in self.trades if test(w)), tuple(w for w in self.general if test(w))
-            if trades or general:
-                return trades, general
+        both = self.trades + self.general
+        n = len(token)
+        found = [w for w in both if w.startswith(token)] if n >= 3 else []
+        found = found or [w for w in both if _shortens(token, w)]
+        found = found or ([w for w in both if token in w] if n >= 5 else [])
+        if not found and n >= 4:
+            slips = [(w, self._slips(token, w)) for w in both]
+            found = [w for w, d in slips if d == 1] or ([w for w, d in slips if d == 2] if n >= 7 else [])
+        if found:
+            return tuple(w for w in self.trades if w in found), tuple(w for w in self.general if w in found)
         return (), ()
 
     def organisation(self, name: str | None) -> tuple[list[str], list[str], list[str], int] | None:
@@ -128,17 +156,19 @@ class Reader:
         """
         if not name:
             return None
-        t = re.sub(r"\s+", " ", plain(name))
-        t = _CODE.sub("", t)
-        t = re.sub(r".*\bD\s?/?\s?B\s?/?\s?A\b\.?", "", t) if re.search(r"\bD\s?/?\s?B\s?/?\s?A\b", t) else t
-        m = re.search(r",\s*([A-Z]{2})$", t)
+        t = " ".join(plain(name).split())
+        if "-" in t:
+            t = _CODE.sub("", t)
+        while m := _DBA.search(t):
+            t = t[m.end() :]
+        m = _STATE_LAST.search(t)
         if m and m[1] in STATES and not any(w in LEGAL for w in _words(t)[:-1]):
             return None
-        t = re.split(r"\s+-\s+|\s-$", t)[0]
-        inner = re.findall(r"\(([^)]*)\)?", t)
-        t = re.sub(r"\([^)]*\)?", " ", t)
+        t = t.split(" - ")[0].removesuffix(" -")
+        inner = _BRACKETS.findall(t) if "(" in t else []
+        t = _BRACKETS.sub(" ", t) if inner else t
         words, initials, trades, seen_trade, legal, label, general_seen, first_trade = [], [], None, False, False, False, False, ""
-        for k, segment in enumerate(s for s in re.split(r",", t) if s.strip()):
+        for k, segment in enumerate(s for s in t.split(",") if s.strip()):
             tokens = [w for w in _words(segment) if w not in ARTICLES]
             if k and len(words) + len(initials) >= 2 and (seen_trade or legal):
                 break
@@ -195,9 +225,9 @@ class Reader:
             initials = []
         for extra in inner:
             more = [NICK.get(w, w) for w in _words(extra) if w not in LEGAL and w not in LABELS]
-            if any(len(x) > 3 and (x in words or any(abs(len(x) - len(w)) <= 2 and distance(x, w) <= 2 for w in words)) for x in more):
+            if any(len(x) > 3 and (x in words or any(abs(len(x) - len(w)) <= 2 and edits(x, w) <= 2 for w in words)) for x in more):
                 initials += [x for x in more if len(x) == 1]
-                words += [x for x in more if len(x) > 1 and x not in words and not any(abs(len(x) - len(w)) <= 2 and distance(x, w) <= 2 for w in words)]
+                words += [x for x in more if len(x) > 1 and x not in words and not any(abs(len(x) - len(w)) <= 2 and edits(x, w) <= 2 for w in words)]
         if len(words) == 1 and not initials and len(words[0]) < 13 and not (seen_trade or legal):
             return None
         if not words or (label and not seen_trade and not legal) or not (seen_trade or legal or general_seen or len(words) >= 2):
@@ -209,14 +239,18 @@ class Reader:
 # --- what a column teaches --------------------------------------------------------------------------------------
 
 
-def _bare(name: Column) -> Column:
-    """The part of a name that can hold words and trade, without code, holding company, brackets and places; null for
-    strings with a site label or a state at the end."""
-    t = F.regexp_replace(F.upper(name), r"\s+", " ")
-    t = F.regexp_replace(t, r"^\s*[A-Z]{0,3}\d[\dA-Z]{2,}\s*-\s+", "")
-    t = F.regexp_replace(t, r".*\bD\s?/?\s?B\s?/?\s?A\b\.?", "")
-    site = t.rlike(rf"\b({'|'.join(sorted(LABELS - {'WORKS', 'MACHINE', 'MAIN'}))})\b|,\s*({'|'.join(STATES)})$")
-    return F.when(~site, F.regexp_replace(F.regexp_replace(t, r"(\s+-\s.*|\s-$)", ""), r"\([^)]*\)?|,.*", " "))
+def _tokens(names: DataFrame) -> DataFrame:
+    """(w): the words of the part of each name that can hold words and trade, without code, holding company, brackets and
+    places; none for strings with a site label or a state at the end. Computed once a name."""
+    site = rf"\b({'|'.join(sorted(LABELS - {'WORKS', 'MACHINE', 'MAIN'}))})\b|,\s*({'|'.join(STATES)})$"
+    t = names.select(once(F.upper("name")).alias("t"))
+    head = F.when(F.col("t").contains(" - "), F.regexp_replace(F.regexp_replace("t", r"^\s*[A-Z]{0,3}\d[\dA-Z]{2,}\s*-\s+", ""), r"\s-\s.*", "")).otherwise(F.col("t"))
+    t = t.select(once(F.when(~F.col("t").rlike(site), head)).alias("t"))
+    head = F.when(F.col("t").rlike(r"\bD\s?/?\s?B\s?/?\s?A\b"), F.regexp_replace("t", r".*\bD\s?/?\s?B\s?/?\s?A\b\.?", "")).otherwise(F.col("t"))
+    head = F.substring_index(F.substring_index(head, ",", 1), "(", 1)
+    words = F.split(F.regexp_replace(F.translate(head, "'’.", ""), "[^A-Z0-9]+", " "), " ")
+    words = F.filter(words, lambda w: (F.length(w) > 1) & ~F.substring(w, -1, 1).between("0", "9"))
+    return t.select(once(F.array_except(words, F.lit([*LEGAL, *GENERAL, *LABELS, *ARTICLES]))).alias("w"))
 
 
 def learnt_words(names: DataFrame) -> tuple[list[str], list[str]]:
@@ -226,33 +260,34 @@ def learnt_words(names: DataFrame) -> tuple[list[str], list[str]]:
     general if most often another learnt word stands before it, else a trade. A word that abbreviates a more frequent
     learnt word is none of its own. Counts cover all names; the driver sees at most LEARNT words.
     """
-    drop = [*LEGAL, *GENERAL, *LABELS, *ARTICLES]
-    tokens = F.filter(F.split(F.regexp_replace(F.regexp_replace(_bare(F.col("name")), "['’.]", ""), "[^A-Z0-9]+", " "), " "), lambda w: (F.length(w) > 1) & ~w.rlike("[0-9]") & ~w.isin(drop))
-    lists = names.select(tokens.alias("w")).filter("size(w) > 1")
+    lists = _tokens(names).withColumn("w", F.when(F.size("w") > 1, F.col("w")).otherwise(F.array(F.lit(""))))
     places = lists.select(F.posexplode("w").alias("k", "word"), F.get("w", F.col("k") - 1).alias("before"), (F.col("k") == F.size("w") - 1).alias("last"))
-    n = names.count()
-    often = places.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("last").alias("ends"))
+    counts = cut(places.groupBy("word", "before").agg(F.count(F.lit(1)).alias("n"), F.count_if("last").alias("ends"), F.count_if(F.col("k") == 0).alias("names")))
+    n = counts.agg(F.sum("names").alias("n")).first().n or 0
+    often = counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).filter("word <> ''")
     often = often.filter((F.col("n") >= max(5.0, LEARNT_SHARE * n)) & (F.col("ends") >= END_SHARE * F.col("n"))).orderBy(F.desc("n"), "word").limit(LEARNT).collect()
     found = [r.word for r in often]
-    if not found:
-        return [], []
     kept = [w for k, w in enumerate(found) if not any(v.startswith(w) or _shortens(w, v) for v in found[:k])]
-    second = places.filter(F.col("word").isin(kept)).groupBy("word").agg(F.avg(F.col("before").isin(kept).cast("int")).alias("share")).collect()
-    share = {r.word: r.share or 0.0 for r in second}
-    return [w for w in kept if share.get(w, 0.0) < 0.5], [w for w in kept if share.get(w, 0.0) >= 0.5]
+    if not kept:
+        return [], []
+    second = counts.filter(F.col("word").isin(kept) & F.col("before").isin(kept)).groupBy("word").agg(F.sum("n").alias("n")).collect()
+    after = {r.word: r.n for r in second}
+    general = [r.word for r in often if r.word in kept and after.get(r.word, 0) >= 0.5 * r.n]
+    return [w for w in kept if w not in general], general
 
 
 def parsed_names(names: DataFrame, column: str = "name", reader: Reader | None = None) -> DataFrame:
-    """(name, words, initials, trades, sure) of each distinct string that names an organisation; lists may be empty. Without
-    a ``reader`` the trades are learnt from the strings first."""
-    one = names.select(F.col(column).cast("string").alias("name")).filter("name is not null").distinct()
+    """(name, words, initials, trades, sure) of each string that names an organisation; lists may be empty. Without a
+    ``reader`` the strings are made distinct and the trades learnt from them first."""
+    one = names.select(F.col(column).cast("string").alias("name")).filter("name is not null")
+    one = one if reader else cut(one.distinct())  # with a reader the caller has distinct strings
     known = reader or Reader(*learnt_words(one))
 
     @F.pandas_udf(StringType())
     def read(name: pd.Series) -> pd.Series:
         return pd.Series(["|".join((" ".join(o[0]), " ".join(o[1]), " ".join(o[2]), str(o[3]))) if (o := known.organisation(n)) else None for n in name], dtype=object)
 
-    read = read.asNondeterministic()  # else the filter would be pushed below distinct() and parse again
+    read = read.asNondeterministic()  # else filters would be pushed below and parse again
     got = one.withColumn("o", read("name")).filter("o is not null").withColumn("o", F.split("o", r"\|"))
     lists = (F.filter(F.split(F.col("o")[k], " "), lambda x: x != "").alias(n) for k, n in enumerate(("words", "initials", "trades")))
     return got.select("name", *lists, F.col("o")[3].cast("int").alias("sure"))
@@ -306,10 +341,15 @@ def distances(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-def pivots_of(words: DataFrame, count: int = PIVOTS) -> list[str]:
-    """The at most ``count`` best supported words of up to 63 letters. The pivots only shape the cells; any choice gives
-    the same pairs."""
-    return [r.word for r in words.filter(F.length("word") <= 63).orderBy(F.desc("support"), "word").limit(count).collect()]
+def pivots_of(words: DataFrame, count: int = PIVOTS, apart: int = RADIUS) -> list[str]:
+    """Of the at most ``count`` best supported words of up to 63 letters those that are at least ``apart`` edits from the
+    pivots before them, so that spellings of one word share a cell. Any choice gives the same pairs."""
+    top = [r.word for r in words.filter(F.length("word") <= 63).orderBy(F.desc("support"), "word").limit(count).collect()]
+    near, kept = distances(top, top) < apart, []
+    for k in range(len(top)):
+        if not near[k, kept].any():
+            kept.append(k)
+    return [top[k] for k in kept]
 
 
 def cells_of(words: DataFrame, pivots: list[str], reach: int) -> DataFrame:
@@ -329,57 +369,79 @@ def cells_of(words: DataFrame, pivots: list[str], reach: int) -> DataFrame:
     return words.select("word").repartition(32).mapInPandas(assign, "word string, cell int, home boolean, excess int")
 
 
-def orders(words: Column) -> Column:
-    """The canonical string in all orders of up to three words; of more words in the given order only."""
-    texts = [F.array_join(words, " ")]
-    for n in (2, 3):
-        made = F.array(*(F.concat_ws(" ", *(F.get(words, F.lit(k)) for k in p)) for p in itertools.permutations(range(n))))
-        texts.append(made)
-    return F.when(F.size(words) == 2, texts[1]).when(F.size(words) == 3, texts[2]).otherwise(F.array(texts[0]))
+def _letters(text: Column) -> Column:
+    """The letters A-Z of a text as bits: one edit changes at most two of them. An expression the engine compiles."""
+    out = F.lit(0)
+    for k, letter in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        out = out + F.when(F.contains(text, F.lit(letter)), 1 << k).otherwise(0)
+    return out
 
 
 def radius_pairs(names: DataFrame, words: DataFrame, radius: int = RADIUS, pivots: list[str] | None = None) -> DataFrame:
     """(a, b, own, other, d): ordered pairs of different names of the same block at most ``radius`` edits apart, or of which
-    a is b cut off in its last word; ``own`` and ``other`` are their words in the orders that fit best.
-
-    ``names`` has id, words (distinct words in order of the alphabet) and blocks (array); ``words`` has word and support.
-    The distance of names of as many words is the sum of the edits of their words in the best order (of four words or
-    more: in the given one). By the pigeonhole two names of n words within the radius have a pair of words within
-    radius // n edits: a is in the home cell of its word, and b, by the triangle inequality, in every cell at most
-    twice as much farther from its word than the nearest. No such pair is lost. A name of one word of eight letters or
-    more may be several written together: it is also placed in the cells of the pivots it begins or ends with, where it
-    meets longer names by the edits of the whole string; and names of one word meet the single words of longer ones. An
-    empty table gives no pairs.
+    a is b cut off in a word; ``own`` and ``other`` are their words, each beside the word it corresponds to.
+
+    ``names`` has id, words (distinct words in order of the alphabet), ``blocks`` (array) in which it looks for others and
+    ``found_in`` (array), those in which it is found; ``words`` has word and support. The distance of names of as many
+    words is the sum of the edits of their words in the best order (of four words or more: with the other words in the
+    order given); for names of one word the radius is at most 2. By the pigeonhole two names of n words within the radius have
+    a pair of words within radius // n edits: a is in the home cell of its word, and b, by the triangle inequality, in
+    every cell at most twice as much farther from its word than the nearest. No such pair is lost. A name of one word of
+    eight letters or more may be several written together: it is also placed in the cells of the pivots it begins or ends
+    with, where it meets longer names by the edits of the whole string. Names of one word also meet the single words of
+    longer ones. An empty table gives no pairs.
     """
     spark = names.sparkSession
     pivots = pivots_of(words) if pivots is None else pivots
     if not pivots:
         return spark.createDataFrame([], "a long, b long, own array<string>, other array<string>, d int")
-    cells = cut(cells_of(words, pivots, 2 * radius))
-    parts = names.select("id", "words", F.explode("blocks").alias("block"), F.size("words").alias("n"))
-    parts = parts.withColumn("word", F.explode("words"))
-    placed = parts.join(cells, "word").filter(F.col("excess") <= 2 * F.floor(F.lit(radius) / F.col("n")))
-    home = placed.filter("home").select("id", "block", "cell", F.posexplode(orders(F.col("words"))).alias("way", "text"), "n")
+    share = lambda n: F.when(n == 1, min(radius, 2)).otherwise(F.floor(F.lit(radius) / n)).cast("int")
+    parts = names.select("id", "words", "blocks", "found_in", F.size("words").alias("n"), F.explode("words").alias("word"))
+    alone = parts.filter("n = 1").select("word").distinct()
+    near_by = lambda w, k: checked_broadcast(cut(cells_of(w, pivots, 2 * k)), SMALL)
+    placed = parts.filter("n > 1").join(near_by(words, radius // 2), "word").filter(F.col("excess") <= 2 * share(F.col("n")))
+    placed = placed.unionByName(parts.filter("n = 1").join(near_by(alone, min(radius, 2)), "word"))
+    rest = F.filter("words", lambda w: w != F.col("word"))
+    turns = F.when(F.size(rest) == 2, F.array(F.array_join(rest, " "), F.array_join(F.reverse(rest), " "))).otherwise(F.array(F.array_join(rest, " ")))
+    key = F.xxhash64("block", "cell").alias("cell")
+    wide = placed.filter("home").withColumn("block", F.explode("blocks")).select("id", key, "n", "word", F.array_join(rest, " ").alias("rest"))
+    found = placed.withColumn("block", F.explode("found_in")).select("id", key, "n", "word", "words", F.explode(turns).alias("rest"))
+    a, b = wide.withColumn("letters", _letters(F.col("rest"))).alias("a"), found.withColumn("letters", _letters(F.col("rest"))).drop("words").alias("b")
+    # The join itself only compares the letters, which spares most pairs the rest; distances follow on what is left.
+    la, lb = F.col("a.letters"), F.col("b.letters")
+    on = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.n") == F.col("b.n")) & (F.col("a.id") != F.col("b.id"))
+    left = F.when(F.col("a.word") == F.col("b.word"), 2 * radius).otherwise(2 * radius - 2)  # one edit is spent on the word
+    on = on & (((F.bit_count(la.bitwiseXOR(lb)) <= left) & (F.abs(F.length("a.rest") - F.length("b.rest")) <= radius)) | (la.bitwiseAND(lb) == la))
+    even = a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "a.n", "a.word", "a.rest", F.col("b.word").alias("to"), F.col("b.rest").alias("left"))
+    same = F.col("word") == F.col("to")
+    even = even.withColumn("head", once(F.when(same, 0).otherwise(F.levenshtein("word", "to", 2)))).filter((F.col("head") >= 0) & (F.col("head") <= share(F.col("n"))))
+    cutoff = same & (F.col("n") > 1) & F.col("left").startswith(F.col("rest"))
+    even = even.withColumn("tail", once(F.levenshtein("rest", "left", radius))).filter((F.col("head") + F.col("tail")).between(F.col("head"), radius) | cutoff)
+    beside = lambda w, r: F.filter(F.concat(F.array(w), F.split(F.col(r), " ")), lambda x: x != "")
+    even = even.select("a", "b", "n", beside("word", "rest").alias("own"), beside("to", "left").alias("other"), "head", "tail", cutoff.alias("cutoff"))
+    each = F.aggregate(F.zip_with("own", "other", lambda x, y: F.levenshtein(x, y)), F.lit(0), lambda t, x: t + x)
+    d = F.when((F.col("n") <= 2) & (F.col("tail") >= 0), F.col("head") + F.col("tail")).otherwise(each)
+    even = even.select("a", "b", "own", "other", once(d).alias("d"), "cutoff").filter((F.size("own") == F.size("other")) & (F.col("cutoff") | (F.col("d") <= radius))).drop("cutoff")
+    # Names of one word: among the words of longer ones, and as words written together.
+    one = checked_broadcast(cut(wide.filter("n = 1").select("id", "cell", "word"))).alias("s")
+    longer = placed.filter("n > 1").withColumn("all", F.length(F.array_join("words", ""))).withColumn("block", F.explode("found_in")).select("id", key, "word", "words", "all").alias("t")
+    single = longer.join(one, (F.col("s.cell") == F.col("t.cell")) & (F.abs(F.length("s.word") - F.length("t.word")) <= 1) & (F.levenshtein(F.col("s.word"), F.col("t.word"), 1) >= 0) & (F.col("s.id") != F.col("t.id")))
+    single = single.select(F.col("s.id").alias("a"), F.col("t.id").alias("b"), F.array("s.word").alias("own"), F.array("t.word").alias("other"), F.levenshtein(F.col("s.word"), F.col("t.word")).alias("d"))
     listed = F.broadcast(spark.createDataFrame(list(enumerate(pivots)), "cell int, pivot string"))  # at most PIVOTS rows
-    long = parts.filter("n = 1 and length(word) >= 8").withColumn("at", F.explode(F.sequence(F.lit(3), F.length("word") - 3)))
+    long = parts.filter("n = 1 and length(word) >= 8").withColumn("block", F.explode("blocks")).withColumn("at", F.explode(F.sequence(F.lit(3), F.length("word") - 3)))
     ends = long.select("id", "block", "word", F.explode(F.array(F.substring("word", F.lit(1), F.col("at")), F.substring(F.col("word"), F.col("at") + 1, F.length("word")))).alias("pivot"))
-    joined = ends.join(listed, "pivot").select("id", "block", "cell", F.lit(0).alias("way"), F.col("word").alias("text"), F.lit(1).alias("n")).distinct()
-    other = placed.select("id", "block", "cell", F.explode(orders(F.col("words"))).alias("text"), "n")
-    other = other.unionByName(placed.filter("n > 1").select("id", "block", "cell", F.col("word").alias("text"), F.lit(1).alias("n")))
-    a, b = home.unionByName(joined).alias("a"), other.alias("b")
-    whole = F.levenshtein(F.col("a.text"), F.col("b.text"), radius)
-    on = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.id") != F.col("b.id")) & (F.col("b.n") >= F.col("a.n"))
-    near = (F.col("a.way") == 0) & (F.abs(F.length("a.text") - F.length("b.text")) <= radius) & (whole >= 0)
-    cutoff = (F.col("a.n") == F.col("b.n")) & (F.col("a.n") > 1) & F.col("b.text").startswith(F.col("a.text"))
-    pairs = a.join(b, on & (near | cutoff)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.text").alias("text"), F.col("b.text").alias("written"), (F.col("a.n") == F.col("b.n")).alias("even"), cutoff.alias("cutoff"), whole.alias("d"))
-    each = F.aggregate(F.zip_with(F.split("text", " "), F.split("written", " "), lambda x, y: F.levenshtein(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.withColumn("d", F.when(F.col("even"), each).otherwise(F.col("d"))).filter(F.col("cutoff") | (F.col("d") <= radius))
-    pairs = pairs.withColumn("own", F.split("text", " ")).withColumn("written", F.split("written", " "))
-    best = F.min_by(F.struct("own", F.col("written").alias("other")), F.struct("d", "written"))
+    joined = checked_broadcast(cut(ends.join(listed, "pivot").select("id", key, "word").distinct())).alias("s")
+    ways = lambda n: [F.concat(*(F.col("t.words")[k] for k in p)) for p in itertools.permutations(range(n))]
+    least = lambda n: F.greatest(*(radius - F.levenshtein(F.col("s.word"), t, radius) - F.when(F.levenshtein(F.col("s.word"), t, radius) < 0, 99).otherwise(0) for t in ways(n)))
+    spare = F.when(F.size("t.words") == 2, least(2)).otherwise(least(3)) - F.size("t.words") + 1  # edits left of the radius
+    together = longer.filter("size(words) <= 3").join(joined, (F.col("s.cell") == F.col("t.cell")) & (F.abs(F.col("t.all") - F.length("s.word")) <= radius) & (spare >= 0))
+    together = together.select(F.col("s.id").alias("a"), F.col("t.id").alias("b"), F.array("s.word").alias("own"), F.col("t.words").alias("other"), (radius - spare).alias("d"))
+    pairs = even.unionByName(single).unionByName(together)
+    best = F.min_by(F.struct("own", "other"), F.struct("d", "own", "other"))
     return pairs.groupBy("a", "b").agg(best.alias("p"), F.min("d").alias("d")).select("a", "b", "p.own", "p.other", "d")
 
 
-def _follow(steps: DataFrame) -> DataFrame:
+def follow(steps: DataFrame) -> DataFrame:
     """(key, to) with every chain of steps followed to its end; each round doubles the length followed, until nothing
     changes. Steps lead to better supported words, so there are no rings."""
     while True:
@@ -406,7 +468,8 @@ def corrections(names: DataFrame, words: DataFrame, radius: int = RADIUS, pivots
     both = cut(pairs.drop("b").distinct())
     at = both.filter(F.size("own") == F.size("other")).select("a", F.explode(F.arrays_zip("own", "other")).alias("p")).select("a", F.col("p.own").alias("word"), F.col("p.other").alias("to"))
     at = at.filter("word <> to").distinct()
-    sa, sb = words.select("word", F.col("support").alias("sa")), words.select(F.col("word").alias("to"), F.col("support").alias("sb"))
+    listed = checked_broadcast(words, SMALL)
+    sa, sb = listed.select("word", F.col("support").alias("sa")), listed.select(F.col("word").alias("to"), F.col("support").alias("sb"))
     letters = lambda c: F.array_sort(F.split(F.col(c), ""))
     e = F.levenshtein("word", "to")
     e = F.when((e == 2) & (F.length("word") == F.length("to")) & (letters("word") == letters("to")), 1).otherwise(e)
@@ -435,10 +498,11 @@ def _without_places(parsed: DataFrame) -> DataFrame:
     the longest beginning stays that is a name, with that trade, without a label; all words if none is."""
     parsed = cut(parsed)
     key = lambda w: F.concat_ws("|", F.array_join(F.array_sort(w), " "), F.array_join("trades", "/"))
-    known = parsed.filter("sure = size(words)").select(key(F.col("words")).alias("key")).distinct()
     open_ = parsed.filter("sure < size(words)")
     ends = open_.select("name", "trades", "words", F.explode(F.sequence("sure", F.size("words"))).alias("n"))
-    ends = ends.withColumn("key", key(F.slice("words", F.lit(1), F.col("n")))).join(known, "key").groupBy("name").agg(F.max("n").alias("n"))
+    ends = cut(ends.select("name", "n", key(F.slice("words", F.lit(1), F.col("n"))).alias("key")))
+    known = parsed.filter("sure = size(words)").select(key(F.col("words")).alias("key")).join(checked_broadcast(ends.select("key").distinct()), "key", "left_semi").distinct()
+    ends = ends.join(known, "key").groupBy("name").agg(F.max("n").alias("n"))
     cutoff = open_.join(ends, "name", "left").withColumn("words", F.slice("words", F.lit(1), F.coalesce("n", F.size("words")))).drop("n")
     return parsed.filter("sure = size(words)").unionByName(cutoff).drop("sure")
 
@@ -451,17 +515,18 @@ def organisations(names: DataFrame, column: str = "name", radius: int = RADIUS)
     trade. A name whose trade is missing, misspelt or ambiguous, or that has one word (with or without an initial), goes to
     the one organisation that agrees with it, and stays alone where several do.
     """
-    strings = names.select(F.col(column).cast("string").alias("name")).filter("name is not null").distinct()
+    strings = cut(names.select(F.col(column).cast("string").alias("name")).filter("name is not null").distinct())
     reader = Reader(*learnt_words(strings))
     parsed = cut(_without_places(parsed_names(strings, reader=reader)).withColumn("words", F.array_sort("words")))
     words = cut(parsed.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("support")))
     key = F.concat_ws("|", F.array_join("words", " "), F.array_join("trades", "/"))
     forms = parsed.filter("size(words) > 0").select("words", "trades").distinct().withColumn("id", F.xxhash64("words", "trades"))
     every = F.lit([*reader.trades, ""]).cast("array<string>")
-    forms = cut(forms.withColumn("blocks", F.when(F.size("trades") == 0, every).otherwise(F.col("trades"))))
+    none = F.size("trades") == 0
+    forms = cut(forms.withColumns({"blocks": F.when(none, every).otherwise(F.col("trades")), "found_in": F.when(none, F.array(F.lit(""))).otherwise(F.col("trades"))}))
     changed = forms.withColumnRenamed("words", "old").join(corrections(forms, words, radius), "id").withColumn("to", key)
     changed = changed.select("to", F.concat_ws("|", F.array_join("old", " "), F.array_join("trades", "/")).alias("key")).filter("key <> to")
-    led = _follow(cut(changed))
+    led = checked_broadcast(follow(cut(changed)), SMALL)
     full = parsed.withColumn("key", key).join(led, "key", "left").withColumn("key", F.substring_index(F.coalesce("to", "key"), "|", 1)).drop("to")
     full = cut(full.withColumn("words", F.filter(F.split("key", " "), lambda x: x != "")))
     sure = full.filter((F.size("words") >= 2) & (F.size("trades") == 1)).select("name", "key", "words", F.col("trades")[0].alias("trade"))
