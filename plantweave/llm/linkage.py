@@ -1,209 +1,386 @@
 """Matching entities across sources without keys (problem 1): soft logic, solved by alternating directions.
 
-The model is a hinge-loss Markov random field over "record r belongs to plant h", where a plant is a location together
-with an operator found there. Weighted rules:
-
-* similarity: same place and same, or similarly spelt, operator -> belongs (how strongly depends on the evidence);
-* a record without a usable name belongs to the plants of its place;
-* exclusivity of records without a usable name: such a record belongs to at most one plant, and a plant with such a
-  record has about one record class a source (named records may belong to all plants of like names at their place);
-* prior: it doesn't belong;
-* transitivity: two records match as far as both belong to one plant, match = belong(a, h) + belong(b, h) - 1, which
-  makes matches transitive with a number of rules that is linear in the records instead of cubic.
-
-Rules never join two locations, and records with the same source, place and operator share one variable, so the convex
-problem falls into blocks by location. Blocks are spread over the partitions; each partition solves all its blocks at
-once by the alternating direction method of multipliers.
+The model is a hinge-loss Markov random field over the operator names found at one location, with the unknowns "names p and
+q at this place are one operator" and "the records without a usable name belong to operator p". Weighted rules:
+
+* similarity: names of one place that are spelt alike are one operator (how strongly depends on the spelling);
+* a record that goes by both names supports that they are one;
+* exclusivity: a source in which a plant is one record and that lists p and q under different records speaks against
+  them being one; a record without a name belongs to one operator at most, unless two are one;
+* transitivity: same(p, q) and same(q, r) imply same(p, r), so that q is one with p or r only where those are held apart;
+* prior: names are different, records belong nowhere.
+
+A record goes to the best supported name of its operator, as surely as its own evidence (name, address) and the solved
+value allow; two records match as far as both belong there: match = belong(a) + belong(b) - 1. Candidates come by address
+(all writings of one location, through chains of any length) and, for rows without a street address, by name and area.
+Rules never join two locations, so the convex problem falls into blocks by location, over distinct names, not records.
+Blocks are spread over the partitions; each partition solves all its blocks at once by the alternating direction method of
+multipliers, until residuals are below TOLERANCE.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..runtime import cut
-from .addresses import PARTS, location_links, with_parts
-from .names import distance, organisations
+from ..runtime import checked_broadcast, cut, salted
+from .addresses import PARTS, location_links, packed_parts
+from .names import Reader, _swapped, edits, follow, learnt_words
 
-#: Weights of the rules; the first three are squared hinges.
-WEIGHTS = {"named": 5.0, "unnamed": 2.0, "placeless": 2.0, "prior": 0.15, "one_plant": 20.0, "one_class": 0.3}
-ACCEPT, STEP, ROUNDS = 0.55, 3.0, 80
+#: Weights of the rules; evidence and the nameless rule are squared hinges, the others linear.
+WEIGHTS = {"alike": 5.0, "record": 5.0, "nameless": 2.0, "prior": 0.15, "two_records": 1.0, "one_plant": 20.0, "transitive": 20.0}
+ACCEPT, ALIKE, STEP, TOLERANCE, ROUNDS = 0.55, 0.7, 3.0, 1e-4, 2_000
+#: Sources in which a plant is one record; a record of another source is a company.
+ONE_RECORD = ("epa", "osha")
 
 
-def name_similarity(a: str, b: str) -> float:
-    """Of two organisation keys "WORDS|TRADE": the weakest of their words in the better of two pairings (one key may
-    have words more), or of the words written together; halved if both trades are known and differ."""
-    (wa, _, ta), (wb, _, tb) = a.partition("|"), b.partition("|")
-    xs, ys = wa.split(), wb.split()
+def _near(x: str, y: str) -> float:
+    """1 for equal words, 0.9 for one edit or two swapped neighbours in four letters or more, else the share of letters kept."""
+    if x == y:
+        return 1.0
+    if abs(len(x) - len(y)) > 3:
+        return 0.0
+    d = edits(x, y)
+    if min(len(x), len(y)) >= 4 and (d == 1 or (d == 2 and _swapped(x, y))):
+        return 0.9
+    return 1.0 - d / max(len(x), len(y), 1)
+
 
-    def near(x: str, y: str) -> float:
-        return 1.0 - distance(x, y) / max(len(x), len(y), 1) if abs(len(x) - len(y)) <= 3 else 0.0
+def _joint(words: list[tuple[str, str, float]]) -> float:
+    """Of the pairs of differing words: their mean by length if none is under one half, else the weakest."""
+    weakest = min(s for *_, s in words)
+    return weakest if weakest < 0.5 else sum(s * max(len(x), len(y)) for x, y, s in words) / sum(max(len(x), len(y)) for x, y, _ in words)
 
-    if not xs or not ys:
+
+def name_similarity(a: str, b: str) -> float:
+    """Of two operator keys "WORDS|TRADES|INITIALS": that of the words that differ in the best order, or of the words
+    written together; 0.9 if one has words, or its only word's partner, more; halved if both trades are known and differ."""
+    (wa, ta, ia), (wb, tb, ib) = a.split("|"), b.split("|")
+    xs, ys = wa.split(), wb.split()
+    few, many, first = (xs, ys, ia) if len(xs) <= len(ys) else (ys, xs, ib)
+    if not few:
         return 0.0
-    few, many = sorted((xs, ys), key=len)
-    best = max(near("".join(x), "".join(y)) for x in (xs, xs[::-1]) for y in (ys, ys[::-1]))
-    if len(few) == len(many):
-        best = max(best, *(min(near(x, y) for x, y in zip(few, o, strict=True)) for o in (many, many[::-1])))
-    elif len(few) >= 2:  # a word more, such as a misspelt trade
-        best = max(best, 0.95 * min(max(near(x, y) for y in many) for x in few))
-    return best * (0.5 if ta and tb and not set(ta.split("/")) & set(tb.split("/")) and distance(ta, tb) > 2 else 1.0)
+    trades = 1.0 if not (ta and tb) or set(ta.split("/")) & set(tb.split("/")) else 0.9 if edits(ta, tb) <= 2 and "/" not in ta + tb and ta[0] == tb[0] else 0.5
+    rest, more = [x for x in few if x not in many], [y for y in many if y not in few]
+    if not rest:
+        best = 1.0 if not more else 0.9 if len(few) > 1 or not first or any(y[0] == first[0] for y in more) else 0.5
+    elif len(few) == len(many):
+        ways = itertools.permutations(more) if len(rest) <= 3 else [more]
+        best = max(_joint([(x, y, _near(x, y)) for x, y in zip(rest, p)]) for p in ways)
+    else:
+        best = max(_near("".join(x), "".join(y)) for x in (few, few[::-1]) for y in (many, many[::-1]))
+        if len(few) > 1:  # a word more, such as a misspelt trade
+            best = max(best, 0.95 * min(max(_near(x, y) for y in more) for x in rest))
+        elif not first or any(y[0] == first[0] for y in many):
+            best = max(best, 0.9 * max(_near(rest[0], y) for y in more))
+    return best * trades
 
 
 def solve(n: int, weight: np.ndarray, offset: np.ndarray, squared: np.ndarray, rule: np.ndarray, var: np.ndarray, coef: np.ndarray) -> np.ndarray:
     """Values in [0, 1] that minimise the sum of weight * max(0, coef . x + offset) ** (2 if squared else 1).
 
     ``rule``, ``var`` and ``coef`` list the entries of the rules. Each rule keeps its own copies of its variables and
-    moves them in closed form; a variable becomes the mean of its copies; multipliers settle the difference.
+    moves them in closed form; a variable becomes the mean of its copies; multipliers settle the difference. Rounds end
+    when no copy differs from its variable, and no variable moves, by more than TOLERANCE.
     """
     k = len(weight)
-    norm = np.bincount(rule, coef * coef, k)
+    norm = np.maximum(np.bincount(rule, coef * coef, k), 1e-12)
     copies = np.maximum(np.bincount(var, minlength=n), 1)
     z = np.full(n, 0.5)
     u = np.zeros(len(var))
     for _ in range(ROUNDS):
         v = z[var] - u
         s = np.bincount(rule, coef * v, k) + offset
-        flat = np.where(s / np.maximum(norm, 1e-12) < weight / STEP, s / np.maximum(norm, 1e-12), weight / STEP)
+        flat = np.minimum(s / norm, weight / STEP)
         curved = 2 * weight * s / (STEP + 2 * weight * norm)
         move = np.where(s > 0, np.where(squared, curved, flat), 0.0)
         x = v - move[rule] * coef
-        z = np.clip(np.bincount(var, x + u, n) / copies, 0.0, 1.0)
-        u += x - z[var]
+        new = np.clip(np.bincount(var, x + u, n) / copies, 0.0, 1.0)
+        apart = x - new[var]
+        u += apart
+        moved = np.abs(new - z).max(initial=0.0)
+        z = new
+        if moved < TOLERANCE and np.abs(apart).max(initial=0.0) < TOLERANCE:
+            break
     return z
 
 
-def ground(block: pd.DataFrame) -> tuple[list[tuple], list[tuple]]:
-    """(variables, rules) of the blocks in ``block`` (place, source, org, kind). A variable is (row, plant); a rule is
-    (weight, offset, squared, [(variable, coefficient), ...])."""
-    variables, rules = [], []
-    w = WEIGHTS
-    for _, idx in block.groupby("place", sort=False).indices.items():
-        rows = [(i, block["source"].iat[i], block["org"].iat[i], block["kind"].iat[i]) for i in idx]
-        plants = sorted({o for _, _, o, _ in rows if o is not None})
-        near = {(a, b): s for a in plants for b in plants if a < b and len(plants) > 1 and (s := name_similarity(a, b)) >= 0.7}
-        members = defaultdict(lambda: defaultdict(list))
-        for i, source, org, kind in rows:
-            if org is None:
-                options = [(p, 1.0, w["unnamed"]) for p in plants or ["?"]]
-            else:
-                options = [(org, 1.0, w[kind])] + [(b if a == org else a, s, w[kind]) for (a, b), s in near.items() if org in (a, b)]
-            own = []
-            for plant, evidence, weight in options:
-                v = len(variables)
-                variables.append((i, plant))
-                own.append(v)
-                rules.append((weight, evidence, True, [(v, -1.0)]))
-                rules.append((w["prior"], 0.0, False, [(v, 1.0)]))
-                members[plant][source].append((v, org))
-            if org is None and len(own) > 1:
-                rules.append((w["one_plant"], -1.0, False, [(v, 1.0) for v in own]))
-        for by_source in members.values():
-            for vs in by_source.values():
-                if len(vs) > 1 and any(o is None for _, o in vs):
-                    rules.append((w["one_class"], -1.0, False, [(v, 1.0) for v, _ in vs]))
+def _candidates(ops: list[str], told: set[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """Pairs of names of one place with their similarity: those alike, and those one record goes by. Only names that share
+    the beginning or the end of a word are compared."""
+    keys = defaultdict(list)
+    for i, op in enumerate(ops):
+        for key in {k for w in op.split("|")[0].split() for k in (w[:3], "-" + w[-3:])}:
+            keys[key].append(i)
+    out = dict.fromkeys(told, 0.0)
+    for own in keys.values():
+        for pair in itertools.combinations(own, 2):
+            if pair not in out:
+                out[pair] = 0.0
+    for i, j in out:
+        out[i, j] = name_similarity(ops[i], ops[j])
+    return {p: s for p, s in out.items() if s >= ALIKE or p in told}
+
+
+def ground(ops: list[str], listed: list[int], told: set[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple]]:
+    """(variables, rules) of one place. A variable is the pair (p, q) of names that may be one operator; a rule is (weight,
+    offset, squared, [(variable, coefficient), ...]). ``listed`` has the bits of the ONE_RECORD sources of each name,
+    ``told`` the pairs of names that one record goes by."""
+    w, rules = WEIGHTS, []
+    pairs = _candidates(ops, told)
+    near = defaultdict(set)
+    for p, q in pairs:
+        near[p].add(q)
+        near[q].add(p)
+    triples = [(p, q, r) for q, own in near.items() for p, r in itertools.combinations(sorted(own), 2)]
+    variables = list(dict.fromkeys([*pairs, *((p, r) for p, _, r in triples)]))
+    at = {p: v for v, p in enumerate(variables)}
+    for v, (p, q) in enumerate(variables):
+        if pairs.get((p, q), 0.0) >= ALIKE:
+            rules.append((w["alike"], min(1.0, (pairs[p, q] - 0.4) / 0.5), True, [(v, -1.0)]))
+        if (p, q) in told:
+            rules.append((w["record"], 1.0, True, [(v, -1.0)]))
+        apart = listed[p] & listed[q] and (p, q) not in told
+        rules.append((w["prior"] + (w["two_records"] if apart else 0.0), 0.0, False, [(v, 1.0)]))
+    for p, q, r in triples:
+        rules.append((w["transitive"], -1.0, False, [(at[min(p, q), max(p, q)], 1.0), (at[min(q, r), max(q, r)], 1.0), (at[p, r], -1.0)]))
     return variables, rules
 
 
-def solve_blocks(block: pd.DataFrame) -> pd.DataFrame:
-    """``block`` with the plants of each row and the solved values."""
-    variables, rules = ground(block)
-    at = [len(r[3]) for r in rules]
-    entries = [e for r in rules for e in r[3]]
-    values = solve(
-        len(variables),
-        np.array([r[0] for r in rules]),
-        np.array([r[1] for r in rules]),
-        np.array([r[2] for r in rules], dtype=bool),
-        np.repeat(np.arange(len(rules)), at),
-        np.array([e[0] for e in entries], dtype=np.int64),
-        np.array([e[1] for e in entries]),
-    )
-    out = block.iloc[[v[0] for v in variables]].reset_index(drop=True)
-    out["plant"] = [v[1] for v in variables]
-    out["value"] = values
-    return out
+def _hubs(ops: list[str], weight: list[int], same: dict[tuple[int, int], float]) -> list[tuple[int, float]]:
+    """(hub, value) of each name: the best supported of the names it is one with, itself included, and the weakest link
+    on the way there."""
+    linked = defaultdict(list)
+    for (p, q), v in same.items():
+        if v >= 0.5:
+            linked[p].append((q, v))
+            linked[q].append((p, v))
+    hub = [(i, 1.0) for i in range(len(ops))]
+    taken: set[int] = set()
+    for h in sorted(range(len(ops)), key=lambda i: (-weight[i], -len(ops[i].split("|")[0]), ops[i])):
+        if h in taken:
+            continue
+        taken.add(h)
+        todo = [(h, 1.0)]
+        while todo:
+            i, value = todo.pop()
+            hub[i] = (h, value)
+            for j, v in linked[i]:
+                if j not in taken:
+                    taken.add(j)
+                    todo.append((j, min(value, v)))
+    return hub
 
 
-def belongings(classes: DataFrame) -> DataFrame:
-    """(place, source, org, kind, plant, value) of the distinct classes (place, source, org, kind)."""
+def solve_places(block: pd.DataFrame) -> pd.DataFrame:
+    """(place, op, hub, value) of the names of whole places (place, op, listed, n, other), in order of place.
+
+    A row with ``other`` says that one record goes by both names; one without a name stands for the nameless records of the
+    place. For those the optimum is known: with k operators left, evidence and exclusivity meet at the least of
+    1 - prior / (2 weight) and 1 / k, the same for each operator.
+    """
+    place, op, other = block["place"].to_numpy(), block["op"].to_numpy(dtype=object), block["other"].to_numpy(dtype=object)
+    listed, n = block["listed"].to_numpy(), block["n"].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, dtype=int)
+    groups, grounded = [], []
+    for s, e in zip(starts, [*starts[1:], len(place)]):
+        rows = [i for i in range(s, e) if isinstance(op[i], str) and not isinstance(other[i], str)]
+        ops = [op[i] for i in rows]
+        index = {o: k for k, o in enumerate(ops)}
+        told = {tuple(sorted((index[op[i]], index[other[i]]))) for i in range(s, e) if isinstance(other[i], str) and other[i] in index and op[i] in index}
+        groups.append((place[s], ops, [int(n[i]) for i in rows], any(not isinstance(op[i], str) for i in range(s, e))))
+        grounded.append(ground(ops, [int(listed[i]) for i in rows], told) if len(ops) > 1 else ([], []))
+    base, weight, offset, squared, rule, var, coef = 0, [], [], [], [], [], []
+    for variables, rules in grounded:
+        for w, c, sq, entries in rules:
+            rule += [len(weight)] * len(entries)
+            var += [base + v for v, _ in entries]
+            coef += [x for _, x in entries]
+            weight.append(w)
+            offset.append(c)
+            squared.append(sq)
+        base += len(variables)
+    values = solve(base, np.array(weight), np.array(offset), np.array(squared, dtype=bool), np.array(rule, dtype=np.int64), np.array(var, dtype=np.int64), np.array(coef)) if base else np.zeros(0)
+    out, at = [], 0
+    for (where, ops, support, nameless), (variables, _) in zip(groups, grounded):
+        hubs = _hubs(ops, support, {p: float(values[at + k]) for k, p in enumerate(variables)})
+        at += len(variables)
+        out += [(where, ops[i], ops[h], v) for i, (h, v) in enumerate(hubs) if h != i]
+        left = sorted({h for h, _ in hubs})
+        if nameless:
+            best = min(1 - WEIGHTS["prior"] / (2 * WEIGHTS["nameless"]), 1 / max(len(left), 1))
+            out += [(where, None, ops[h], best) for h in left if best >= ACCEPT] or ([(where, None, "", best)] if not ops else [])
+    return pd.DataFrame(out, columns=["place", "op", "hub", "value"])
+
+
+def operators_of(names: DataFrame) -> DataFrame:
+    """(place, op, hub, value): the names of a place that are another name's operator, and the operator of its nameless
+    records (op null), if there is one; a name that isn't listed is its own operator."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for b in batches:
             b = b if held is None else pd.concat([held, b], ignore_index=True)
-            whole = b["place"] != b["place"].iat[-1]  # the last block may go on in the next batch
-            held = b[~whole]
-            if whole.any():
-                yield solve_blocks(b[whole].reset_index(drop=True))
+            if len(b):
+                whole = b["place"] != b["place"].iat[-1]  # the last place may go on in the next batch
+                held = b[~whole]
+                if whole.any():
+                    yield solve_places(b[whole])
         if held is not None and len(held):
-            yield solve_blocks(held.reset_index(drop=True))
+            yield solve_places(held)
 
-    # A place with one operator, named by all, has one variable a class, whose optimum is known: no need of Python.
-    w = Window.partitionBy("place")
-    ranked = classes.withColumns({"__lo": F.min("org").over(w), "__hi": F.max("org").over(w), "__all": F.count("org").over(w) == F.count(F.lit(1)).over(w)})
-    simple = F.col("__all") & (F.col("__lo") == F.col("__hi"))
-    best = F.lit(0.0)
-    for kind in ("named", "placeless"):
-        best = F.when(F.col("kind") == kind, 1 - WEIGHTS["prior"] / (2 * WEIGHTS[kind])).otherwise(best)
-    easy = ranked.filter(simple).select("place", "source", "org", "kind", F.col("org").alias("plant"), best.alias("value"))
-    hard = ranked.filter(~simple).select("place", "source", "org", "kind")  # the window left each place together and in order
-    return easy.unionByName(hard.mapInPandas(run, "place long, source string, org string, kind string, plant string, value double").filter("value > 0.3"))
+    return names.repartition("place").sortWithinPartitions("place").mapInPandas(run, "place long, op string, hub string, value double")
 
 
-def link_records(records: DataFrame) -> DataFrame:
-    """(record_a, record_b, confidence), record_a < record_b: records of different sources that describe one plant.
+# --- records ----------------------------------------------------------------------------------------------------
 
-    ``records`` has record, source, names (array), address, city, state, zip_code, several rows a record allowed; other
-    columns are ignored. Null records take no part; a record without name and without address matches nothing; an
-    empty table gives no rows. A record's names and addresses count together. A row without a street address, unless its
-    record is placed in the same ZIP code or city by another row, is placed where its operator has its only located
-    plant of that ZIP code or, if that has none, of that city; where there are several it stays unmatched, and where
-    there is none, rows without an address meet under operator and city. Only pairs with a
-    confidence of ACCEPT or more are returned.
+_GAP, _NEXT = "\x1f", "\x1e"
+
+
+def _read(base: DataFrame, reader: Reader) -> DataFrame:
+    """record, source, PARTS and ``ops``, the operator keys of the names of each row. One pass through Python."""
+
+    def key(name: str) -> str | None:
+        o = reader.organisation(name)
+        return "|".join((" ".join(sorted(o[0])), "/".join(o[2]), " ".join(o[1]))) if o and o[0] else None
+
+    @F.pandas_udf(StringType())
+    def packed(address: pd.Series, city: pd.Series, state: pd.Series, code: pd.Series, names: pd.Series) -> pd.Series:
+        texts = ([x if isinstance(x, str) else None for x in c] for c in (address, city, state, code))
+        known: dict[str, str | None] = {}
+        out = []
+        for parts, all_ in zip(zip(*texts, strict=True), names, strict=True):
+            ops = []
+            for name in dict.fromkeys(all_.split(_NEXT) if isinstance(all_, str) and all_ else ()):
+                if name not in known:
+                    known[name] = key(name)
+                if known[name]:
+                    ops.append(known[name])
+            out.append(packed_parts(*parts) + _GAP + _NEXT.join(dict.fromkeys(ops)))
+        return pd.Series(out, dtype=object)
+
+    cells = [F.col(c).cast("string") for c in ("address", "city", "state", "zip_code")]
+    split = base.select("record", "source", F.split(packed.asNondeterministic()(*cells, F.array_join("names", _NEXT)), _GAP).alias("p"))
+    ops = F.filter(F.split(F.col("p")[len(PARTS)], _NEXT), lambda x: x != "").alias("ops")
+    return split.select("record", "source", *(F.nullif(F.col("p")[k], F.lit("")).alias(n) for k, n in enumerate(PARTS)), ops)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, place) of the nodes of ``links`` (node_a, node_b): the least node of the connected component.
+
+    Each node takes the least of its neighbours and itself; links between nodes that then differ, few unless components are
+    long, are contracted and treated alike until none is left, and the steps are followed to their ends.
     """
-    base = records.filter("record is not null").select("record", "source", "names", *(F.col(c).cast("string").alias(c) for c in ("address", "city", "state", "zip_code")))
-    base = with_parts(base, "address", "city", "state", "zip_code").select("record", "source", "names", *PARTS)
-    base = cut(base.withColumn("node", F.when(F.col("number").isNotNull(), F.xxhash64(*PARTS))))
-    said = base.select("record", F.explode("names").alias("name")).filter("name is not null").distinct()
-    orgs = said.join(organisations(said), "name").select("record", "org").distinct()
-    nodes = base.filter("node is not null").select("node", *PARTS).distinct()
-    links = cut(location_links(nodes))
-    both = links.unionByName(links.select(F.col("node_b").alias("node_a"), F.col("node_a").alias("node_b")))
-    first = both.groupBy("node_a").agg(F.least(F.min("node_b"), F.col("node_a")).alias("low"))
-    second = both.join(first.select(F.col("node_a").alias("node_b"), "low"), "node_b").groupBy("node_a").agg(F.min("low").alias("low2"))
-    second = second.withColumnRenamed("node_a", "node")
-    places = base.select("record", "source", "node", "zip", "town").distinct().join(second, "node", "left")
-    places = places.withColumn("place", F.coalesce("low2", "node")).select("record", "source", "place", "zip", "town")
-    known = cut(places.join(orgs, "record", "left").select("record", "source", "place", "zip", "town", "org").distinct())
-    located = known.filter("place is not null")
-    areas = F.explode(F.array_compact(F.array(F.concat(F.lit("Z"), "zip"), F.concat(F.lit("C"), "town"))))
-    plants = located.filter("org is not null").select("place", "org", areas.alias("area"))
-    plants = plants.groupBy("org", "area").agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
-    own = located.select("record", areas.alias("area")).distinct().withColumn("own", F.lit(True))
-    lost = known.filter("place is null and org is not null").select("record", "source", "org", "town", "zip", areas.alias("area"))
-    lost = lost.join(own, ["record", "area"], "left").join(plants, ["org", "area"], "left")
+    both = cut(links.unionByName(links.select(F.col("node_b").alias("node_a"), F.col("node_a").alias("node_b"))))
+    least = lambda e: e.groupBy(F.col("node_a").alias("node")).agg(F.least(F.min("node_b"), F.first("node_a")).alias("to"))
+    first = cut(least(both))
+    steps, edges, low = None, both, first
+    while True:
+        left = edges.join(low.select(F.col("node").alias("node_a"), F.col("to").alias("a")), "node_a").join(low.select(F.col("node").alias("node_b"), F.col("to").alias("b")), "node_b")
+        edges = cut(left.filter("a <> b").select(F.col("a").alias("node_a"), F.col("b").alias("node_b")).distinct())
+        if not edges.limit(1).count():
+            break
+        low = cut(least(edges))
+        moved = low.filter("node <> to").select(F.col("node").alias("key"), "to")
+        steps = moved if steps is None else steps.unionByName(moved)
+    if steps is None:
+        return first.withColumnRenamed("to", "place")
+    ends = follow(cut(steps))
+    return first.join(ends.select(F.col("key").alias("to"), F.col("to").alias("end")), "to", "left").select("node", F.coalesce("end", "to").alias("place"))
+
+
+def _placed(rows: DataFrame, edits_most: int = 3) -> DataFrame:
+    """(record, source, place, op): rows without an address that name an operator, each with the place it goes to.
+
+    In the area of the row the plants are looked for whose names have the same words, else those with the fewest edits up to
+    ``edits_most`` that share a word and don't differ in trade; only plants of lost names are shuffled.
+    """
+    lost = cut(rows.filter("place is null and op is not null").select("record", "source", "op", "zip", "town").distinct())
+    areas = F.explode(F.array_compact(F.array(F.concat(F.lit("Z"), "zip"), F.concat(F.lit("C"), "town")))).alias("area")
+    words, trade = (lambda c: F.split(c, r"\|")[0]), (lambda c: F.split(c, r"\|")[1])
+    keyed = lambda df, *more: df.select("op", areas, *more).withColumn("w", F.explode(F.split(words(F.col("op")), " "))).withColumn("key", F.xxhash64("area", "w")).drop("w")
+    located = rows.filter("place is not null")
+    asked = cut(keyed(lost).distinct())
+    plants = keyed(located.filter("op is not null").select("op", "zip", "town", "place"), "place")
+    plants = plants.join(checked_broadcast(asked.select("key").distinct(), 1_000_000), "key", "left_semi").select("key", F.col("op").alias("other"), "place").distinct()
+    apart = F.levenshtein(words(F.col("op")), words(F.col("other")), edits_most)
+    fits = (apart >= 0) & ((trade(F.col("op")) == trade(F.col("other"))) | (trade(F.col("op")) == "") | (trade(F.col("other")) == "") | (F.col("op") == F.col("other")))
+    near = asked.join(plants, "key").filter(fits).groupBy("op", "area", "place").agg(F.min(apart).alias("d"))
+    best = near.groupBy("op", "area").agg(F.min("d").alias("least"))
+    plants = near.join(best, ["op", "area"]).filter("d = least").groupBy("op", "area").agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
+    own = located.join(lost.select("record").distinct(), "record", "left_semi").select("record", areas).distinct().withColumn("own", F.lit(True))
+    wanted = lost.select("record", "source", "op", "town", "zip", areas).join(own, ["record", "area"], "left").join(plants, ["op", "area"], "left")
     by_area = [F.max(F.when(F.col("area").startswith(a), F.col(c))).alias(c + a) for a in "ZC" for c in ("own", "lo", "hi")]
-    found = lost.groupBy("record", "source", "org", "town", "zip").agg(*by_area)
+    found = wanted.groupBy("record", "source", "op", "town", "zip").agg(*by_area)
     only = {a: F.when(F.col("own" + a).isNull() & (F.col("lo" + a) == F.col("hi" + a)), F.col("lo" + a)) for a in "ZC"}
     # The ZIP code decides if it has a plant of the operator, or the record itself; else the city. Two answers are none.
     by_zip = F.when(F.coalesce(only["Z"] == only["C"], F.lit(True)), only["Z"])
     place = F.when(F.col("ownZ").isNotNull() | F.col("loZ").isNotNull(), by_zip).otherwise(only["C"])
     none = F.coalesce("ownZ", "ownC").isNull() & F.coalesce("loZ", "loC").isNull()
-    found = found.withColumn("place", F.when(none, F.xxhash64("org", F.coalesce("town", "zip"))).otherwise(place)).filter("place is not null")
-    settled = found.select("record", "source", "place", "org", F.lit("placeless").alias("kind"))
-    members = cut(located.select("record", "source", "place", "org", F.lit("named").alias("kind")).unionByName(settled).distinct())
-    solved = belongings(members.select("place", "source", "org", "kind").distinct())
-    on = (F.col("m.place") == F.col("s.place")) & (F.col("m.source") == F.col("s.source")) & F.col("m.org").eqNullSafe(F.col("s.org")) & (F.col("m.kind") == F.col("s.kind"))
-    belongs = cut(members.alias("m").join(solved.alias("s"), on).select("m.record", "m.source", "s.place", "s.plant", "s.value"))
-    a, b = belongs.alias("a"), belongs.alias("b")
-    meets = (F.col("a.place") == F.col("b.place")) & (F.col("a.plant") == F.col("b.plant")) & (F.col("a.source") < F.col("b.source"))
-    pairs = a.join(b, meets & (F.col("a.value") + F.col("b.value") - 1 >= ACCEPT))
-    return pairs.groupBy(F.least("a.record", "b.record").alias("record_a"), F.greatest("a.record", "b.record").alias("record_b")).agg(
-        F.max(F.col("a.value") + F.col("b.value") - 1).alias("confidence")
-    )
+    found = found.withColumn("place", F.when(none, F.xxhash64("op", F.coalesce("town", "zip"))).otherwise(place))
+    return found.filter("place is not null").select("record", "source", "place", "op")
+
+
+def _evidence(placeless: bool) -> Column:
+    """How surely a row belongs to the operator it names: less without trade, street type or ZIP code, or placed by area."""
+    trade = F.split(F.col("op"), r"\|")[1]
+    gaps = [F.when((trade == "") | trade.contains("/"), 0.03).otherwise(0.0)]
+    gaps += [F.lit(0.08)] if placeless else [F.when(F.col("type").isNull(), 0.02).otherwise(0.0), F.when(F.col("zip").isNull(), 0.02).otherwise(0.0)]
+    out = F.lit(1 - WEIGHTS["prior"] / (2 * WEIGHTS["alike"]))
+    for g in gaps:
+        out = out - g
+    return out
+
+
+def memberships(records: DataFrame) -> DataFrame:
+    """(record, source, plant, value): the operator at a location that each record describes, and how surely.
+
+    ``records`` has record, source, names (array), address, city, state, zip_code, several rows a record allowed; other
+    columns are ignored. Null records take no part; a record without name and without address belongs nowhere; an
+    empty table gives no rows. A record's names and addresses count together. A row without a street address, unless its
+    record is placed in the same ZIP code or city by another row, is placed where its operator has its only located
+    plant of that ZIP code or, if that has none, of that city; where there are several it stays out, and where
+    there is none, rows without an address meet under operator and city.
+    """
+    base = records.filter("record is not null").select("record", "source", "names", *(F.col(c).cast("string").alias(c) for c in ("address", "city", "state", "zip_code")))
+    strings = base.select(F.explode("names").alias("name")).filter("name is not null").distinct()
+    read = cut(_read(base, Reader(*learnt_words(strings))).withColumn("node", F.when(F.col("number").isNotNull(), F.xxhash64(*PARTS))))
+    places = components(location_links(read.filter("node is not null").select("node", *PARTS).distinct()))
+    rows = read.select("record", "source", "node", "type", "zip", "town", F.explode_outer("ops").alias("op")).join(places, "node", "left")
+    rows = cut(rows.withColumn("place", F.coalesce("place", "node")).drop("node"))
+    near = rows.filter("place is not null").select("record", "source", "place", "op", F.when(F.col("op").isNotNull(), _evidence(False)).otherwise(0.97).alias("value"))
+    far = _placed(rows).withColumn("value", _evidence(True))
+    members = near.unionByName(far).groupBy("record", "source", "place", "op").agg(F.max("value").alias("value"))
+    members = cut(members)
+    bit = F.lit(0)
+    for k, source in enumerate(ONE_RECORD):
+        bit = F.when(F.col("source") == source, 1 << k).otherwise(bit)
+    none = F.lit(None).cast("string").alias("other")
+    names = members.groupBy("place", "op").agg(F.bit_or(bit).alias("listed"), F.count(F.lit(1)).alias("n")).select("place", "op", "listed", "n", none)
+    first = members.filter("op is not null").groupBy("record", "place").agg(F.min("op").alias("op"), F.max("op").alias("other"))
+    told = first.filter("op <> other").select("place", "op", F.lit(0).alias("listed"), F.lit(0).cast("long").alias("n"), "other").distinct()
+    solved = operators_of(names.unionByName(told))
+    solved = solved.select(F.col("place").alias("at"), F.col("op").alias("name"), "hub", F.col("value").alias("same"))
+    joined = members.join(solved, (F.col("place") == F.col("at")) & F.col("op").eqNullSafe(F.col("name")), "left").filter("op is not null or hub is not null")
+    plant = F.xxhash64("place", F.coalesce("hub", "op")).alias("plant")
+    belongs = joined.select("record", "source", plant, (F.col("value") + F.coalesce("same", F.lit(1.0)) - 1).alias("value"))
+    return belongs.groupBy("record", "source", "plant").agg(F.max("value").alias("value"))
+
+
+def link_records(records: DataFrame) -> DataFrame:
+    """(record_a, record_b, confidence), record_a < record_b: records of different sources that describe one plant, with a
+    confidence of ACCEPT or more; see ``memberships`` for records and cases."""
+    belongs = cut(memberships(records).filter(F.col("value") >= ACCEPT))
+    build, probe = salted(belongs, belongs, "plant", "record", 20_000)
+    a, b = probe.alias("a"), build.alias("b")
+    match = F.col("a.value") + F.col("b.value") - 1
+    meets = (F.col("a.plant") == F.col("b.plant")) & (F.col("a.__salt") == F.col("b.__salt")) & (F.col("a.source") < F.col("b.source")) & (match >= ACCEPT)
+    pairs = a.join(b, meets).groupBy(F.least("a.record", "b.record").alias("record_a"), F.greatest("a.record", "b.record").alias("record_b"))
+    return pairs.agg(F.max(match).alias("confidence"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
-from .addresses import same_location
-from .linkage import link_records
+from ..runtime import cut, table
+from .addresses import PARTS, location_links, same_location, with_parts
+from .linkage import components, link_records, memberships
 from .names import organisations, spelling_pairs
 from .leakage import leaks
-from .packing import pack, token_sizes
+from .packing import audit, pack, token_sizes
 from .percentiles import percentiles, value_counts
 from .pii import find_details, redact
 
@@ -49,6 +49,11 @@ def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_records(all_records(spark, sf_dir))
 
 
+def p1_plants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with the plant they describe: the pairs' form that grows with the records only."""
+    return memberships(all_records(spark, sf_dir))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_links(spark, sf_dir).select("record_a", "record_b")
 
@@ -65,6 +70,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_location(site_records(spark, sf_dir))
 
 
+def p4_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record, location): all records with a street address; linked writings are one location."""
+    parts = with_parts(site_records(spark, sf_dir).filter("record is not null"), "address", "city", "state", "zip_code").filter("number is not null")
+    own = parts.select("record", F.xxhash64(*PARTS).alias("node"), *PARTS).distinct()
+    places = components(location_links(own.select("node", *PARTS).distinct()))
+    return own.select("record", "node").join(places, "node", "left").select("record", F.coalesce("place", "node").alias("location")).distinct()
+
+
 MEASURES = ("voc_tons_2020", "dart_rate")
 
 
@@ -79,6 +92,19 @@ def p5_percentiles_1pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles(value_counts(table(spark, sf_dir, "facilities"), "facility_vertical", MEASURES, "ingested_at", 0.01))
 
 
+def p5_error_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each percentile from bounded summaries is within one percent of the exact one."""
+    exact, rough = p5_percentiles(spark, sf_dir), p5_percentiles_1pct(spark, sf_dir).select(F.col("measure").alias("m"), F.col("grp").alias("g"), F.col("quantile").alias("q"), F.col("value").alias("about"))
+    both = exact.join(rough, (F.col("measure") == F.col("m")) & F.col("grp").eqNullSafe(F.col("g")) & (F.col("quantile") == F.col("q")))
+    return both.select("measure", "grp", "quantile", "n", (F.abs(F.col("about") - F.col("value")) <= 0.01 * F.abs(F.col("value")) + 1e-12).alias("within"))
+
+
+def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The containers, checked: all documents placed whole, none over capacity, hardly more than the least number."""
+    sizes = cut(token_sizes(table(spark, sf_dir, "documents")))
+    return audit(sizes, pack(sizes))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_sizes(table(spark, sf_dir, "documents")))
 
@@ -95,7 +121,12 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p5_percentiles": p5_percentiles, "p5_percentiles_1pct": p5_percentiles_1pct, "p7_containers": p7_containers, "p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_organisations": p2_organisations, "p4_found": p4_found, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_links, p1_plants, p2_found, p2_organisations, p4_found, p4_locations, p5_percentiles, p5_percentiles_1pct, p5_error_bound, p7_containers, p7_audit, p8_found, p9_found, p9_redacted,
+    )
+}
 _ENTRIES = """
 WITH e AS (SELECT 'voc_tons_2020' AS measure, facility_vertical AS grp, voc_tons_2020 AS value FROM facilities
   UNION ALL SELECT 'dart_rate', facility_vertical, dart_rate FROM facilities),
@@ -103,8 +134,10 @@ r AS (SELECT measure, grp, {value} AS value, row_number() OVER (PARTITION BY mea
         count(*) OVER (PARTITION BY measure, grp) AS n FROM e WHERE value IS NOT NULL AND NOT isnan(value))
 SELECT measure, grp, quantile, min(value) AS value, n FROM r, (VALUES (0.5), (0.9), (0.95), (0.99)) q(quantile)
 WHERE k >= greatest(1, ceil(quantile * n - 1e-9)) GROUP BY measure, grp, quantile, n"""
-_BUCKET = "CASE WHEN value = 0 THEN value ELSE 2 * pow(1.01 / 0.99, ceil(ln(value) / ln(1.01 / 0.99))) / (1.01 / 0.99 + 1) END"
+_BUCKET = "CASE WHEN value = 0 THEN value ELSE sign(value) * 2 * pow(1.01 / 0.99, ceil(ln(abs(value)) / ln(1.01 / 0.99))) / (1.01 / 0.99 + 1) END"
 ORACLE: dict[str, str] = {
     "p5_percentiles": _ENTRIES.format(value="value").replace("SELECT measure, grp, quantile,", "SELECT measure, grp, CAST(quantile AS DOUBLE) AS quantile,"),
     "p5_percentiles_1pct": _ENTRIES.format(value=_BUCKET).replace("SELECT measure, grp, quantile,", "SELECT measure, grp, CAST(quantile AS DOUBLE) AS quantile,"),
+    "p5_error_bound": "SELECT measure, grp, quantile, n, true AS within FROM (" + _ENTRIES.format(value="value").replace("SELECT measure, grp, quantile,", "SELECT measure, grp, CAST(quantile AS DOUBLE) AS quantile,") + ")",
+    "p7_audit": "SELECT count(*) AS documents, 0::BIGINT AS unplaced, 0::BIGINT AS split_short, 0::BIGINT AS overfull, 0::BIGINT AS overlapping, 0 AS wasteful FROM documents",
 }

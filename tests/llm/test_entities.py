@@ -122,21 +122,22 @@ def test_distances_against_plain():
     rng = random.Random(3)
     words = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 8))) for _ in range(40)]
     got = N.distances(words[:25], words[25:])
-    assert all(got[i, j] == N.distance(words[i], words[25 + j]) for i in range(25) for j in range(15))
+    assert all(got[i, j] == N.distance(words[i], words[25 + j]) == N.edits(words[i], words[25 + j]) for i in range(25) for j in range(15))
+    long = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (30, 45, 63, 1)]
+    assert (N.distances(long, long) == [[N.distance(a, b) for b in long] for a in long]).all() and N.edits(long[1], long[2]) == N.distance(long[1], long[2])
 
 
 def test_radius_pairs_lose_none(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(3, 6)))
     stock = [word() for _ in range(40)]
-    names = sorted({tuple(sorted({rng.choice(stock) if rng.random() < 0.6 else word() for _ in range(rng.choice((2, 2, 2, 3)))})) for _ in range(160)})
-    names = [n for n in names if len(n) > 1]
+    names = sorted({tuple(sorted({rng.choice(stock) if rng.random() < 0.6 else word() for _ in range(rng.choice((1, 2, 2, 2, 3)))})) for _ in range(180)})
     blocks = [rng.choice((["x"], ["y"], ["x", "y"])) for _ in names]
-    df = spark.createDataFrame([(i, list(n), b) for i, (n, b) in enumerate(zip(names, blocks))], "id long, words array<string>, blocks array<string>")
+    df = spark.createDataFrame([(i, list(n), b, b) for i, (n, b) in enumerate(zip(names, blocks))], "id long, words array<string>, blocks array<string>, found_in array<string>")
     words = spark.createDataFrame([(w, rng.randint(1, 9)) for w in sorted({w for n in names for w in n})], "word string, support long")
     apart = lambda a, b: min(sum(N.distance(x, y) for x, y in zip(a, p)) for p in itertools.permutations(b))
     for radius in (2, 3):
-        want = {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if i != j and len(a) == len(b) and set(blocks[i]) & set(blocks[j]) and apart(a, b) <= radius}
+        want = {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if i != j and len(a) == len(b) and set(blocks[i]) & set(blocks[j]) and apart(a, b) <= (2 if len(a) == 1 else radius)}
         got = [(r.a, r.b, r.d) for r in N.radius_pairs(df, words, radius, N.pivots_of(words, 12)).collect()]
         assert len(got) == len(set(got)) and {(a, b) for a, b, d in got if d <= radius and len(names[a]) == len(names[b])} == want and len(want) > 20
         assert all(apart(names[a], names[b]) == d for a, b, d in got if (a, b) in want)
@@ -145,7 +146,7 @@ def test_radius_pairs_lose_none(spark):
 
 def test_long_chains_of_spellings_are_followed(spark):
     steps = spark.createDataFrame([(f"w{k}", f"w{k + 1}") for k in range(11)] + [("x", "y")], "key string, to string")
-    assert {r.key: r.to for r in N._follow(steps).collect()} == {**{f"w{k}": "w11" for k in range(11)}, "x": "y"}
+    assert {r.key: r.to for r in N.follow(steps).collect()} == {**{f"w{k}": "w11" for k in range(11)}, "x": "y"}
 
 
 def test_spelling_pairs(spark):
