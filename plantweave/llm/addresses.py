@@ -34,6 +34,8 @@ _ROUTE = re.compile(
     r"|(?:COUNTY|CNTY|CO)\.?\s+(?:ROAD|RD|HIGHWAY|HWY)|C\.?\s?R\.?|HIGHWAY|HWY|ROUTE|RTE)\.?\s*[-#]?\s*(?P<n>\d+[A-Z]?)\b"
 )
 _NUMBER = re.compile(r"\d+")
+_STUCK_SAINT, _STUCK = re.compile(r"^(\W*\d+)(ST\.?\s+[A-Z])"), re.compile(r"(?<![A-Z0-9])(\d+)(?!(?:ST|ND|RD|TH)\b)([A-Z][A-Z.])")
+_RANGE, _BEFORE_ROUTE, _SIGNS = re.compile(r"(?<![\w])(\d+)\s*[-–]\s*\d+(?=\s)"), re.compile(r"^[\s,\d]*(?:[A-Z]+\.?\s+)?$"), re.compile(r"[^A-Z0-9' ]+")
 _ORDINAL = re.compile(r"^\d+(?:ST|ND|RD|TH)$")
 
 
@@ -77,6 +79,7 @@ def plain(text: str) -> str:
     return "".join(c for c in t if not unicodedata.combining(c)).upper().strip()
 
 
+@lru_cache(100_000)
 def city_key(city: str | None, state: str | None) -> str | None:
     """City with abbreviated first words written out, and state; null without a city."""
     if not city or not city.strip():
@@ -135,15 +138,17 @@ def parse(address: str | None, city: str | None = None) -> tuple[str, str, str |
     """
     if not address:
         return None
-    t = re.sub(r"\s+", " ", plain(address))
-    t = _ASIDE.sub("", t)
-    t = _BOX.sub(" ", t)
+    t = " ".join(plain(address).split())
+    if "ATT" in t or "C/O" in t or "CARE" in t:
+        t = _ASIDE.sub("", t)
+    if "BOX" in t:
+        t = _BOX.sub(" ", t)
     t = _UNIT.sub(" ", t)
-    t = re.sub(r"^(\W*\d+)(ST\.?\s+[A-Z])", r"\1 \2", t)
-    t = re.sub(r"(?<![A-Z0-9])(\d+)(?!(?:ST|ND|RD|TH)\b)([A-Z][A-Z.])", r"\1 \2", t)
-    t = re.sub(r"(?<![\w])(\d+)\s*[-–]\s*\d+(?=\s)", r"\1", t)
+    t = _STUCK.sub(r"\1 \2", _STUCK_SAINT.sub(r"\1 \2", t))
+    if "-" in t or "–" in t:
+        t = _RANGE.sub(r"\1", t)
     m = _ROUTE.search(t)
-    if m and re.match(r"^[\s,\d]*(?:[A-Z]+\.?\s+)?$", t[: m.start()]):
+    if m and _BEFORE_ROUTE.match(t[: m.start()]):
         kind = re.sub(r"[^A-Z]", "", m["c"])
         if kind in ("HIGHWAY", "HWY", "ROUTE", "RTE"):
             cls = None
@@ -157,7 +162,7 @@ def parse(address: str | None, city: str | None = None) -> tuple[str, str, str |
         tail = re.match(r"\s*([A-Z]+)\.?\s*(?:,|$)", after)
         sides = [d for w in words if (d := _direction(w))] or ([d] if tail and (d := _direction(tail[1])) else [])
         return number[number.lastindex or 0].lstrip("0") or "0", f"RTE {m['n']}", cls, sides[0] if sides else None
-    segments = [re.sub(r"[^A-Z0-9' ]+", " ", s).replace("'", "").split() for s in t.split(",")]
+    segments = [_SIGNS.sub(" ", s).replace("'", "").split() for s in t.split(",")]
     segments = [s for s in segments if s]
     if not segments:
         return None

@@ -36,7 +36,7 @@ from .names import Reader, _swapped, edits, follow, learnt_words
 
 #: Weights of the rules; evidence and the nameless rule are squared hinges, the others linear.
 WEIGHTS = {"alike": 5.0, "record": 5.0, "nameless": 2.0, "prior": 0.15, "two_records": 1.0, "one_plant": 20.0, "transitive": 20.0}
-ACCEPT, ALIKE, STEP, TOLERANCE, ROUNDS = 0.55, 0.7, 3.0, 1e-4, 2_000
+ACCEPT, ALIKE, STEP, TOLERANCE, ROUNDS = 0.55, 0.7, 3.0, 2e-4, 2_000
 #: Sources in which a plant is one record; a record of another source is a company.
 ONE_RECORD = ("epa", "osha")
 
@@ -129,8 +129,8 @@ def _candidates(ops: list[str], told: set[tuple[int, int]]) -> dict[tuple[int, i
     return {p: s for p, s in out.items() if s >= ALIKE or p in told}
 
 
-def ground(ops: list[str], listed: list[int], told: set[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple]]:
-    """(variables, rules) of one place. A variable is the pair (p, q) of names that may be one operator; a rule is (weight,
+def ground(ops: list[str], listed: list[int], told: set[tuple[int, int]]) -> tuple[list[tuple[int, int]], list]:
+    """(variables, rules) of one place, or the one variable and its value. A variable is the pair (p, q) of names that may be one operator; a rule is (weight,
     offset, squared, [(variable, coefficient), ...]). ``listed`` has the bits of the ONE_RECORD sources of each name,
     ``told`` the pairs of names that one record goes by."""
     w, rules = WEIGHTS, []
@@ -140,6 +140,11 @@ def ground(ops: list[str], listed: list[int], told: set[tuple[int, int]]) -> tup
         near[p].add(q)
         near[q].add(p)
     triples = [(p, q, r) for q, own in near.items() for p, r in itertools.combinations(sorted(own), 2)]
+    if len(pairs) == 1:  # one unknown: the optimum is known
+        (p, q), s = next(iter(pairs.items()))
+        alike, one = (w["alike"] if s >= ALIKE else 0.0), (w["record"] if (p, q) in told else 0.0)
+        against = w["prior"] + (w["two_records"] if listed[p] & listed[q] and not one else 0.0)
+        return [(p, q)], [min(1.0, max(0.0, (alike * min(1.0, (s - 0.4) / 0.5) + one - against / 2) / (alike + one)))]
     variables = list(dict.fromkeys([*pairs, *((p, r) for p, _, r in triples)]))
     at = {p: v for v, p in enumerate(variables)}
     for v, (p, q) in enumerate(variables):
@@ -199,6 +204,8 @@ def solve_places(block: pd.DataFrame) -> pd.DataFrame:
         grounded.append(ground(ops, [int(listed[i]) for i in rows], told) if len(ops) > 1 else ([], []))
     base, weight, offset, squared, rule, var, coef = 0, [], [], [], [], [], []
     for variables, rules in grounded:
+        if len(variables) == 1:
+            continue
         for w, c, sq, entries in rules:
             rule += [len(weight)] * len(entries)
             var += [base + v for v, _ in entries]
@@ -209,9 +216,13 @@ def solve_places(block: pd.DataFrame) -> pd.DataFrame:
         base += len(variables)
     values = solve(base, np.array(weight), np.array(offset), np.array(squared, dtype=bool), np.array(rule, dtype=np.int64), np.array(var, dtype=np.int64), np.array(coef)) if base else np.zeros(0)
     out, at = [], 0
-    for (where, ops, support, nameless), (variables, _) in zip(groups, grounded):
-        hubs = _hubs(ops, support, {p: float(values[at + k]) for k, p in enumerate(variables)})
-        at += len(variables)
+    for (where, ops, support, nameless), (variables, rules) in zip(groups, grounded):
+        if len(variables) == 1:
+            same = {variables[0]: rules[0]}
+        else:
+            same = {p: float(values[at + k]) for k, p in enumerate(variables)}
+            at += len(variables)
+        hubs = _hubs(ops, support, same) if same else [(i, 1.0) for i in range(len(ops))]
         out += [(where, ops[i], ops[h], v) for i, (h, v) in enumerate(hubs) if h != i]
         left = sorted({h for h, _ in hubs})
         if nameless:
@@ -248,21 +259,18 @@ def _read(base: DataFrame, reader: Reader) -> DataFrame:
     """record, source, PARTS and ``ops``, the operator keys of the names of each row. One pass through Python."""
 
     def key(name: str) -> str | None:
-        o = reader.organisation(name)
+        o = reader.cached(name)
         return "|".join((" ".join(sorted(o[0])), "/".join(o[2]), " ".join(o[1]))) if o and o[0] else None
 
     @F.pandas_udf(StringType())
     def packed(address: pd.Series, city: pd.Series, state: pd.Series, code: pd.Series, names: pd.Series) -> pd.Series:
         texts = ([x if isinstance(x, str) else None for x in c] for c in (address, city, state, code))
-        known: dict[str, str | None] = {}
         out = []
         for parts, all_ in zip(zip(*texts, strict=True), names, strict=True):
             ops = []
             for name in dict.fromkeys(all_.split(_NEXT) if isinstance(all_, str) and all_ else ()):
-                if name not in known:
-                    known[name] = key(name)
-                if known[name]:
-                    ops.append(known[name])
+                if op := key(name):
+                    ops.append(op)
             out.append(packed_parts(*parts) + _GAP + _NEXT.join(dict.fromkeys(ops)))
         return pd.Series(out, dtype=object)
 

@@ -115,7 +115,7 @@ class Reader:
         self.trades, self.general = tuple(trades), tuple(dict.fromkeys((*general, *GENERAL)))
         # Three parts of each word: two edits leave one of them whole.
         self._parts = {w: (w[: len(w) // 3], w[len(w) // 3 : 2 * len(w) // 3], w[2 * len(w) // 3 :]) for w in self.trades + self.general}
-        self.readings = lru_cache(200_000)(self._readings)
+        self.readings, self.cached = lru_cache(200_000)(self._readings), lru_cache(100_000)(self.organisation)
 
     def __reduce__(self) -> tuple:
         return Reader, (self.trades, self.general)

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from plantweave.llm import addresses as A
@@ -181,6 +182,51 @@ def test_solver_against_grid():
     assert one[0] == pytest.approx(1 - 0.15 / 10, abs=1e-3)  # the closed form used for simple places
 
 
+def test_one_unknown_has_the_value_the_solver_gives():
+    for a, b, listed, told in (("DAWN DROTHALKNELL|TURBINE|", "DAWN DROTHALKNEL|TURBINE|", (1, 1), ()), ("DAWN DROTHALKNELL|TURBINE|", "DAWN DROTHALKNEL|TURBINE|", (1, 2), ()), ("DAWN X|TURBINE|", "ZETA|MILL|", (1, 1), ((0, 1),)), ("DAWN X|T|", "DAWN X||", (3, 2), ((0, 1),))):
+        (pair,), (value,) = L.ground([a, b], list(listed), set(told))
+        s, w = L.name_similarity(a, b), L.WEIGHTS
+        rules = ([(w["alike"], min(1.0, (s - 0.4) / 0.5), True, -1.0)] if s >= L.ALIKE else []) + ([(w["record"], 1.0, True, -1.0)] if told else [])
+        rules.append((w["prior"] + (w["two_records"] if listed[0] & listed[1] and not told else 0.0), 0.0, False, 1.0))
+        k = len(rules)
+        z = L.solve(1, *(np.array([r[i] for r in rules]) for i in range(3)), np.arange(k), np.zeros(k, dtype=int), np.array([r[3] for r in rules]))
+        assert pair == (0, 1) and value == pytest.approx(z[0], abs=2e-3)
+
+
+def test_exclusivity_and_transitivity_bind_all_names():
+    ops = ["DAWN DROTHALKNELL|TURBINE|", "DAWN DROTHALKNELK|TURBINE|", "DAWN DROTHALKNOL|TURBINE|"]
+    near, far = L.name_similarity(ops[0], ops[1]), L.name_similarity(ops[1], ops[2])
+    assert near > L.ALIKE and far > L.ALIKE
+
+    def value(listed, told=frozenset()):
+        variables, rules = L.ground(ops, listed, set(told))
+        at = [len(r[3]) for r in rules]
+        e = [x for r in rules for x in r[3]]
+        z = L.solve(len(variables), *(np.array([r[i] for r in rules]) for i in range(3)), np.repeat(np.arange(len(rules)), at), np.array([x[0] for x in e]), np.array([x[1] for x in e]))
+        return dict(zip(variables, z))
+
+    free, bound = value([1, 2, 0]), value([1, 1, 1])
+    assert all(bound[p] < free[p] - 0.05 for p in free)  # one source lists them under different records
+    assert all(v[p] + v[q] - 1 <= v[r] + 0.01 for v in (free, bound) for p, q, r in itertools.permutations([(0, 1), (0, 2), (1, 2)]))
+
+
+def test_linkage_needs_the_field(spark, monkeypatch):
+    rows = [(f"epa:{k}", "epa", [f"Drothalknel{'l' * (k % 2)} Dawn Turbine Inc"], f"{k} Main St", "Fort Bix", "GA", "21241") for k in range(1, 9)]
+    rows += [(f"osha:{k}", "osha", ["Drothalknell Dawn Turbine LLC"], f"{k} Main Street", "Fort Bix", "GA", "21241") for k in range(1, 9)]
+    df = spark.createDataFrame(rows, "record string, source string, names array<string>, address string, city string, state string, zip_code string")
+    assert L.link_records(df).count() == 8
+    monkeypatch.setattr(L, "solve_places", lambda b: pd.DataFrame({"place": pd.Series([], dtype="int64"), "op": [], "hub": [], "value": pd.Series([], dtype="float64")}))
+    monkeypatch.setattr(L, "operators_of", lambda names: names.sparkSession.createDataFrame([], "place long, op string, hub string, value double"))
+    assert L.link_records(df).count() == 4
+
+
+def test_places_of_any_chain(spark):
+    links = [(i, i + 1) for i in range(1, 24)] + [(100, 50), (50, 75), (75, 60), (7_000, 7_001)]
+    got = {r.node: r.place for r in L.components(spark.createDataFrame([tuple(sorted(x)) for x in links], "node_a long, node_b long")).collect()}
+    assert got == {**dict.fromkeys(range(1, 25), 1), **dict.fromkeys((50, 60, 75, 100), 50), 7_000: 7_000, 7_001: 7_000}
+    assert L.components(spark.createDataFrame([], "node_a long, node_b long")).count() == 0
+
+
 def test_linkage(spark):
     site = ("12 N Main St", "Fort Bix", "GA", "21241")
     dawn, ember, tenant = "Drothalknell Dawn Turbine Inc", "Crertomthorpe Ember Coatings LLC", "Vavavquist Yukon Tractor Co"
