@@ -47,8 +47,8 @@ def classify_lines(lines: DataFrame, number_columns: Sequence[str], default_head
     """Each record that isn't a header with its fields, its file's header and ``errors``, an array of reasons.
 
     ``lines`` has line_id, source_file, line_no, line; line_no 1 of each file is its header. Null lines count as
-    empty. Reasons in order: broken_quoting, column_count, invalid_value; later rules are only meaningful when the
-    earlier hold, so at most one reason is given. A file without a header gets ``default_header`` (none: its
+    empty. Reasons in order: broken_quoting, column_count, "invalid_value: column" for each of the number columns; a rule
+    that has no meaning where an earlier one fails gives no reason there. A file without a header gets ``default_header`` (none: its
     records fail column_count). Repeated line_ids are judged one by one; other columns pass through unless they
     clash with the columns made here. Everything stays in the JVM; headers are broadcast after a check of their
     number, the lines are never shuffled.
@@ -70,17 +70,17 @@ def classify_lines(lines: DataFrame, number_columns: Sequence[str], default_head
     broken = F.when(line.contains('"'), quoting_broken(line)).otherwise(F.lit(False))
     judged = joined.withColumn("__broken", once(broken)).withColumn("fields", once(F.when(~F.col("__broken"), split_fields(line))))
     count_off = F.coalesce(F.size("fields") != F.size("header"), F.lit(True))
-    bad = F.lit(False)
+    values = []
     for name in number_columns:
         at = F.array_position(F.col("header"), F.lit(name)).cast("int")
-        bad = bad | F.coalesce(not_a_number(F.get(F.col("fields"), at - 1)), F.lit(False))
-    reason = F.when(F.col("__broken"), "broken_quoting").when(count_off, "column_count").when(bad, "invalid_value")
-    return judged.withColumn("errors", once(F.array_compact(F.array(reason)))).drop("__broken")
+        values.append(F.when(~F.col("__broken") & ~count_off & F.coalesce(not_a_number(F.get(F.col("fields"), at - 1)), F.lit(False)), f"invalid_value: {name}"))
+    layout = F.when(F.col("__broken"), "broken_quoting").when(count_off, "column_count")
+    return judged.withColumn("errors", once(F.array_compact(F.array(layout, *values)))).drop("__broken")
 
 
 def rejects(classified: DataFrame) -> DataFrame:
-    """(line_id, reason) of the records that don't load."""
-    return classified.filter(F.size("errors") > 0).select("line_id", F.col("errors")[0].alias("reason"))
+    """(line_id, reason) of the records that don't load: the kind of the first reason."""
+    return classified.filter(F.size("errors") > 0).select("line_id", F.substring_index(F.col("errors")[0], ":", 1).alias("reason"))
 
 
 def loaded(classified: DataFrame, columns: Sequence[str], number_columns: Sequence[str]) -> DataFrame:

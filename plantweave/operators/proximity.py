@@ -1,4 +1,4 @@
-"""Points near other points (problem 3): curve cells, range join on codes, exact refinement."""
+"""Points near other points and in regions (problem 3): curve cells, range join on codes, exact refinement."""
 
 from __future__ import annotations
 
@@ -81,3 +81,44 @@ def near_pairs(points: DataFrame, radius_m: float, id_col: str = "id", lat_col:
     )
     once = hits.filter(~F.col("several")).drop("several")
     return once.unionByName(hits.filter("several").groupBy("id_a", "id_b").agg(F.min("metres").alias("metres")))
+
+
+#: Cells of a region's box in each direction, at most; sizes of cells are powers of two of a degree, from 2^-14 to 2^8.
+CELLS_ACROSS, LEVELS = 8, (-14, 8)
+
+
+def regions_holding(points: DataFrame, regions: DataFrame, id_col: str = "id", lat_col: str = "lat", lon_col: str = "lon") -> DataFrame:
+    """(id, region), each once: the regions that hold a point of the id. ``regions`` has region and ring (an array of
+    structs lat, lon: the corners in order, in degrees; edges are straight in degrees and don't cross the date line).
+
+    Rows with a null id or an unusable point and regions with a null name or fewer than three corners take no part; a
+    region of several rings is held where any of them holds. Points on an edge may count or not. Empty tables give no rows;
+    other columns are ignored. Each region is covered with cells of a size that fits it, so a box of any size has at most
+    (CELLS_ACROSS + 1) ** 2 of them; points are placed in a cell of each size that occurs (at most one a level of LEVELS),
+    cells are joined by equality, hot ones salted, and the exact test of the ring follows in the JVM.
+    """
+    spark = points.sparkSession
+    p = points.select(F.col(id_col).cast("string").alias("id"), F.col(lat_col).cast("double").alias("lat"), F.col(lon_col).cast("double").alias("lon"))
+    p = p.filter(F.col("id").isNotNull() & usable_point(F.col("lat"), F.col("lon"))).distinct()
+    r = regions.select(F.col("region").cast("string").alias("region"), "ring").filter("region is not null and size(ring) >= 3")
+    side = lambda f, c: f(F.transform("ring", lambda x: x[c]))
+    r = r.withColumns({"lat0": side(F.array_min, "lat"), "lat1": side(F.array_max, "lat"), "lon0": side(F.array_min, "lon"), "lon1": side(F.array_max, "lon")})
+    across = F.greatest(F.col("lat1") - F.col("lat0"), F.col("lon1") - F.col("lon0"), F.lit(2.0 ** LEVELS[0]))
+    r = r.withColumn("level", F.least(F.greatest(F.ceil(F.log2(across / CELLS_ACROSS)), F.lit(LEVELS[0])), F.lit(LEVELS[1])).cast("int"))
+    used = [x.level for x in r.select("level").distinct().collect()]  # at most one row a level
+    if not used:
+        return spark.createDataFrame([], "id string, region string")
+    at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    cells = r.withColumn("y", F.explode(F.sequence(at("lat0"), at("lat1")))).withColumn("x", F.explode(F.sequence(at("lon0"), at("lon1")))).withColumn("cell", F.xxhash64("level", "y", "x"))
+    placed = p.withColumn("level", F.explode(F.lit(used))).withColumns({"y": at("lat"), "x": at("lon")}).withColumn("cell", F.xxhash64("level", "y", "x"))
+    b, a = salted(placed.select("id", "lat", "lon", "cell"), cells.select("region", "ring", "lat0", "lat1", "lon0", "lon1", "cell"), "cell", "id", ROWS_PER_SALT)
+    a, b = a.alias("a"), b.alias("b")
+    box = F.col("b.lat").between(F.col("a.lat0"), F.col("a.lat1")) & F.col("b.lon").between(F.col("a.lon0"), F.col("a.lon1"))
+    hits = b.join(a, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.__salt") == F.col("b.__salt")) & box).select("id", "region", "lat", "lon", "ring")
+    last = F.slice("ring", -1, 1)
+    edges = F.arrays_zip(F.concat(last, F.slice("ring", F.lit(1), F.size("ring") - 1)).alias("p"), F.col("ring").alias("q"))
+    crosses = lambda e: ((e["p"]["lat"] > F.col("lat")) != (e["q"]["lat"] > F.col("lat"))) & (
+        F.col("lon") < (e["q"]["lon"] - e["p"]["lon"]) * (F.col("lat") - e["p"]["lat"]) / F.nullif(e["q"]["lat"] - e["p"]["lat"], F.lit(0.0)) + e["p"]["lon"]
+    )
+    inside = F.aggregate(edges, F.lit(False), lambda odd, e: odd != F.coalesce(crosses(e), F.lit(False)))
+    return hits.filter(inside).select("id", "region").distinct()

@@ -21,15 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``, else the context's checkpoint folder; only where
-    neither is set (local tests) a temporary one."""
+    """The folder the cluster names in ``spark.checkpoint.dir``, else the context's checkpoint folder. Where neither is set
+    a local master (tests) gets a temporary one; on a cluster that is an error, as executors don't share such folders."""
     named = spark.conf.get("spark.checkpoint.dir", None) or ""
     if not named:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = context.get() if context.isDefined() else os.path.join(tempfile.gettempdir(), "plantweave-shared")
+        if context.isDefined():
+            named = context.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            named = os.path.join(tempfile.gettempdir(), "plantweave-shared")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return named.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``, in whatever file system it names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table on shared storage and read it from there, so that lost executors cost no
     recomputation. The table is deleted when the driver ends."""

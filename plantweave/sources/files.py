@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..runtime import exists
+
 
 def text_schema(columns: Sequence[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
@@ -95,11 +97,23 @@ def read_config(path: str) -> Any:
 
 def read_optional(spark: SparkSession, path: str, schema: StructType, form: str = "csv") -> DataFrame:
     """The file's rows, or none with the same schema if there is no such file."""
-    if not os.path.exists(path.removeprefix("file://")):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return read_csv(spark, path, schema) if form == "csv" else spark.read.schema(schema).json(path)
 
 
+def config_dimension(spark: SparkSession, path: str, entries: str = "verticals", codes: str = "codes") -> DataFrame:
+    """(code, vertical, ratio) of a config whose ``entries`` map names to objects with a list of codes and a ratio (null if
+    missing); a code that two of them list is an error."""
+    rows, seen = [], {}
+    for name, entry in read_config(path)[entries].items():
+        for code in entry[codes]:
+            if seen.setdefault(str(code), name) != name:
+                raise ValueError(f"code {code} is listed by {seen[str(code)]} and {name}")
+            rows.append((str(code), name, None if entry.get("ratio") is None else float(entry["ratio"])))
+    return spark.createDataFrame(rows, "code string, vertical string, ratio double")
+
+
 def relation(spark: SparkSession, rows: list[tuple], schema: StructType | str, name: str) -> DataFrame:
     """Rows in memory as a registered relation; the schema holds for no rows too."""
     df = spark.createDataFrame(rows, schema)
@@ -109,7 +123,7 @@ def relation(spark: SparkSession, rows: list[tuple], schema: StructType | str, n
 
 def available(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
     """The parquet tables of ``names`` that exist in the folder."""
-    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names if os.path.exists(f"{folder}/{n}.parquet")}
+    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names if exists(spark, f"{folder}/{n}.parquet")}
 
 
 def flattened(df: DataFrame, paths: dict[str, str]) -> DataFrame:

@@ -99,6 +99,107 @@ class PagedFiles(DataSource):
         return Reader()
 
 
+@dataclass(frozen=True)
+class LeafPartition(InputPartition):
+    """A leaf range to be read, or a key whose ranges couldn't be planned, with the error."""
+
+    key: str
+    start: str
+    end: str
+    error: str | None = None
+
+
+class PagedService(DataSource):
+    """A search service read by ranges: format "paged_service".
+
+    Options: "service" ("module:factory", importable on the executors; the factory gives an object with count(key, start,
+    end) and page(key, start, end, number, sort)), "keys" (comma-separated), "start" and "end" (ISO dates), "sort" (handed
+    to the service), "cache" (a shared folder of finished ranges; none: no cache), "wait" (seconds of the first retry, 1).
+
+    Planning probes counts and splits ranges until each can be read; one partition a leaf. Calls are repeated with growing
+    waits. A key or range that fails for good doesn't fail the job: it gives one row with ``error``, see ``failed_ranges``.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "paged_service"
+
+    def schema(self) -> str:
+        return "key string, start string, end string, payload string, error string"
+
+    def reader(self, schema: Any) -> DataSourceReader:
+        options = dict(self.options)
+
+        def service() -> Any:
+            import importlib
+
+            module, factory = options["service"].split(":")
+            return getattr(importlib.import_module(module), factory)()
+
+        def retried(call: Callable[[], Any]) -> Any:
+            first = float(options.get("wait", "1"))
+            return patiently(call, wait=lambda s: time.sleep(min(s * first, LONGEST_WAIT_S)))
+
+        class Reader(DataSourceReader):
+            def partitions(self) -> list[InputPartition]:
+                start, end, s, out = date.fromisoformat(options["start"]), date.fromisoformat(options["end"]), service(), []
+                for key in options["keys"].split(","):
+                    try:
+                        found = list(leaves(key, start, end, lambda k, a, b: retried(lambda: s.count(k, a, b))))
+                        out += [LeafPartition(x.key, x.start.isoformat(), x.end.isoformat()) for x in found]
+                    except Exception as e:  # noqa: BLE001 - reported as a row
+                        out.append(LeafPartition(key, start.isoformat(), end.isoformat(), f"{type(e).__name__}: {e}"))
+                return out or [LeafPartition("", "", "", None)]
+
+            def read(self, partition: LeafPartition) -> Iterator[tuple]:
+                p = partition
+                at = (p.key, p.start, p.end)
+                if p.error is not None or not p.key:
+                    if p.error is not None:
+                        yield (*at, None, p.error)
+                    return
+                path = f"{options['cache']}/{p.key}_{p.start}_{p.end}.json" if options.get("cache") else None
+                try:
+                    rows = read_cached(path) if path else None
+                    if rows is None:
+                        s, a, b = service(), date.fromisoformat(p.start), date.fromisoformat(p.end)
+                        rows = list(pages(lambda n: retried(lambda: s.page(p.key, a, b, n, options.get("sort")))))
+                        if path:
+                            write_cached(path, rows)
+                except Exception as e:  # noqa: BLE001 - reported as a row
+                    yield (*at, None, f"{type(e).__name__}: {e}")
+                    return
+                for row in rows:
+                    yield (*at, json.dumps(row), None)
+
+        return Reader()
+
+
+def read_cached(path: str) -> list[dict] | None:
+    import os
+
+    if not os.path.exists(path):
+        return None
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def write_cached(path: str, rows: list[dict]) -> None:
+    """Written beside and moved into place, so that a lost executor leaves no half file."""
+    import os
+    import uuid
+
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with open(part, "w", encoding="utf-8") as f:
+        json.dump(rows, f)
+    os.replace(part, path)
+
+
+def failed_ranges(answers: Any) -> Any:
+    """(key, start, end, error) of what couldn't be read; the rest of ``answers`` is whole."""
+    return answers.filter("error is not null").select("key", "start", "end", "error")
+
+
 def geocode_answers(lines: Any) -> Any:
     """(id, lat, lon) from a batch geocoder's answer lines (column ``value``): lines with at least six fields and the
     status Match count; the fifth field after it holds "lon,lat"."""

@@ -20,9 +20,10 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_meta(df: DataFrame, path: str) -> dict:
-    """The one row of ``df`` as an indented JSON file."""
-    meta = json.loads(df.select(F.to_json(F.struct("*")).alias("j")).first().j)
+def write_meta(df: DataFrame, path: str, stamp: str | None = None) -> dict:
+    """The one row of ``df`` as an indented JSON file; with ``stamp`` the time of the export, in UTC, is added under that name."""
+    row = df.select(F.to_json(F.struct("*")).alias("j"), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at")).first()
+    meta = json.loads(row.j) | ({stamp: row["at"]} if stamp else {})
     with open(path, "w", encoding="utf-8") as f:
         json.dump(meta, f, indent=2, ensure_ascii=False)
     return meta

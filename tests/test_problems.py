@@ -8,7 +8,7 @@ import random
 import pytest
 
 from plantweave.operators.badrows import classify_lines, loaded, rejects
-from plantweave.operators.proximity import near_pairs
+from plantweave.operators.proximity import near_pairs, regions_holding
 
 NUMBERS = ("annual_average_employees", "total_hours_worked")
 
@@ -138,3 +138,30 @@ def test_well_formed_lines_read_as_the_csv_module_does(spark):
     got = {r.line_id: r for r in loaded(classify_lines(lines_df(spark, lines), NUMBERS), ["id", "note"], NUMBERS).collect()}
     for i, (a, b) in enumerate(values):
         assert (got[i + 1].id, got[i + 1].note) == (a.strip(" ") or None, b.strip(" ") or None)
+
+
+def test_all_reasons_are_kept(spark):
+    got = {r.line_id: r.errors for r in classify_lines(lines_df(spark, ["1,x,n,-2", "1,2,n", "1,x,n,2", '1,x,"n,2']), NUMBERS).collect()}
+    assert got == {1: ["invalid_value: annual_average_employees", "invalid_value: total_hours_worked"], 2: ["column_count"], 3: ["invalid_value: annual_average_employees"], 4: ["broken_quoting"]}
+
+
+def test_regions_against_brute_force(spark):
+    rng = random.Random(6)
+    points = [(f"p{i}", rng.uniform(-60, 60), rng.uniform(-170, 170)) for i in range(150)] + [(f"q{i}", 40 + rng.gauss(0, 0.01), -90 + rng.gauss(0, 0.01)) for i in range(150)]
+    points += [(None, 40.0, -90.0), ("bad", float("nan"), 1.0), ("out", 91.0, 0.0), ("q0", 0.0, 0.0)]
+    rings = {"world": [(-80, -175), (-80, 175), (80, 175), (80, -175)], "tiny": [(39.995, -90.005), (40.0, -89.99), (40.005, -90.005)], "bent": [(0, 0), (30, 10), (5, 10), (30, 40), (-10, 40)], "two": [(39.99, -90.01)], None: [(0, 0), (1, 0), (1, 1)]}
+    regions = [(k, [(float(a), float(b)) for a, b in v]) for k, v in rings.items()] + [("tiny", [(50.0, 50.0), (50.0, 51.0), (51.0, 51.0), (51.0, 50.0)])]
+
+    def holds(ring, lat, lon):
+        odd = False
+        for (a, b), (c, d) in zip([ring[-1], *ring[:-1]], ring):
+            if (a > lat) != (c > lat) and lon < (d - b) * (lat - a) / (c - a) + b:
+                odd = not odd
+        return odd
+
+    want = {(i, k) for i, lat, lon in points if i and -90 <= lat <= 90 for k, ring in regions if k and len(ring) > 2 and holds(ring, lat, lon)}
+    p = spark.createDataFrame([(*x, 1) for x in points], "id string, lat double, lon double, region int")
+    r = spark.createDataFrame([(*x, 2) for x in regions], "region string, ring array<struct<lat:double,lon:double>>, id int")
+    got = [tuple(x) for x in regions_holding(p, r).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len({k for _, k in want}) == 3
+    assert regions_holding(p.limit(0), r).count() == 0 and regions_holding(p, r.limit(0)).count() == 0
