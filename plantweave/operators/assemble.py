@@ -20,7 +20,7 @@ def assemble_places(members: DataFrame, keys: Sequence[str], order: str, first:
     out += [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in present]
     out += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in last]
     out += [F.bool_or(F.coalesce(c, F.lit(False))).alias(n) for n, c in (anyof or {}).items()]
-    ids = F.transform(F.array_sort(F.collect_list(F.struct(order, "member_id"))), lambda x: x["member_id"])
+    ids = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("member_id").alias("m")))), lambda x: x["m"])
     return members.groupBy(*keys).agg(*out, F.count(F.lit(1)).alias("n_members"), ids.alias("member_ids"), F.array_sort(F.collect_set("source")).alias("sources"))
 
 
@@ -64,7 +64,7 @@ def attribution_note(total: Column, n: Column, shared: Column) -> Column:
 
 def capacity(headcount: Column, ratio: Column, per_unit: float, cap: Column) -> Column:
     """Whole units for the share of the headcount, not more than ``cap``; null without a headcount."""
-    return F.least(F.floor(headcount * ratio / per_unit), cap)
+    return F.when(headcount.isNotNull(), F.least(F.floor(headcount * ratio / per_unit), cap))
 
 
 def filled(df: DataFrame, lookup: DataFrame, keys: Sequence[str], columns: Sequence[str], missing: Column) -> DataFrame:

@@ -159,7 +159,7 @@ _RATIO = "CASE facility_vertical WHEN 'airframe' THEN 0.2 WHEN 'heavy_vehicle' T
 _CAP = """CAST(floor(CASE WHEN m3 <= 0 THEN 12 WHEN m3 <= 20 THEN 12 + m3 * (4.0 / 20) WHEN m3 <= 45 THEN 16 + (m3 - 20) * (8.0 / 25)
   WHEN m3 <= 70 THEN 24 + (m3 - 45) * (4.0 / 25) WHEN m3 <= 100 THEN 28 + (m3 - 70) * (4.0 / 30) ELSE 32 END) AS BIGINT)"""
 _CELLS = f"""{_FULL}, m AS (SELECT *, round((size + coalesce(voc_pct, 0) + permit) / 3, 3) AS m3, CASE WHEN employee_count <= 41250 THEN employee_count END AS heads FROM full_score),
-cells AS (SELECT *, {_CAP} AS cap, least(CAST(floor(heads * {_RATIO} / 4) AS BIGINT), {_CAP}) AS cells FROM m)"""
+cells AS (SELECT *, {_CAP} AS cap, CASE WHEN heads IS NOT NULL THEN least(CAST(floor(heads * {_RATIO} / 4) AS BIGINT), {_CAP}) END AS cells FROM m)"""
 
 
 def with_cells(spark: SparkSession, sf: str) -> DataFrame:

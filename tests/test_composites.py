@@ -38,8 +38,8 @@ def test_accounts_patterns_and_notes(spark):
     df = spark.createDataFrame([("a", "The Acme Works"), ("a", "ZED-7"), ("a", "Acmeville"), ("b", None), (None, "Acme")], "acc string, n string")
     hits = {r.acc: r.hits for r in A.pattern_hits(df, "acc", F.col("n"), {"z": ["ZED"], "acme": ["ACME"]}).collect()}
     assert hits == {"a": ["acme", "z"], None: ["acme"]}
-    notes = spark.createDataFrame([(None, None, None), (5.0, 2, True), (1234.5, 3, False)], "t double, n int, s boolean").select(A.attribution_note(F.col("t"), F.col("n"), F.col("s")).alias("x"))
-    assert [r.x for r in notes.collect()] == ["no awards in this city", "2 awards shared by places in this city", "3 awards, 1,234"] or [r.x for r in notes.collect()][2].startswith("3 awards, 1,23")
+    notes = spark.createDataFrame([(None, None, None), (5.0, 2, True), (1234.4, 3, False)], "t double, n int, s boolean").select(A.attribution_note(F.col("t"), F.col("n"), F.col("s")).alias("x"))
+    assert [r.x for r in notes.collect()] == ["no awards in this city", "2 awards shared by places in this city", "3 awards, 1,234"]
     caps = spark.createDataFrame([(100.0,), (None,), (9_999.0,)], "h double").select(A.capacity(F.col("h"), F.lit(0.2), 4, F.lit(12)).alias("c"))
     assert [r.c for r in caps.collect()] == [5, None, 12]
 
