@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_M, haversine_m
-from ..functions.text import DROPPED_WORDS, SITE_LABELS, STATES, company_key
+from ..functions.text import DROPPED_WORDS, SITE_LABELS, STATES, company_key, company_shaped, name_similarity
 from ..runtime import cut
+from .graph import components
 
 # Metres and ratio of the clustering tiers, records a bucket may have, and confidences.
 NEAR_M, SAME_M, SPAN_M, CONSENSUS_M, ALIKE, BUCKET = 750.0, 50.0, 1_500.0, 100.0, 0.6, 500
@@ -45,14 +46,20 @@ def split_oversized(records: DataFrame, cap: int = BUCKET) -> DataFrame:
 
 
 def near_in_bucket(records: DataFrame, metres: float = NEAR_M) -> DataFrame:
-    """(account, id_a, id_b, metres): pairs of records of one account within ``metres``; a band of latitude as an
-    equi-join key keeps large accounts from comparing all their pairs."""
+    """(account, id_a, id_b, metres): pairs of records of one account within ``metres``. The key of the join is the account,
+    a band of latitude and a cell of longitude whose width fits its band, so that large accounts compare neighbours only; the
+    last cell of a band borders on its first."""
     step = metres / EARTH_RADIUS_M * 57.29577951308232 * 1.000001
+    # Cells of a band: as many as are at least ``step`` of arc wide at its end nearer to a pole, whose neighbours count too.
+    pole = F.least((F.greatest(F.abs(F.col("band")), F.abs(F.col("band") + 1)) + 1) * step, F.lit(90.0))
+    cells = F.greatest(F.floor(F.cos(F.radians(pole)) * (360.0 / step)), F.lit(1))
+    cell = F.least(F.floor((F.col("lon") + 180) / 360 * F.col("cells")), F.col("cells") - 1)
     p = records.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).withColumn("band", F.floor(F.col("lat") / step))
-    a = p.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("a")
-    b = p.alias("b")
+    a = p.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).withColumn("cells", cells).withColumn("cell", cell)
+    a = a.withColumn("cell", F.explode(F.array_distinct(F.array(*(F.pmod(F.col("cell") + k, F.col("cells")) for k in (-1, 0, 1)))))).alias("a")
+    b = p.withColumn("cells", cells).withColumn("cell", cell).alias("b")
     d = haversine_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
-    on = (F.col("a.account") == F.col("b.account")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & (d <= metres)
+    on = (F.col("a.account") == F.col("b.account")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")) & (d <= metres)
     return a.join(b, on).select("a.account", F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), d.alias("metres"))
 
 
@@ -188,7 +195,8 @@ def cluster(records: DataFrame, cap: int = BUCKET) -> tuple[DataFrame, DataFrame
     """(members, review) of records (account, id, name, address_key, lat, lon).
 
     Accounts of up to ``cap`` records, so groups of a bounded size, go through ``cluster_rows`` in Python, many in one batch, as its
-    result depends on the order of the pairs; in larger accounts every record stays alone. Order is by id.
+    result depends on the order of the pairs; in larger accounts every record stays alone, as the guard says; ``cluster_large``
+    is the way to cluster those too. Order is by id.
     """
     sized = split_oversized(records, cap)
     small = sized.filter("not oversized and size > 1").withColumn("idx", F.row_number().over(Window.partitionBy("account").orderBy("id")))
@@ -205,6 +213,26 @@ def cluster(records: DataFrame, cap: int = BUCKET) -> tuple[DataFrame, DataFrame
     return members.unionByName(alone), review.select("account", "record_a", "record_b", "metres", "similarity")
 
 
+def cluster_large(records: DataFrame) -> DataFrame:
+    """(account, id, cluster) of records (account, id, name, address_key, lat, lon) of accounts of any size: the connected
+    components of the links that ``cluster_rows`` makes - equal address keys; within SAME_M and a name that is no
+    company's; within NEAR_M and names alike - without the order of pairs, on which tiers and reviews depend. No group is
+    held in one task. Null names are no company's; rows of a null id or account are left out. ``cluster`` is a number."""
+    own = records.filter("account is not null and id is not null").withColumn("node", F.xxhash64("account", "id"))
+    keyed = own.filter("address_key is not null")
+    hub = keyed.groupBy("account", "address_key").agg(F.min("node").alias("h"))
+    links = keyed.join(hub, ["account", "address_key"]).filter("node <> h").select(F.col("h").alias("node_a"), F.col("node").alias("node_b"))
+    near = near_in_bucket(own)
+    for side in ("a", "b"):
+        named = own.select("account", F.col("id").alias(f"id_{side}"), F.col("name").alias(f"name_{side}"), F.col("node").alias(f"node_{side}"), company_shaped(F.col("name")).alias(f"shaped_{side}"))
+        near = near.join(named, ["account", f"id_{side}"])
+    near = cut(near)
+    same = (F.col("metres") <= SAME_M) & ~(F.col("shaped_a") & F.col("shaped_b"))
+    alike = near.filter(~same).withColumn("r", name_similarity(F.col("name_a"), F.col("name_b"))).filter(F.col("r") >= ALIKE)
+    links = links.unionByName(near.filter(same).select("node_a", "node_b")).unionByName(alike.select("node_a", "node_b"))
+    return own.join(components(links), "node", "left").select("account", "id", F.coalesce("place", "node").alias("cluster"))
+
+
 def _cell(size: float) -> Column:
     return F.floor((F.col("lat") + 90) / size) * 1_000_000 + F.floor((F.col("lon") + 180) / size)
 

@@ -458,6 +458,12 @@ def q_cluster_full(spark: SparkSession, sf: str) -> DataFrame:
     return V.cluster(_cluster_input(spark, sf))[0]
 
 
+@query()
+def q_cluster_any_size(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of all accounts, those over the guard too; tests hold them against a brute-force version."""
+    return V.cluster_large(_cluster_input(spark, sf))
+
+
 @query()
 def q_cluster_review(spark: SparkSession, sf: str) -> DataFrame:
     return V.cluster(_cluster_input(spark, sf))[1]

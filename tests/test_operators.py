@@ -248,3 +248,51 @@ def test_diameters_of_groups_of_any_size(spark, tmp_path):
     many = [("BIG", f"b{i:03}", 30.0 + i / 100, -90.0, None, None) for i in range(601)]
     spark.createDataFrame(many, "account_id string, facility_id string, latitude double, longitude double, voc_tons_2020 double, dart_rate double").write.parquet(str(tmp_path / "facilities.parquet"))
     assert [(r.grp, r.metres) for r in q_cluster_diameter(spark, str(tmp_path)).collect()] == [("BIG", pytest.approx(6 * 111_194.93, abs=1))]
+
+
+def test_neighbours_on_the_whole_globe(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice("ab"), f"{i:04d}", lat + rng.gauss(0, 0.004), lon + rng.gauss(0, 0.004 / max(math.cos(math.radians(lat)), 0.01))) for i in range(400) for lat, lon in [rng.choice(((0.0, 10.0), (45.0, 179.999), (45.0, -179.999), (-70.0, 20.0), (89.9, 100.0)))]]
+    rows = [(a, i, max(-90.0, min(90.0, x)), (y + 180) % 360 - 180) for a, i, x, y in rows]
+    df = spark.createDataFrame(rows, "account string, id string, lat double, lon double")
+
+    def metres(p, q):
+        f, g = math.radians(p[2]), math.radians(q[2])
+        h = math.sin((g - f) / 2) ** 2 + math.cos(f) * math.cos(g) * math.sin(math.radians(q[3] - p[3]) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(math.sqrt(min(1, h)))
+
+    want = {(p[1], q[1]) for p in rows for q in rows if p[0] == q[0] and p[1] < q[1] and metres(p, q) <= 750}
+    got = [(r.id_a, r.id_b) for r in V.near_in_bucket(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+
+
+def test_clusters_of_any_size_against_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    names = ["Acme Metal", "Acme Metals Inc", "Zebra Forge", "12_345", None, "Plant 7"]
+    rows = [("big" if i < 120 else "b", f"{i:03d}", rng.choice(names), rng.choice([None, None, None, f"K{rng.randint(0, 40)}"]), 40 + rng.randint(0, 60) * 0.004, -90.0 + rng.randint(0, 2) * 0.0003) for i in range(150)]
+    rows += [("b", "x1", "Lone", None, None, None), (None, "x2", "Lone", None, None, None)]
+    df = spark.createDataFrame(rows, "account string, id string, name string, address_key string, lat double, lon double")
+    parent = {(r[0], r[1]): (r[0], r[1]) for r in rows if r[0]}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, p in enumerate(rows):
+        for q in rows[:i]:
+            if not p[0] or p[0] != q[0]:
+                continue
+            hit = p[3] is not None and p[3] == q[3]
+            if not hit and p[4] is not None and q[4] is not None:
+                m = V._metres(__import__("numpy").array([p[4], q[4]]), __import__("numpy").array([p[5], q[5]]))[0, 1]
+                shaped = V._shaped(p[2] or "") and V._shaped(q[2] or "")
+                a, b = V._key(p[2] or ""), V._key(q[2] or "")
+                hit = (m <= V.SAME_M and not shaped) or (m <= V.NEAR_M and bool(a and b) and SequenceMatcher(None, a, b).ratio() >= V.ALIKE)
+            if hit:
+                parent[find((p[0], p[1]))] = find((q[0], q[1]))
+    groups = lambda pairs: {frozenset(k for k, c in pairs if c == g) for g in {c for _, c in pairs}}
+    got = [((r.account, r.id), r.cluster) for r in V.cluster_large(df).collect()]
+    assert len(got) == len(parent) and groups(got) == groups([(k, find(k)) for k in parent])
