@@ -30,13 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..operators.graph import components
 from ..runtime import checked_broadcast, cut, salted
 from .addresses import PARTS, location_links, packed_parts
-from .names import Reader, _swapped, edits, follow, learnt_words
+from .names import Reader, _swapped, edits, learnt_words
 
 #: Weights of the rules; evidence and the nameless rule are squared hinges, the others linear.
 WEIGHTS = {"alike": 5.0, "record": 5.0, "nameless": 2.0, "prior": 0.15, "two_records": 1.0, "one_plant": 20.0, "transitive": 20.0}
 ACCEPT, ALIKE, STEP, TOLERANCE, ROUNDS = 0.55, 0.7, 3.0, 2e-4, 2_000
+#: Rows of names that are solved together.
+SOLVED_AT_ONCE = 50_000
 #: Sources in which a plant is one record; a record of another source is a company.
 ONE_RECORD = ("epa", "osha")
 
@@ -236,16 +239,17 @@ def operators_of(names: DataFrame) -> DataFrame:
     records (op null), if there is one; a name that isn't listed is its own operator."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for b in batches:
-            b = b if held is None else pd.concat([held, b], ignore_index=True)
-            if len(b):
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= SOLVED_AT_ONCE:
+                b = pd.concat(held, ignore_index=True)
                 whole = b["place"] != b["place"].iat[-1]  # the last place may go on in the next batch
-                held = b[~whole]
+                held = [b[~whole]]
                 if whole.any():
                     yield solve_places(b[whole])
-        if held is not None and len(held):
-            yield solve_places(held)
+        if sum(map(len, held)):
+            yield solve_places(pd.concat(held, ignore_index=True))
 
     return names.repartition("place").sortWithinPartitions("place").mapInPandas(run, "place long, op string, hub string, value double")
 
@@ -280,30 +284,6 @@ def _read(base: DataFrame, reader: Reader) -> DataFrame:
     return split.select("record", "source", *(F.nullif(F.col("p")[k], F.lit("")).alias(n) for k, n in enumerate(PARTS)), ops)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, place) of the nodes of ``links`` (node_a, node_b): the least node of the connected component.
-
-    Each node takes the least of its neighbours and itself; links between nodes that then differ, few unless components are
-    long, are contracted and treated alike until none is left, and the steps are followed to their ends.
-    """
-    both = cut(links.unionByName(links.select(F.col("node_b").alias("node_a"), F.col("node_a").alias("node_b"))))
-    least = lambda e: e.groupBy(F.col("node_a").alias("node")).agg(F.least(F.min("node_b"), F.first("node_a")).alias("to"))
-    first = cut(least(both))
-    steps, edges, low = None, both, first
-    while True:
-        left = edges.join(low.select(F.col("node").alias("node_a"), F.col("to").alias("a")), "node_a").join(low.select(F.col("node").alias("node_b"), F.col("to").alias("b")), "node_b")
-        edges = cut(left.filter("a <> b").select(F.col("a").alias("node_a"), F.col("b").alias("node_b")).distinct())
-        if not edges.limit(1).count():
-            break
-        low = cut(least(edges))
-        moved = low.filter("node <> to").select(F.col("node").alias("key"), "to")
-        steps = moved if steps is None else steps.unionByName(moved)
-    if steps is None:
-        return first.withColumnRenamed("to", "place")
-    ends = follow(cut(steps))
-    return first.join(ends.select(F.col("key").alias("to"), F.col("to").alias("end")), "to", "left").select("node", F.coalesce("end", "to").alias("place"))
-
-
 def _placed(rows: DataFrame, edits_most: int = 3) -> DataFrame:
     """(record, source, place, op): rows without an address that name an operator, each with the place it goes to.
 

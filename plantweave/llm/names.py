@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import DROPPED_WORDS, STATES
+from ..operators.graph import follow
 from ..runtime import checked_broadcast, cut, once, salted
 from .addresses import plain
 
@@ -118,7 +119,7 @@ class Reader:
         self.readings, self.cached = lru_cache(200_000)(self._readings), lru_cache(100_000)(self.organisation)
 
     def __reduce__(self) -> tuple:
-        return Reader, (self.trades, self.general)
+        return _reader, (self.trades, self.general)  # one a worker process, with what it remembers
 
     def _slips(self, token: str, word: str) -> int:
         """Edits, two swapped neighbours being one; 3 stands for more than two."""
@@ -236,6 +237,11 @@ class Reader:
         return words, sorted(set(initials)), sorted(trades or ()), min(2, len(words)) if label else len(words)
 
 
+@lru_cache(4)
+def _reader(trades: tuple[str, ...], general: tuple[str, ...]) -> Reader:
+    return Reader(trades, general)
+
+
 # --- what a column teaches --------------------------------------------------------------------------------------
 
 
@@ -441,17 +447,6 @@ def radius_pairs(names: DataFrame, words: DataFrame, radius: int = RADIUS, pivot
     return pairs.groupBy("a", "b").agg(best.alias("p"), F.min("d").alias("d")).select("a", "b", "p.own", "p.other", "d")
 
 
-def follow(steps: DataFrame) -> DataFrame:
-    """(key, to) with every chain of steps followed to its end; each round doubles the length followed, until nothing
-    changes. Steps lead to better supported words, so there are no rings."""
-    while True:
-        onward = steps.select(F.col("key").alias("to"), F.col("to").alias("further"))
-        longer = cut(steps.join(onward, "to", "left").select("key", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
-        steps = longer.drop("moved")
-        if not longer.filter("moved").limit(1).count():
-            return steps
-
-
 def corrections(names: DataFrame, words: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS) -> DataFrame:
     """(id, words): the names whose words give way to better supported ones in near names, words in order.
 

@@ -42,7 +42,17 @@ NAME_CUES = (
     "contact", "from:", "to:", "cc:", "attn", "attn:", "signed by", "signed for by", "witnessed by", "according to", "injured worker,", "regards,", "sincerely,", "visited with", "met with",
     "my name is", "named", "según", "llame a", "firmado por", "me llamo", "mi nombre es", "llamado", "llamada",
 )
-_CUE_END = {c: c.split()[-1] for c in NAME_CUES}
+
+
+def _anchored(cue: str) -> tuple[str, re.Pattern | None, re.Pattern]:
+    """(the longest word of the phrase, what must end right before it, the phrase from it on)."""
+    words = cue.split()
+    k = max(range(len(words)), key=lambda i: (len(words[i]), -i))
+    before = re.compile(r"(?<!\w)" + r"\s+".join(map(re.escape, words[:k])) + r"\s+$", re.I) if k else None
+    return words[k], before, re.compile(r"\s+".join(map(re.escape, words[k:])), re.I)
+
+
+_CUES = [_anchored(c) for c in NAME_CUES]
 _NAME_AT = re.compile(rf"{_S}(?P<title>{_TITLE}{_S})?(?P<v>{_NAME}){_ENDS}", re.I)
 _TITLED_AT = re.compile(rf"\.?{_S}(?P<v>{_NAME}){_ENDS}")
 TITLES = ("Dr", "Mr", "Mrs", "Ms", "Sr", "Sra", "Prof", "Inspector", "Foreman", "Supervisor", "Manager", "Engineer", "Officer", "Captain")
@@ -107,7 +117,7 @@ _HAS_ROUTE = re.compile(_ROUTE, re.I)
 _DIGIT = re.compile(r"\d")
 
 
-_DISGUISED = re.compile(r"[\[({]\s*at\s*[\])}]|\s+at\s+\S+\s+dot\s", re.I)
+_BRACKETED_AT = re.compile(r"[\[({]\s*at\s*[\])}]", re.I)
 
 
 def _cued(text: str) -> Iterator[tuple[bool, re.Match]]:
@@ -116,19 +126,13 @@ def _cued(text: str) -> Iterator[tuple[bool, re.Match]]:
     low = text.lower()
     if len(low) != len(text):  # a letter whose lower case is longer
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    for cue, last in _CUE_END.items():
-        k = low.find(last)
+    for word, before, phrase in _CUES:
+        k = low.find(word)
         while k >= 0:
-            end = k + len(last)
-            if " " not in cue:
-                begins = k == 0 or not (low[k - 1].isalnum() or low[k - 1] == "_")
-            else:
-                before = low[max(0, k - 40) : end].split()
-                n = cue.count(" ") + 1
-                begins = " ".join(before[-n:]) == cue or (len(before) >= n and " ".join(before[-n:]).endswith(cue) and not (x := before[-n][: -len(cue.split()[0])])[-1:].isalnum() and x[-1:] != "_")
-            if begins and (m := _NAME_AT.match(text, end)):
+            begins = before.search(text[max(0, k - 30) : k]) if before else k == 0 or not (low[k - 1].isalnum() or low[k - 1] == "_")
+            if begins and (at := phrase.match(text, k)) and (m := _NAME_AT.match(text, at.end())):
                 yield True, m
-            k = low.find(last, end)
+            k = low.find(word, k + len(word))
     for title in TITLES:
         k = text.find(title)
         while k >= 0:
@@ -206,7 +210,7 @@ def candidates(text: str) -> list[tuple[int, int, str, float]]:
     for s, e in _uncued(text, names):
         given = any(t.lower() in GIVEN for t in re.findall(_W, text[s:e]))
         add(s, e, "NAME", w["prior"]["NAME"] + w["given"] * given + w["verb"] * bool(VERB_AFTER.match(text, e)))
-    if "@" in text or _DISGUISED.search(text):
+    if "@" in text or "dot" in text.lower() or _BRACKETED_AT.search(text):
         for m in EMAIL.finditer(text):
             add(*m.span("v"), "EMAIL", w["prior"]["EMAIL"])
     if _DIGIT.search(text):

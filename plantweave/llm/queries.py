@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..runtime import cut, table
 from .addresses import PARTS, location_links, same_location, with_parts
-from .linkage import components, link_records, memberships
+from .linkage import link_records, memberships
 from .names import organisations, spelling_pairs
 from .leakage import leaks
 from .packing import audit, pack, token_sizes

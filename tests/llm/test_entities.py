@@ -222,8 +222,9 @@ def test_linkage_needs_the_field(spark, monkeypatch):
 
 def test_places_of_any_chain(spark):
     links = [(i, i + 1) for i in range(1, 24)] + [(100, 50), (50, 75), (75, 60), (7_000, 7_001)]
-    got = {r.node: r.place for r in L.components(spark.createDataFrame([tuple(sorted(x)) for x in links], "node_a long, node_b long")).collect()}
-    assert got == {**dict.fromkeys(range(1, 25), 1), **dict.fromkeys((50, 60, 75, 100), 50), 7_000: 7_000, 7_001: 7_000}
+    rows = L.components(spark.createDataFrame([tuple(sorted(x)) for x in links], "node_a long, node_b long")).collect()
+    got = {r.node: r.place for r in rows}
+    assert len(got) == len(rows) and got == {**dict.fromkeys(range(1, 25), 1), **dict.fromkeys((50, 60, 75, 100), 50), 7_000: 7_000, 7_001: 7_000}
     assert L.components(spark.createDataFrame([], "node_a long, node_b long")).count() == 0
 
 
