@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,25 +44,58 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table on shared storage and read it from there, so that lost executors cost no
-    recomputation. The table is deleted when the driver ends."""
+    recomputation. The table is deleted by ``keep_only`` or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/plantweave-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not _WRITTEN:
         atexit.register(_delete_written)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _own_tables().append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_table"] = path
+    return out
+
+
+def _own_tables() -> list[str]:
+    """Paths of the tables that this thread has written and not yet deleted."""
+    if not hasattr(_LOCAL, "tables"):
+        _LOCAL.tables = []
+    return _LOCAL.tables
+
+
+def tables_written() -> int:
+    """How many tables of this thread there are: a mark for ``keep_only``."""
+    return len(_own_tables())
+
+
+def keep_only(mark: int, *kept: DataFrame) -> None:
+    """Delete the tables this thread has cut since ``mark``, but those of ``kept``, from which alone the caller goes on. The
+    driver's garbage is collected, as shuffle files go with the plans that made them."""
+    tables = _own_tables()
+    stay = {df.__dict__.get("_table") for df in kept}
+    gone = {p for p in tables[mark:] if p not in stay}
+    for spark, path in [x for x in _WRITTEN if x[1] in gone]:
+        _delete(spark, path)
+        _WRITTEN.remove((spark, path))
+    for df in kept[:1]:
+        df.sparkSession._jvm.System.gc()
+    tables[mark:] = [p for p in tables[mark:] if p in stay]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_LOCAL = threading.local()
 
 
 def _delete_written() -> None:
     for spark, path in _WRITTEN:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session has ended; the cluster's own clean-up is left
             return
 

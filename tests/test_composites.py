@@ -187,3 +187,12 @@ def test_shell(spark, tmp_path, capsys):
     assert shell.main(["run", "q_topn", str(tmp_path), str(tmp_path / "out")]) == 0 and spark.read.parquet(str(tmp_path / "out")).count() == 1
     with pytest.raises(SystemExit):
         shell.main(["run", "none", str(tmp_path)])
+
+
+def test_tables_no_longer_needed_are_deleted(spark):
+    mark = runtime.tables_written()
+    a, b = runtime.cut(spark.range(3)), runtime.cut(spark.range(4))
+    c = runtime.cut(a.union(b))
+    paths = [x.__dict__["_table"] for x in (a, b, c)]
+    runtime.keep_only(mark, c)
+    assert [runtime.exists(spark, p) for p in paths] == [False, False, True] and c.count() == 7 and runtime.tables_written() == mark + 1
