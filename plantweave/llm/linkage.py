@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..operators.graph import components
-from ..runtime import checked_broadcast, cut, salted
+from ..runtime import checked_broadcast, cut, keep_only, salted, tables_written
 from .addresses import PARTS, location_links, packed_parts
 from .names import Reader, _swapped, edits, learnt_words
 
@@ -337,16 +337,19 @@ def memberships(records: DataFrame) -> DataFrame:
     plant of that ZIP code or, if that has none, of that city; where there are several it stays out, and where
     there is none, rows without an address meet under operator and city.
     """
+    mark = tables_written()
     base = records.filter("record is not null").select("record", "source", "names", *(F.col(c).cast("string").alias(c) for c in ("address", "city", "state", "zip_code")))
     strings = base.select(F.explode("names").alias("name")).filter("name is not null").distinct()
     read = cut(_read(base, Reader(*learnt_words(strings))).withColumn("node", F.when(F.col("number").isNotNull(), F.xxhash64(*PARTS))))
     places = components(location_links(read.filter("node is not null").select("node", *PARTS).distinct()))
     rows = read.select("record", "source", "node", "type", "zip", "town", F.explode_outer("ops").alias("op")).join(places, "node", "left")
     rows = cut(rows.withColumn("place", F.coalesce("place", "node")).drop("node"))
+    keep_only(mark, rows)
     near = rows.filter("place is not null").select("record", "source", "place", "op", F.when(F.col("op").isNotNull(), _evidence(False)).otherwise(0.97).alias("value"))
     far = _placed(rows).withColumn("value", _evidence(True))
     members = near.unionByName(far).groupBy("record", "source", "place", "op").agg(F.max("value").alias("value"))
     members = cut(members)
+    keep_only(mark, members)
     bit = F.lit(0)
     for k, source in enumerate(ONE_RECORD):
         bit = F.when(F.col("source") == source, 1 << k).otherwise(bit)
@@ -365,7 +368,9 @@ def memberships(records: DataFrame) -> DataFrame:
 def link_records(records: DataFrame) -> DataFrame:
     """(record_a, record_b, confidence), record_a < record_b: records of different sources that describe one plant, with a
     confidence of ACCEPT or more; see ``memberships`` for records and cases."""
+    mark = tables_written()
     belongs = cut(memberships(records).filter(F.col("value") >= ACCEPT))
+    keep_only(mark, belongs)
     build, probe = salted(belongs, belongs, "plant", "record", 20_000)
     a, b = probe.alias("a"), build.alias("b")
     match = F.col("a.value") + F.col("b.value") - 1

@@ -24,7 +24,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.text import DROPPED_WORDS, STATES
 from ..operators.graph import follow
-from ..runtime import checked_broadcast, cut, once, salted
+from ..runtime import checked_broadcast, cut, keep_only, once, salted, tables_written
 from .addresses import plain
 
 #: Legal forms and the general words that company keys drop anyway.
@@ -510,6 +510,7 @@ def organisations(names: DataFrame, column: str = "name", radius: int = RADIUS)
     trade. A name whose trade is missing, misspelt or ambiguous, or that has one word (with or without an initial), goes to
     the one organisation that agrees with it, and stays alone where several do.
     """
+    mark = tables_written()
     strings = cut(names.select(F.col(column).cast("string").alias("name")).filter("name is not null").distinct())
     reader = Reader(*learnt_words(strings))
     parsed = cut(_without_places(parsed_names(strings, reader=reader)).withColumn("words", F.array_sort("words")))
@@ -524,6 +525,7 @@ def organisations(names: DataFrame, column: str = "name", radius: int = RADIUS)
     led = checked_broadcast(follow(cut(changed)), SMALL)
     full = parsed.withColumn("key", key).join(led, "key", "left").withColumn("key", F.substring_index(F.coalesce("to", "key"), "|", 1)).drop("to")
     full = cut(full.withColumn("words", F.filter(F.split("key", " "), lambda x: x != "")))
+    keep_only(mark, full)
     sure = full.filter((F.size("words") >= 2) & (F.size("trades") == 1)).select("name", "key", "words", F.col("trades")[0].alias("trade"))
     orgs = cut(sure.groupBy("key", "trade").agg(F.first("words").alias("owords")))
     # A word too many may be a trade that is misspelt beyond reading.
@@ -555,7 +557,9 @@ def organisations(names: DataFrame, column: str = "name", radius: int = RADIUS)
 
 def spelling_pairs(names: DataFrame, column: str = "name") -> DataFrame:
     """(name_a, name_b), name_a < name_b in byte order: different strings that name the same organisation."""
+    mark = tables_written()
     members = cut(organisations(names, column))
+    keep_only(mark, members)
     b, a = salted(members, members, "org", "name", 20_000)
     a, b = a.alias("a"), b.alias("b")
     on = (F.col("a.org") == F.col("b.org")) & (F.col("a.__salt") == F.col("b.__salt")) & (F.col("a.name") < F.col("b.name"))
