@@ -159,7 +159,7 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, errors:
     known = spark.sparkContext.broadcast(bitmap(runs, bits))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (whole.iloc[k : k + 500] for whole in batches for k in range(0, len(whole), 500)):
             split = [words_of(t) for t in batch["text"]]
             sizes = np.array([len(w) for w in split], dtype=np.int64)
             ids = hashed([w for ws in split for w in ws])
