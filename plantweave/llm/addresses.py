@@ -37,6 +37,10 @@ _NUMBER = re.compile(r"\d+")
 _STUCK_SAINT, _STUCK = re.compile(r"^(\W*\d+)(ST\.?\s+[A-Z])"), re.compile(r"(?<![A-Z0-9])(\d+)(?!(?:ST|ND|RD|TH)\b)([A-Z][A-Z.])")
 _RANGE, _BEFORE_ROUTE, _SIGNS = re.compile(r"(?<![\w])(\d+)\s*[-–]\s*\d+(?=\s)"), re.compile(r"^[\s,\d]*(?:[A-Z]+\.?\s+)?$"), re.compile(r"[^A-Z0-9' ]+")
 _ORDINAL = re.compile(r"^\d+(?:ST|ND|RD|TH)$")
+#: What every numbered route, and every number written together with a word, has in it; few addresses do.
+_MAY_ROUTE, _MAY_STICK = re.compile(r"[A-Z][.\s#-]*\d"), re.compile(r"\d[A-Z]")
+_UNIT_WORDS = ("#", "STE", "SUITE", "UNIT", "BLDG", "BUILDING", "DOCK", "GATE", "APT", "ROOM", "RM", "LOT", "BAY", "HANGAR", "FL", "REAR")
+_FIRST = {"N": "NORTH", "NO": "NORTH", "S": "SOUTH", "SO": "SOUTH", "E": "EAST", "W": "WEST"} | PREFIXES
 
 
 def _near(a: str, b: str) -> bool:
@@ -87,14 +91,19 @@ def city_key(city: str | None, state: str | None) -> str | None:
     t = re.sub(r"[^A-Z0-9 ]+", " ", plain(city)).split()
     if not t:
         return None
-    first = {"N": "NORTH", "NO": "NORTH", "S": "SOUTH", "SO": "SOUTH", "E": "EAST", "W": "WEST"} | PREFIXES
-    return " ".join([first.get(t[0], t[0]) if len(t) > 1 else t[0], *t[1:]]) + "|" + plain(state or "")
+    return _written_out(t) + "|" + plain(state or "")
+
+
+def _written_out(words: list[str]) -> str:
+    return " ".join([_FIRST.get(words[0], words[0]), *words[1:]]) if len(words) > 1 else words[0]
 
 
 def zip5(code: str | None) -> str | None:
     """First five digits; a code that lost its leading zero gets it back."""
     if not code:
         return None
+    if len(code) == 5 and code.isascii() and code.isdigit():
+        return code if code != "00000" else None
     head = code.strip().split("-")[0]
     digits = re.sub(r"\D", "", head)
     if len(digits) in (4, 8):
@@ -110,7 +119,7 @@ def _street_end(words: list[str], i: int, town: str | None) -> tuple[int, int]:
         tail -= 1
     if tail > i + 1 and words[tail - 1] in STATES and (tail < len(words) or words[tail - 1] not in TYPES):
         tail -= 1
-    if n and tail - n > i and _near((city_key(" ".join(words[tail - n : tail]), "") or "|")[:-1], town):
+    if n and tail - n > i and _near(_written_out(words[tail - n : tail]), town):
         tail -= n
     tail = next((j for j in range(i + 1, tail) if words[j][0].isdigit()), tail)
     last = tail - 1
@@ -143,11 +152,13 @@ def parse(address: str | None, city: str | None = None) -> tuple[str, str, str |
         t = _ASIDE.sub("", t)
     if "BOX" in t:
         t = _BOX.sub(" ", t)
-    t = _UNIT.sub(" ", t)
-    t = _STUCK.sub(r"\1 \2", _STUCK_SAINT.sub(r"\1 \2", t))
+    if any(map(t.__contains__, _UNIT_WORDS)):
+        t = _UNIT.sub(" ", t)
+    if _MAY_STICK.search(t):
+        t = _STUCK.sub(r"\1 \2", _STUCK_SAINT.sub(r"\1 \2", t))
     if "-" in t or "–" in t:
         t = _RANGE.sub(r"\1", t)
-    m = _ROUTE.search(t)
+    m = _ROUTE.search(t) if _MAY_ROUTE.search(t) else None
     if m and _BEFORE_ROUTE.match(t[: m.start()]):
         kind = re.sub(r"[^A-Z]", "", m["c"])
         if kind in ("HIGHWAY", "HWY", "ROUTE", "RTE"):
@@ -215,7 +226,9 @@ def parse(address: str | None, city: str | None = None) -> tuple[str, str, str |
 
 def zip9(code: str | None) -> str | None:
     """All nine digits, if there are so many."""
-    digits = re.sub(r"\D", "", code or "")
+    if not code or (len(code) == 5 and code.isascii()):
+        return None
+    digits = re.sub(r"\D", "", code)
     digits = "0" + digits if len(digits) == 8 else digits
     return digits if len(digits) == 9 else None
 
@@ -227,7 +240,8 @@ _GAP = "\x1f"
 @lru_cache(50_000)
 def packed_parts(address: str | None, city: str | None, state: str | None, code: str | None) -> str:
     """PARTS in one string, empty for null: one column costs less on the way from Python than seven."""
-    return _GAP.join(x or "" for x in (*(parse(address, city) or (None,) * 4), zip5(code), zip9(code), city_key(city, state)))
+    number, street, kind, side = parse(address, city) or ("", "", None, None)
+    return _GAP.join((number, street, kind or "", side or "", zip5(code) or "", zip9(code) or "", city_key(city, state) or ""))
 
 
 @F.pandas_udf(StringType())

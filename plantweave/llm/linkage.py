@@ -23,6 +23,7 @@ from __future__ import annotations
 import itertools
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,9 @@ from .names import Reader, _swapped, edits, learnt_words
 
 #: Weights of the rules; evidence and the nameless rule are squared hinges, the others linear.
 WEIGHTS = {"alike": 5.0, "record": 5.0, "nameless": 2.0, "prior": 0.15, "two_records": 1.0, "one_plant": 20.0, "transitive": 20.0}
-ACCEPT, ALIKE, STEP, TOLERANCE, ROUNDS = 0.55, 0.7, 3.0, 2e-4, 2_000
+ACCEPT, ALIKE, STEP, TOLERANCE, ROUNDS = 0.55, 0.7, 3.0, 1e-5, 2_000
+#: Rounds between looks for places that are solved.
+LOOK = 5
 #: Rows of names that are solved together.
 SOLVED_AT_ONCE = 50_000
 #: Sources in which a plant is one record; a record of another source is a company.
@@ -45,12 +48,22 @@ ONE_RECORD = ("epa", "osha")
 
 
 def _near(x: str, y: str) -> float:
-    """1 for equal words, 0.9 for one edit or two swapped neighbours in four letters or more, else the share of letters kept."""
+    """1 for equal words, 0.9 for one edit or two swapped neighbours in four letters or more, else the share of letters kept;
+    0 if under half of the letters can be kept, which no comparison of names tells from any other value under one half."""
     if x == y:
         return 1.0
     if abs(len(x) - len(y)) > 3:
         return 0.0
-    d = edits(x, y)
+    i, m, n = 0, len(x), len(y)
+    least = m if m < n else n
+    while i < least and x[i] == y[i]:
+        i += 1
+    while m > i and n > i and x[m - 1] == y[n - 1]:
+        m, n = m - 1, n - 1
+    a, b = x[i:m], y[i:n]  # what differs: its edits are those of the words
+    if 2 * max(len(set(a).difference(b)), len(set(b).difference(a))) > max(len(x), len(y)):
+        return 0.0
+    d = edits(a, b)
     if min(len(x), len(y)) >= 4 and (d == 1 or (d == 2 and _swapped(x, y))):
         return 0.9
     return 1.0 - d / max(len(x), len(y), 1)
@@ -62,6 +75,7 @@ def _joint(words: list[tuple[str, str, float]]) -> float:
     return weakest if weakest < 0.5 else sum(s * max(len(x), len(y)) for x, y, s in words) / sum(max(len(x), len(y)) for x, y, _ in words)
 
 
+@lru_cache(100_000)
 def name_similarity(a: str, b: str) -> float:
     """Of two operator keys "WORDS|TRADES|INITIALS": that of the words that differ in the best order, or of the words
     written together; 0.9 if one has words, or its only word's partner, more; halved if both trades are known and differ."""
@@ -86,19 +100,21 @@ def name_similarity(a: str, b: str) -> float:
     return best * trades
 
 
-def solve(n: int, weight: np.ndarray, offset: np.ndarray, squared: np.ndarray, rule: np.ndarray, var: np.ndarray, coef: np.ndarray) -> np.ndarray:
+def solve(n: int, weight: np.ndarray, offset: np.ndarray, squared: np.ndarray, rule: np.ndarray, var: np.ndarray, coef: np.ndarray, block: np.ndarray | None = None) -> np.ndarray:
     """Values in [0, 1] that minimise the sum of weight * max(0, coef . x + offset) ** (2 if squared else 1).
 
     ``rule``, ``var`` and ``coef`` list the entries of the rules. Each rule keeps its own copies of its variables and
     moves them in closed form; a variable becomes the mean of its copies; multipliers settle the difference. Rounds end
-    when no copy differs from its variable, and no variable moves, by more than TOLERANCE.
+    when no copy differs from its variable, and no variable moves, by more than TOLERANCE. ``block`` has the number of the
+    part of the problem each variable is in, if no rule joins two parts: each part then ends by itself, as if it were alone.
     """
     k = len(weight)
     norm = np.maximum(np.bincount(rule, coef * coef, k), 1e-12)
     copies = np.maximum(np.bincount(var, minlength=n), 1)
-    z = np.full(n, 0.5)
+    z, out, at = np.full(n, 0.5), np.full(n, 0.5), np.arange(n)
+    block = np.zeros(n, dtype=np.int64) if block is None else block
     u = np.zeros(len(var))
-    for _ in range(ROUNDS):
+    for turn in range(1, ROUNDS + 1):
         v = z[var] - u
         s = np.bincount(rule, coef * v, k) + offset
         flat = np.minimum(s / norm, weight / STEP)
@@ -108,28 +124,48 @@ def solve(n: int, weight: np.ndarray, offset: np.ndarray, squared: np.ndarray, r
         new = np.clip(np.bincount(var, x + u, n) / copies, 0.0, 1.0)
         apart = x - new[var]
         u += apart
-        moved = np.abs(new - z).max(initial=0.0)
-        z = new
-        if moved < TOLERANCE and np.abs(apart).max(initial=0.0) < TOLERANCE:
-            break
-    return z
+        moved, z = np.abs(new - z), new
+        if turn % LOOK:
+            continue
+        going = np.zeros(block.max(initial=0) + 1, dtype=bool)
+        going[block[moved >= TOLERANCE]] = True
+        going[block[var[np.abs(apart) >= TOLERANCE]]] = True
+        if going.sum() > 0.8 * len(np.unique(block)):
+            continue
+        stay = going[block]
+        out[at[~stay]] = z[~stay]
+        if not stay.any():
+            return out
+        entries, number = stay[var], np.cumsum(stay) - 1
+        rules = np.unique(rule[entries])
+        weight, offset, squared, norm = weight[rules], offset[rules], squared[rules], norm[rules]
+        rule, var, coef, u = np.searchsorted(rules, rule[entries]), number[var[entries]], coef[entries], u[entries]
+        z, copies, block, at, n, k = z[stay], copies[stay], block[stay], at[stay], int(stay.sum()), len(rules)
+    out[at] = z
+    return out
+
+
+@lru_cache(100_000)
+def _ends(op: str) -> frozenset[str]:
+    """The beginnings and ends of the words of a name."""
+    return frozenset(k for w in op.split("|")[0].split() for k in (w[:3], "-" + w[-3:]))
 
 
 def _candidates(ops: list[str], told: set[tuple[int, int]]) -> dict[tuple[int, int], float]:
     """Pairs of names of one place with their similarity: those alike, and those one record goes by. Only names that share
     the beginning or the end of a word are compared."""
-    keys = defaultdict(list)
-    for i, op in enumerate(ops):
-        for key in {k for w in op.split("|")[0].split() for k in (w[:3], "-" + w[-3:])}:
-            keys[key].append(i)
-    out = dict.fromkeys(told, 0.0)
-    for own in keys.values():
-        for pair in itertools.combinations(own, 2):
-            if pair not in out:
-                out[pair] = 0.0
-    for i, j in out:
-        out[i, j] = name_similarity(ops[i], ops[j])
-    return {p: s for p, s in out.items() if s >= ALIKE or p in told}
+    found = dict.fromkeys(told)
+    if len(ops) < 10:
+        ends = [_ends(op) for op in ops]
+        found |= dict.fromkeys((i, j) for j in range(1, len(ops)) for i in range(j) if not ends[i].isdisjoint(ends[j]))
+    else:
+        keys = defaultdict(list)
+        for i, op in enumerate(ops):
+            for key in _ends(op):
+                keys[key].append(i)
+        for own in keys.values():
+            found |= dict.fromkeys(itertools.combinations(own, 2))
+    return {(i, j): s for i, j in found if (s := name_similarity(ops[i], ops[j])) >= ALIKE or (i, j) in told}
 
 
 def ground(ops: list[str], listed: list[int], told: set[tuple[int, int]]) -> tuple[list[tuple[int, int]], list]:
@@ -138,16 +174,18 @@ def ground(ops: list[str], listed: list[int], told: set[tuple[int, int]]) -> tup
     ``told`` the pairs of names that one record goes by."""
     w, rules = WEIGHTS, []
     pairs = _candidates(ops, told)
-    near = defaultdict(set)
-    for p, q in pairs:
-        near[p].add(q)
-        near[q].add(p)
-    triples = [(p, q, r) for q, own in near.items() for p, r in itertools.combinations(sorted(own), 2)]
+    if not pairs:
+        return [], []
     if len(pairs) == 1:  # one unknown: the optimum is known
         (p, q), s = next(iter(pairs.items()))
         alike, one = (w["alike"] if s >= ALIKE else 0.0), (w["record"] if (p, q) in told else 0.0)
         against = w["prior"] + (w["two_records"] if listed[p] & listed[q] and not one else 0.0)
         return [(p, q)], [min(1.0, max(0.0, (alike * min(1.0, (s - 0.4) / 0.5) + one - against / 2) / (alike + one)))]
+    near = defaultdict(set)
+    for p, q in pairs:
+        near[p].add(q)
+        near[q].add(p)
+    triples = [(p, q, r) for q, own in near.items() for p, r in itertools.combinations(sorted(own), 2)]
     variables = list(dict.fromkeys([*pairs, *((p, r) for p, _, r in triples)]))
     at = {p: v for v, p in enumerate(variables)}
     for v, (p, q) in enumerate(variables):
@@ -197,27 +235,31 @@ def solve_places(block: pd.DataFrame) -> pd.DataFrame:
     place, op, other = block["place"].to_numpy(), block["op"].to_numpy(dtype=object), block["other"].to_numpy(dtype=object)
     listed, n = block["listed"].to_numpy(), block["n"].to_numpy()
     starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, dtype=int)
+    ends = np.append(starts[1:], len(place))
+    named, tells = block["op"].notna().to_numpy(), block["other"].notna().to_numpy()
+    whole = (ends - starts > 1) | ~named[starts]  # a name that is alone is its own operator
+    listed, n = listed.tolist(), n.tolist()
     groups, grounded = [], []
-    for s, e in zip(starts, [*starts[1:], len(place)]):
-        rows = [i for i in range(s, e) if isinstance(op[i], str) and not isinstance(other[i], str)]
+    for s, e in zip(starts[whole].tolist(), ends[whole].tolist()):
+        rows = [i for i in range(s, e) if named[i] and not tells[i]]
         ops = [op[i] for i in rows]
         index = {o: k for k, o in enumerate(ops)}
-        told = {tuple(sorted((index[op[i]], index[other[i]]))) for i in range(s, e) if isinstance(other[i], str) and other[i] in index and op[i] in index}
-        groups.append((place[s], ops, [int(n[i]) for i in rows], any(not isinstance(op[i], str) for i in range(s, e))))
-        grounded.append(ground(ops, [int(listed[i]) for i in rows], told) if len(ops) > 1 else ([], []))
-    base, weight, offset, squared, rule, var, coef = 0, [], [], [], [], [], []
-    for variables, rules in grounded:
-        if len(variables) == 1:
+        told = {tuple(sorted((index[op[i]], index[other[i]]))) for i in range(s, e) if tells[i] and other[i] in index and op[i] in index}
+        groups.append((place[s], ops, [n[i] for i in rows], any(not named[i] for i in range(s, e))))
+        grounded.append(ground(ops, [listed[i] for i in rows], told) if len(ops) > 1 else ([], []))
+    base, weight, offset, squared, sizes, var, coef, block = 0, [], [], [], [], [], [], []
+    for part, (variables, rules) in enumerate(grounded):
+        if len(variables) < 2:
             continue
-        for w, c, sq, entries in rules:
-            rule += [len(weight)] * len(entries)
-            var += [base + v for v, _ in entries]
-            coef += [x for _, x in entries]
-            weight.append(w)
-            offset.append(c)
-            squared.append(sq)
+        weight += [r[0] for r in rules]
+        offset += [r[1] for r in rules]
+        squared += [r[2] for r in rules]
+        sizes += [len(r[3]) for r in rules]
+        var += [base + v for r in rules for v, _ in r[3]]
+        coef += [x for r in rules for _, x in r[3]]
         base += len(variables)
-    values = solve(base, np.array(weight), np.array(offset), np.array(squared, dtype=bool), np.array(rule, dtype=np.int64), np.array(var, dtype=np.int64), np.array(coef)) if base else np.zeros(0)
+        block += [part] * len(variables)
+    values = solve(base, np.array(weight), np.array(offset), np.array(squared, dtype=bool), np.repeat(np.arange(len(sizes)), sizes), np.array(var, dtype=np.int64), np.array(coef), np.array(block, dtype=np.int64)) if base else np.zeros(0)
     out, at = [], 0
     for (where, ops, support, nameless), (variables, rules) in zip(groups, grounded):
         if len(variables) == 1:
@@ -262,10 +304,6 @@ _GAP, _NEXT = "\x1f", "\x1e"
 def _read(base: DataFrame, reader: Reader) -> DataFrame:
     """record, source, PARTS and ``ops``, the operator keys of the names of each row. One pass through Python."""
 
-    def key(name: str) -> str | None:
-        o = reader.cached(name)
-        return "|".join((" ".join(sorted(o[0])), "/".join(o[2]), " ".join(o[1]))) if o and o[0] else None
-
     @F.pandas_udf(StringType())
     def packed(address: pd.Series, city: pd.Series, state: pd.Series, code: pd.Series, names: pd.Series) -> pd.Series:
         texts = ([x if isinstance(x, str) else None for x in c] for c in (address, city, state, code))
@@ -273,7 +311,7 @@ def _read(base: DataFrame, reader: Reader) -> DataFrame:
         for parts, all_ in zip(zip(*texts, strict=True), names, strict=True):
             ops = []
             for name in dict.fromkeys(all_.split(_NEXT) if isinstance(all_, str) and all_ else ()):
-                if op := key(name):
+                if op := reader.cached_key(name):
                     ops.append(op)
             out.append(packed_parts(*parts) + _GAP + _NEXT.join(dict.fromkeys(ops)))
         return pd.Series(out, dtype=object)
@@ -342,7 +380,7 @@ def memberships(records: DataFrame) -> DataFrame:
     strings = base.select(F.explode("names").alias("name")).filter("name is not null").distinct()
     read = cut(_read(base, Reader(*learnt_words(strings))).withColumn("node", F.when(F.col("number").isNotNull(), F.xxhash64(*PARTS))))
     places = components(location_links(read.filter("node is not null").select("node", *PARTS).distinct()))
-    rows = read.select("record", "source", "node", "type", "zip", "town", F.explode_outer("ops").alias("op")).join(places, "node", "left")
+    rows = read.select("record", "source", "node", "type", "zip", "town", F.explode_outer("ops").alias("op")).join(places.hint("shuffle_hash"), "node", "left")  # a row a node: no key is hot on this side
     rows = cut(rows.withColumn("place", F.coalesce("place", "node")).drop("node"))
     keep_only(mark, rows)
     near = rows.filter("place is not null").select("record", "source", "place", "op", F.when(F.col("op").isNotNull(), _evidence(False)).otherwise(0.97).alias("value"))
@@ -359,7 +397,7 @@ def memberships(records: DataFrame) -> DataFrame:
     told = first.filter("op <> other").select("place", "op", F.lit(0).alias("listed"), F.lit(0).cast("long").alias("n"), "other").distinct()
     solved = operators_of(names.unionByName(told))
     solved = solved.select(F.col("place").alias("at"), F.col("op").alias("name"), "hub", F.col("value").alias("same"))
-    joined = members.join(solved, (F.col("place") == F.col("at")) & F.col("op").eqNullSafe(F.col("name")), "left").filter("op is not null or hub is not null")
+    joined = members.join(solved.hint("shuffle_hash"), (F.col("place") == F.col("at")) & F.col("op").eqNullSafe(F.col("name")), "left").filter("op is not null or hub is not null")
     plant = F.xxhash64("place", F.coalesce("hub", "op")).alias("plant")
     belongs = joined.select("record", "source", plant, (F.col("value") + F.coalesce("same", F.lit(1.0)) - 1).alias("value"))
     return belongs.groupBy("record", "source", "plant").agg(F.max("value").alias("value"))

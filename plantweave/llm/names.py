@@ -47,7 +47,7 @@ SMALL = 500_000
 _CODE = re.compile(r"^\s*(?:[A-Z]{0,3}\d[\dA-Z]{2,})\s*-\s+")
 _DIGITS, _SILENT = str.maketrans("0135", "OIES"), str.maketrans("", "", "'’.")
 _DBA, _STATE_LAST, _BRACKETS = re.compile(r"\bD\s?/?\s?B\s?/?\s?A\b\.?"), re.compile(r",\s*([A-Z]{2})$"), re.compile(r"\(([^)]*)\)?")
-_DOTTED, _SIGNS = re.compile(r"\b([A-Z])\.(?=[A-Z]\b\.?)"), re.compile(r"[^A-Z0-9]+")
+_DOTTED, _ALNUM = re.compile(r"\b([A-Z])\.(?=[A-Z]\b\.?)"), re.compile(r"[A-Z0-9]+")
 
 
 def distance(a: str, b: str) -> int:
@@ -102,7 +102,9 @@ def _shortens(token: str, word: str) -> bool:
 def _words(text: str) -> list[str]:
     if "." in text:
         text = _DOTTED.sub(r"\1", text)
-    out = _SIGNS.sub(" ", text.translate(_SILENT)).split()
+    if "." in text or "'" in text or "’" in text:
+        text = text.translate(_SILENT)
+    out = _ALNUM.findall(text)
     for k, t in enumerate(out):
         if not t.isalpha() and t[0].isalpha():
             out[k] = t.translate(_DIGITS)
@@ -116,7 +118,16 @@ class Reader:
         self.trades, self.general = tuple(trades), tuple(dict.fromkeys((*general, *GENERAL)))
         # Three parts of each word: two edits leave one of them whole.
         self._parts = {w: (w[: len(w) // 3], w[len(w) // 3 : 2 * len(w) // 3], w[2 * len(w) // 3 :]) for w in self.trades + self.general}
-        self.readings, self.cached = lru_cache(200_000)(self._readings), lru_cache(100_000)(self.organisation)
+        both = self.trades + self.general
+        # Learnt words by their beginnings, inner parts, first letters and third parts, so that a token meets few of them.
+        self._starts, self._inner, self._first, self._third = ({} for _ in range(4))
+        for w in dict.fromkeys(both):
+            n = len(w)
+            for at, keys in ((self._starts, {w[:k] for k in range(3, n + 1)}), (self._inner, {w[i:j] for i in range(n) for j in range(i + 5, n + 1)}), (self._first, {w[:1]}), (self._third, set(self._parts[w]))):
+                for key in keys:
+                    at.setdefault(key, []).append(w)
+        self._lengths = sorted({len(p) for p in self._third})
+        self.readings, self.cached_key = lru_cache(200_000)(self._readings), lru_cache(200_000)(self.operator_key)
 
     def __reduce__(self) -> tuple:
         return _reader, (self.trades, self.general)  # one a worker process, with what it remembers
@@ -135,13 +146,13 @@ class Reader:
             return (token,), ()
         if token in self.general:
             return (), (token,)
-        both = self.trades + self.general
         n = len(token)
-        found = [w for w in both if w.startswith(token)] if n >= 3 else []
-        found = found or [w for w in both if _shortens(token, w)]
-        found = found or ([w for w in both if token in w] if n >= 5 else [])
+        found = self._starts.get(token, []) if n >= 3 else []
+        found = found or [w for w in self._first.get(token[:1], ()) if _shortens(token, w)]
+        found = found or (self._inner.get(token, []) if n >= 5 else [])
         if not found and n >= 4:
-            slips = [(w, self._slips(token, w)) for w in both]
+            shared = {w for k in self._lengths for i in range(n - k + 1) for w in self._third.get(token[i : i + k], ())}
+            slips = [(w, self._slips(token, w)) for w in shared]
             found = [w for w, d in slips if d == 1] or ([w for w, d in slips if d == 2] if n >= 7 else [])
         if found:
             return tuple(w for w in self.trades if w in found), tuple(w for w in self.general if w in found)
@@ -160,9 +171,9 @@ class Reader:
         t = " ".join(plain(name).split())
         if "-" in t:
             t = _CODE.sub("", t)
-        while m := _DBA.search(t):
+        while ("BA" in t or "B " in t or "B/" in t) and (m := _DBA.search(t)):
             t = t[m.end() :]
-        m = _STATE_LAST.search(t)
+        m = _STATE_LAST.search(t) if "," in t else None
         if m and m[1] in STATES and not any(w in LEGAL for w in _words(t)[:-1]):
             return None
         t = t.split(" - ")[0].removesuffix(" -")
@@ -236,6 +247,11 @@ class Reader:
         words = list(dict.fromkeys(words))
         return words, sorted(set(initials)), sorted(trades or ()), min(2, len(words)) if label else len(words)
 
+    def operator_key(self, name: str | None) -> str | None:
+        """The organisation as "WORDS|TRADES|INITIALS", words in order of letters; null without words."""
+        o = self.organisation(name)
+        return "|".join((" ".join(sorted(o[0])), "/".join(o[2]), " ".join(o[1]))) if o and o[0] else None
+
 
 @lru_cache(4)
 def _reader(trades: tuple[str, ...], general: tuple[str, ...]) -> Reader:
@@ -252,11 +268,11 @@ def _tokens(names: DataFrame) -> DataFrame:
     t = names.select(once(F.upper("name")).alias("t"))
     head = F.when(F.col("t").contains(" - "), F.regexp_replace(F.regexp_replace("t", r"^\s*[A-Z]{0,3}\d[\dA-Z]{2,}\s*-\s+", ""), r"\s-\s.*", "")).otherwise(F.col("t"))
     t = t.select(once(F.when(~F.col("t").rlike(site), head)).alias("t"))
-    head = F.when(F.col("t").rlike(r"\bD\s?/?\s?B\s?/?\s?A\b"), F.regexp_replace("t", r".*\bD\s?/?\s?B\s?/?\s?A\b\.?", "")).otherwise(F.col("t"))
+    may_dba = F.col("t").contains("BA") | F.col("t").rlike(r"B[\s/]")
+    head = F.when(may_dba & F.col("t").rlike(r"\bD\s?/?\s?B\s?/?\s?A\b"), F.regexp_replace("t", r".*\bD\s?/?\s?B\s?/?\s?A\b\.?", "")).otherwise(F.col("t"))
     head = F.substring_index(F.substring_index(head, ",", 1), "(", 1)
-    words = F.split(F.regexp_replace(F.translate(head, "'’.", ""), "[^A-Z0-9]+", " "), " ")
-    words = F.filter(words, lambda w: (F.length(w) > 1) & ~F.substring(w, -1, 1).between("0", "9"))
-    return t.select(once(F.array_except(words, F.lit([*LEGAL, *GENERAL, *LABELS, *ARTICLES]))).alias("w"))
+    words = F.regexp_extract_all(F.regexp_replace(head, "['’.]", ""), F.lit("[A-Z0-9]{2,}+(?<=[A-Z])"), F.lit(0))
+    return t.select(once(F.array_distinct(F.filter(words, lambda w: ~w.isin([*LEGAL, *GENERAL, *LABELS, *ARTICLES])))).alias("w"))
 
 
 def learnt_words(names: DataFrame) -> tuple[list[str], list[str]]:

@@ -210,6 +210,47 @@ def test_exclusivity_and_transitivity_bind_all_names():
     assert all(v[p] + v[q] - 1 <= v[r] + 0.01 for v in (free, bound) for p, q, r in itertools.permutations([(0, 1), (0, 2), (1, 2)]))
 
 
+def test_a_place_has_the_same_values_whatever_is_solved_with_it():
+    names = ["DAWN DROTHALKNELL|TURBINE|", "DAWN DROTHALKNELK|TURBINE|", "DAWN DROTHALKNOL|TURBINE|", "DAWN DROTHALKNEL||", "DROTHALKNELL DAWM|TURBINE|"]
+    rows = [(place, names[k], (place >> k) & 3, 1 + k, None) for place in range(1, 9) for k in range(2 + place % 4)]
+    block = pd.DataFrame(rows, columns=["place", "op", "listed", "n", "other"])
+    together = L.solve_places(block)
+    alone = pd.concat([L.solve_places(block[block["place"] == p]) for p in range(1, 9)], ignore_index=True)
+    assert len(together) and together.equals(alone)
+
+
+def test_parts_of_a_problem_end_by_themselves():
+    easy = 200  # of two unknowns each, and one part that takes far longer
+    weight, offset = np.array([5.0, 0.15] * easy + [5.0, 0.15, 0.15, 20.0]), np.array([1.0, 0.0] * easy + [1.0, 0.0, 0.0, -1.0])
+    squared = np.array([True, False] * easy + [True, False, False, False])
+    rule = np.array([*range(2 * easy), 2 * easy, 2 * easy + 1, 2 * easy + 2, 2 * easy + 3, 2 * easy + 3])
+    var, coef = np.array([*np.repeat(np.arange(easy), 2), easy, easy, easy + 1, easy, easy + 1]), np.array([-1.0, 1.0] * easy + [-1.0, 1.0, 1.0, 1.0, -1.0])
+    parts = np.array([*range(easy), easy, easy])
+    z, whole = L.solve(easy + 2, weight, offset, squared, rule, var, coef, parts), L.solve(easy + 2, weight, offset, squared, rule, var, coef)
+    assert np.abs(z - whole).max() < 1e-3 and np.ptp(z[:easy]) == 0 and z[0] == pytest.approx(1 - 0.15 / 10, abs=1e-4)
+
+
+def test_learnt_words_found_by_index_are_those_of_a_scan():
+    trades, general = ["TURBINE", "COATINGS", "TRACTOR", "FORGE", "WELDMENTS", "OX", "HULL"], ["INTERNATIONAL", "EQUIPMENT"]
+    reader, rng = N.Reader(trades, general), random.Random(3)
+    both = reader.trades + reader.general
+    tokens = {w[:k] for w in both for k in range(1, len(w) + 1)} | {w[i : i + 5] for w in both for i in range(len(w))} | {"TRBN", "WLDG", "EQPMT"}
+    for w in both:
+        for _ in range(60):
+            t = list(w)
+            for _ in range(rng.choice([1, 2, 3])):
+                i = rng.randrange(len(t) + 1)
+                t[i : i + rng.choice([0, 1])] = rng.choice(["", "A", "X"])
+            tokens.add("".join(t))
+    for t in tokens - {""} - set(both):
+        want = [w for w in both if w.startswith(t)] if len(t) >= 3 else []
+        want = want or [w for w in both if N._shortens(t, w)] or ([w for w in both if t in w] if len(t) >= 5 else [])
+        if not want and len(t) >= 4:
+            slips = [(w, reader._slips(t, w)) for w in both]
+            want = [w for w, d in slips if d == 1] or ([w for w, d in slips if d == 2] if len(t) >= 7 else [])
+        assert reader.readings(t) == (tuple(w for w in reader.trades if w in want), tuple(w for w in reader.general if w in want)), t
+
+
 def test_linkage_needs_the_field(spark, monkeypatch):
     rows = [(f"epa:{k}", "epa", [f"Drothalknel{'l' * (k % 2)} Dawn Turbine Inc"], f"{k} Main St", "Fort Bix", "GA", "21241") for k in range(1, 9)]
     rows += [(f"osha:{k}", "osha", ["Drothalknell Dawn Turbine LLC"], f"{k} Main Street", "Fort Bix", "GA", "21241") for k in range(1, 9)]
